@@ -1,12 +1,13 @@
 """Language identification by compression: a text is cut into blocks, each block is compressed by Zstandard
-with every language's raw-content dictionary, and the language of the smallest sum is chosen.
+with every language's raw-content dictionary, and the language of the smallest sum is chosen. Texts and
+dictionaries are lower-cased, and runs of other than letters become a space.
 
 The dictionaries are the only thing learnt. Each holds at most DICT_BYTES from at most DICT_DOCS labelled
 whole texts of its language, picked by a hash of the id; this bounded sample is the classifier's fit. All texts
 are classified whole.
 
 Null texts and texts without a letter are `und` with score 0. A prediction whose margin between the two
-smallest sums is under MARGIN of the smallest is marked unreliable. Equal sums: the first language by name.
+smallest sums is under MARGIN of the smallest is marked unreliable. Equal sums: the language with more labelled texts.
 With no labelled row all texts are `und`. Repeated rows stay; columns of docs by the new names are replaced.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-DICT_DOCS = 48
-DICT_BYTES = 48_000
-BLOCK = 8_000
-LEVEL = 3
+DICT_DOCS = 64
+DICT_BYTES = 100_000
+BLOCK = 4_000
+LEVEL = 6
 MARGIN = 0.01
+NOT_LETTERS = re.compile(r"[\W\d_]+").sub
+
+
+def letters(text: str) -> bytes:
+    return NOT_LETTERS(" ", text.lower()).encode()
 
 
 def sample(labelled: DataFrame, text: str, lang: str, docs: int = DICT_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
@@ -45,13 +52,13 @@ def sample(labelled: DataFrame, text: str, lang: str, docs: int = DICT_DOCS, siz
         if len(keep) > 2 * docs:
             keep[:] = sorted(keep)[:docs]
     out = {}
-    for k, v in sorted(got.items()):
+    for k, v in sorted(got.items(), key=lambda x: (-counts[x[0]], x[0])):
         chosen, room = [], size
-        for t in (t.encode() for *_, t in sorted(v)[:docs]):
+        for t in (letters(t) for *_, t in sorted(v)[:docs]):
             if len(t) < room:
                 chosen.append(t)
                 room -= len(t) + 1
-        out[k] = b"\n".join(chosen) or min((t for *_, t in v), key=len).encode()[:size]
+        out[k] = b"\n".join(chosen) or min((letters(t) for *_, t in v), key=len)[:size]
     return out
 
 
@@ -59,7 +66,7 @@ class Classifier:
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         import zstandard
 
-        self.names = sorted(content)
+        self.names = list(content)
         self.level = level
         dicts = [zstandard.ZstdCompressionDict(content[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k in self.names]
         for d in dicts:
@@ -74,7 +81,7 @@ class Classifier:
     def predict(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         if not text or not self.names or not (any(map(str.isalpha, text[:400])) or any(map(str.isalpha, text))):
             return "und", 0.0, False
-        sizes = self.sizes(text.encode())
+        sizes = self.sizes(letters(text))
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         gap = 1.0 if len(sizes) == 1 else (sizes[order[1]] - best) / best
@@ -87,7 +94,7 @@ _CLASSIFIERS: dict[str, Classifier] = {}
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1, rising with the margin) and reliable (false: rejected for a narrow margin)."""
     small_batches(docs.sparkSession)
-    key = hashlib.sha256(repr(sorted(dictionaries.items())).encode()).hexdigest()
+    key = hashlib.sha256(repr(dictionaries.items()).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     kept = docs.drop("lang_pred", "score", "reliable")
     at = kept.columns.index(text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, media, url_filter
+from . import bpe, decontam, language_id, media, substring_dedup, url_filter
 from .common import table
 
 
@@ -39,14 +39,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.report(substring_dedup.remove_repeats(docs))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op8_bpe)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontam.ORACLE}
+    return {"op2_decontaminate": decontam.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE}
