@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, media, substring_dedup, url_filter
+from . import bpe, decontam, language_id, lm_score, media, substring_dedup, url_filter
 from .common import table
 
 
@@ -49,8 +49,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, tokenizer_path()))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
