@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +27,12 @@ from .common import mix, small_batches
 #: White space of the vocabulary's splitting pattern, as a character class. Fixed values.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words whose tokens a worker remembers; slots of its table of tested pairs.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 PAIR_SLOTS = 1 << 20
 #: Symbols up to which merging rescans a list; a rank above all.
 SHORT = 40
 NEVER = 1 << 60
-#: Beyond this letter the library's own splitter is asked, since tables of letters differ between versions of Unicode.
+#: Beyond this letter the library's own normaliser and splitter are asked, since tables of letters differ between versions of Unicode.
 FAMILIAR = "\u024f"
 
 
@@ -42,6 +43,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(extra)) for b in range(256)]
 
 
+def familiar(kind: str) -> str:
+    """The members of a general category up to FAMILIAR, as the inside of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(ord(FAMILIAR) + 1)) if unicodedata.category(c)[0] == kind)
+
+
 class WordBpe:
     """The encoder of one vocabulary file (content as text) whose words end in a suffix."""
 
@@ -61,9 +67,11 @@ class WordBpe:
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.added).items()}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}")
-        self.split = regex.compile(pattern).findall
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for name, members in (("\\p{L}", familiar("L")), ("\\p{N}", familiar("N")), ("\\s", WHITE)):
+            pattern = pattern.replace(name, members)
+        self.split = re.compile(pattern).findall
         self.letters = byte_letters()
         self.longest = max(len(t) - len(self.suffix) * t.endswith(self.suffix) for t in self.vocab)
         self.alone: dict[int, bool] = {}
@@ -179,8 +187,11 @@ class WordBpe:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                clean = part.lower() if part.isascii() else self.lib_normalizer.normalize_str(part)
-                out += self.split(clean) if max(clean, default="") <= FAMILIAR else [clean[a:b] for _, (a, b) in self.lib_splitter.pre_tokenize_str(clean)]
+                if part.isascii() or max(part) <= FAMILIAR:  # no combining marks: composed as it is
+                    out += self.split(part.lower())
+                else:
+                    clean = self.lib_normalizer.normalize_str(part)
+                    out += [clean[a:b] for _, (a, b) in self.lib_splitter.pre_tokenize_str(clean)]
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
