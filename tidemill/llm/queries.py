@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, lm_score, media, substring_dedup, url_filter
+from . import bpe, decontam, language_id, lm_score, media, ngram_join, substring_dedup, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.report(decontam.scan(docs, table(spark, sf_dir, "benchmark")))
@@ -54,7 +58,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
