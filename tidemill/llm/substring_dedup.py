@@ -92,12 +92,12 @@ def _request(table: pa.Table, buckets: int, text: str, k: int, m: int) -> pa.Tab
         order = np.argsort(bucket, kind="stable")
         a, b = s.words.start[s.first[one]], s.words.end[s.last[one] + k - 1]
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for part in np.split(order, cuts):
             strings = b"".join([s.words.buffer[x:y] for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)])
             wide = np.flatnonzero(most[part] > least[part]).astype(np.int32)
             far = np.concatenate([[len(wide)], most[part][wide]]).astype(np.int64).tobytes() + wide.tobytes()
-            out.append((int(bucket[part[0]]), batch, packer.compress(strings), (b[part] - a[part]).astype(np.int32).tobytes(), part.astype(np.int32).tobytes(), least[part].tobytes(), far))
+            out.append((int(bucket[part[0]]), batch, *map(packer.compress, (strings, (b[part] - a[part]).astype(np.int32).tobytes(), np.diff(part, prepend=0).astype(np.int32).tobytes(), least[part].tobytes(), far))))
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in REQUEST.split(", ")])
 
@@ -108,11 +108,12 @@ def _answer(table: pa.Table, k: int) -> pa.Table:
     unpack = zstandard.ZstdDecompressor()
     h1, h2, least, most, at, entry, batch = ([] for _ in range(7))
     for row in table.select(["batch", "strings", "lens", "entry", "least", "most"]).to_pylist():
-        lens, strings = np.frombuffer(row["lens"], np.int32), unpack.decompress(row["strings"])
-        ids, low = np.frombuffer(row["entry"], np.int32), np.frombuffer(row["least"], np.int64)
-        n = int(np.frombuffer(row["most"][:8], np.int64)[0])
+        strings, lens, ids, low, far = (unpack.decompress(row[c]) for c in ("strings", "lens", "entry", "least", "most"))
+        lens, low = np.frombuffer(lens, np.int32), np.frombuffer(low, np.int64)
+        ids = np.cumsum(np.frombuffer(ids, np.int32), dtype=np.int32)
+        n = int(np.frombuffer(far[:8], np.int64)[0])
         high = low.copy()
-        high[np.frombuffer(row["most"][8 + 8 * n :], np.int32)] = np.frombuffer(row["most"][8 : 8 + 8 * n], np.int64)
+        high[np.frombuffer(far[8 + 8 * n :], np.int32)] = np.frombuffer(far[8 : 8 + 8 * n], np.int64)
         ends = np.cumsum(lens)
         for part in groups_of(lens.tolist(), CHUNK):
             texts = [strings[e - n : e] for e, n in zip(ends[part].tolist(), lens[part].tolist(), strict=True)]
