@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, lm_score, media, ngram_join, substring_dedup, url_filter
+from . import bpe, decontam, language_id, lm_score, media, ngram_join, pii, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -38,6 +38,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "lang", "n_symbols", "log_perplexity", "threshold", "keep")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = url_filter.label_outcomes(table(spark, sf_dir, "labels"))
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
@@ -53,12 +59,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, tokenizer_path()))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_language_id, op4_media, op6_url_filter, op7_substring_dedup, op8_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_language_id, op4_media, op5_quality, op6_url_filter, op7_substring_dedup, op8_bpe, op9_pii, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
