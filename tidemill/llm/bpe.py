@@ -262,10 +262,11 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str =
     return df.withColumn(decoded, say(F.col(ids)))
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the decoded text."""
+def digests(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens and the digests of ids and of the decoded text."""
     return df.select(
         "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
