@@ -119,3 +119,28 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         for j in range(k):
             out = out * mul + h[j : j + n]
     return mix(out)
+
+
+def deal(docs: DataFrame, text: str, batches: int) -> DataFrame:
+    """doc_id, packed (the text's UTF-8, compressed, so that a shuffle moves less; null as empty) and batch, by a hash of the id."""
+    small_batches(docs.sparkSession)
+
+    def run(rows):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=5).compress
+        for b in rows:
+            packed = [pack(t) if t else b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, packed binary")
+    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)))
+
+
+def unpack(table) -> list[bytes]:
+    """The texts of dealt rows."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress
+    return [whole(t) if t else b"" for t in table.column("packed").to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, Words, mix, parts, settle
+from .common import ODD, Words, deal, mix, parts, settle, unpack
 
 BATCH_BYTES = 6_000_000
 BUCKET_BYTES = 8_000_000
@@ -101,17 +101,13 @@ def spots(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
 LOW = np.uint64((1 << 40) - 1)
 
 
-def _texts(table: pa.Table, text: str) -> list[bytes]:
-    return [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
-
-
 def _counts(h: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     uniq, back = np.unique(h, return_inverse=True)
     return uniq, np.bincount(back, weights=learn, minlength=len(uniq)).astype(np.int64)
 
 
-def _request(table: pa.Table, buckets: int, text: str) -> pa.Table:
-    t = Tokens(_texts(table, text))
+def _request(table: pa.Table, buckets: int) -> pa.Table:
+    t = Tokens(unpack(table))
     learn = np.array(table.column("learn").to_pylist(), bool)
     batch = table.column("batch")[0].as_py()
     words, n = _counts(t.hash, learn[t.text])
@@ -185,8 +181,8 @@ class Filter:
 _FILTERS: dict[str, Filter] = {}
 
 
-def _score(table: pa.Table, replies: pa.Table, buckets: int, text: str, n_all: int, kinds: int, filt: Filter) -> pa.Table:
-    t = Tokens(_texts(table, text))
+def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds: int, filt: Filter) -> pa.Table:
+    t = Tokens(unpack(table))
     words, back = np.unique(t.hash, return_inverse=True)
     bucket = segment_of(words, buckets)
     order = np.argsort(bucket, kind="stable")
@@ -217,8 +213,8 @@ def score(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, b
     bits = min(most_bits // buckets // 8, bucket_bytes * BITS_PER_BYTE // 8) * 8
     bits = max(64, bits)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(MODULUS)) == REMAINDER
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).withColumns({"held_out": held, "learn": F.coalesce(~held, F.lit(False)), "batch": F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches))})
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, text), REQUEST)
+    dealt = deal(docs, text, batches).withColumns({"held_out": held, "learn": F.coalesce(~held, F.lit(False))})
+    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets), REQUEST)
     replies = settle(requests.groupBy("bucket").applyInArrow(lambda t: _answer(t, bits), REPLY))
     n_all, kinds = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     packed = np.zeros(buckets * bits // 8, np.uint8)
@@ -231,7 +227,7 @@ def score(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, b
         if key not in _FILTERS:
             _FILTERS.clear()
             _FILTERS[key] = Filter(sent.value, buckets, bits)
-        return _score(left, right, buckets, text, n_all, kinds, _FILTERS[key])
+        return _score(left, right, buckets, n_all, kinds, _FILTERS[key])
 
     both = dealt.groupBy("batch").cogroup(replies.select("bucket", "batch", "counts").groupBy("batch"))
     return both.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

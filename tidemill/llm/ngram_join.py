@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, parts, settle, windows
+from .common import Words, deal, mix, parts, settle, unpack, windows
 from .graph import components
 from .trie import Trie, join
 
@@ -90,13 +90,9 @@ def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _texts(table: pa.Table, text: str) -> list[bytes]:
-    return [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
-
-
-def _request(table: pa.Table, buckets: int, text: str, n: int) -> pa.Table:
+def _request(table: pa.Table, buckets: int, n: int) -> pa.Table:
     batch = table.column("batch")[0].as_py()
-    grams, counts = np.unique(gram_sets(_texts(table, text), n)[1], return_counts=True)
+    grams, counts = np.unique(gram_sets(unpack(table), n)[1], return_counts=True)
     order, cut = _by_bucket(grams, buckets)
     out = []
     for b in range(buckets):
@@ -123,11 +119,11 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([table.column("bucket"), table.column("batch"), pa.array(rows, pa.binary())], names=["bucket", "batch", "classes"])
 
 
-def _ordered(table: pa.Table, replies: pa.Table, buckets: int, text: str, n: int) -> pa.Table:
+def _ordered(table: pa.Table, replies: pa.Table, buckets: int, n: int) -> pa.Table:
     """Each document's size and, if it may have links, its ordered set and the shared n-grams of its prefix."""
     import xxhash
 
-    texts = _texts(table, text)
+    texts = unpack(table)
     of, h = gram_sets(texts, n)
     grams, back = np.unique(h, return_inverse=True)
     level = np.zeros(len(grams), np.uint64)
@@ -211,11 +207,11 @@ def _probe(table: pa.Table, asked: pa.Table) -> pa.Table:
 def jaccard_components(docs: DataFrame, text: str = "text", n: int = N, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, chunk: int = CHUNK, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id of each row of docs."""
     batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)))
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, text, n), REQUEST)
+    dealt = deal(docs, text, batches)
+    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, n), REQUEST)
     replies = requests.groupBy("bucket").applyInArrow(_answer, REPLY)
     both = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
-    sets = settle(both.applyInArrow(lambda a, b: _ordered(a, b, buckets, text, n), SETS))
+    sets = settle(both.applyInArrow(lambda a, b: _ordered(a, b, buckets, n), SETS))
 
     able = sets.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
     classes = able.groupBy("sig").agg(F.min("doc_id").alias("rep"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, groups_of, parts, windows
+from .common import Words, deal, groups_of, parts, unpack, windows
 
 WINDOW = 13
 MINIMISER = 3
@@ -69,17 +69,17 @@ class Supers:
             self.key = sums[self.last + 1] - sums[self.first] + whole[self.first] * np.uint64(3) + (self.last - self.first).astype(np.uint64)
 
 
-def _rows(table: pa.Table, text: str) -> tuple[list, list[bytes], list]:
+def _rows(table: pa.Table) -> tuple[list, list[bytes], list]:
     ids = table.column("doc_id").to_pylist()
-    raw = [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
+    raw = unpack(table)
     return ids, raw, [raw[i] if ids[i] is not None else b"" for i in range(len(ids))]
 
 
-def _request(table: pa.Table, buckets: int, text: str, k: int, m: int) -> pa.Table:
+def _request(table: pa.Table, buckets: int, k: int, m: int) -> pa.Table:
     import zstandard
 
     batch = table.column("batch")[0].as_py()
-    ids, _, used = _rows(table, text)
+    ids, _, used = _rows(table)
     s = Supers(used, k, m)
     out = []
     if len(s.first):
@@ -147,8 +147,8 @@ def _answer(table: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["batch", "entry", "at", "least"])
 
 
-def _cut(table: pa.Table, replies: pa.Table, text: str, k: int, m: int) -> pa.Table:
-    ids, raw, used = _rows(table, text)
+def _cut(table: pa.Table, replies: pa.Table, k: int, m: int) -> pa.Table:
+    ids, raw, used = _rows(table)
     s = Supers(used, k, m)
     covered = np.zeros(len(s.words.hash) + 1, np.int64)
     if replies.num_rows and len(s.first):
@@ -182,12 +182,11 @@ def _cut(table: pa.Table, replies: pa.Table, text: str, k: int, m: int) -> pa.Ta
 def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW, m: int = MINIMISER, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each row of docs, joined by single spaces."""
     batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
-    id_kind = "long"
-    dealt = docs.select(F.col("doc_id").cast(id_kind).alias("doc_id"), F.col(text)).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)))
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, text, k, m), REQUEST)
+    dealt = deal(docs, text, batches)
+    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, k, m), REQUEST)
     replies = requests.groupBy("bucket").applyInArrow(lambda t: _answer(t, k), REPLY)
     both = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
-    return both.applyInArrow(lambda a, b: _cut(a, b, text, k, m), "doc_id long, n_words long, n_removed long, kept string")
+    return both.applyInArrow(lambda a, b: _cut(a, b, k, m), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def report(cut: DataFrame) -> DataFrame:
