@@ -1 +1 @@
-
+"""Operators: DataFrames to DataFrames."""
