@@ -169,7 +169,7 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
     spans = found.select("doc_id", "row", F.array_sort(F.concat(*map(named, [*KINDS, CONTEXT]))).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["doc_id", "row"])
     spans = spans.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    source = F.col(text)
+    source = docs[text]
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -177,6 +177,6 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(apart, grown).otherwise(acc["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_spans"), first, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))))
+    clean = F.aggregate(spans["_spans"], first, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text]) == spans["_row"]), "left")
-    return joined.select(*[(F.when(F.col("_spans").isNull(), source).otherwise(clean).alias(c) if c == text else docs[c]) for c in docs.columns])
+    return joined.select(*[(F.when(spans["_spans"].isNull(), source).otherwise(clean).alias(c) if c == text else docs[c]) for c in docs.columns])
