@@ -7,10 +7,12 @@ import operator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 MOST_DIGITS = 4000
+RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def _value(node: ast.AST) -> float:
@@ -40,6 +42,6 @@ def evaluate(text: str | None) -> tuple[bool, str | None, str | None]:
         return False, None, str(e) if isinstance(e, ValueError) and not isinstance(e, SyntaxError) else "unsupported expression"
 
 
-@F.pandas_udf("ok boolean, result string, error string")
+@F.pandas_udf(RESULT)
 def calculate(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(list(map(evaluate, text)), columns=["ok", "result", "error"])

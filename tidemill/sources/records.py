@@ -95,7 +95,8 @@ def append_journal(df: DataFrame, path: str, key: str = "task_index", order: str
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         last = spark.read.parquet(path).agg(F.max(F.struct(key, order))).first()[0]
-        if last is not None and df.filter(F.struct(key, order) <= F.struct(F.lit(last[0]), F.lit(last[1]))).limit(1).count():
+        earlier = (F.col(key) < last[0]) | ((F.col(key) == last[0]) & (F.col(order) <= last[1])) if last is not None else F.lit(False)
+        if df.filter(earlier).limit(1).count():
             raise ValueError("the journal is past these rows")
     df.write.mode("append").parquet(path)
 
