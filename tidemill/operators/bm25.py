@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .datasets import checkpoint
 from .retrieval import ranked
 
 # Fixed values of the formula.
@@ -27,6 +28,7 @@ def vocabulary(index: DataFrame, n: int) -> DataFrame:
 
 def statistics(index: DataFrame) -> DataFrame:
     """n_docs, n_tokens, avgdl, n_terms and average_idf: one row."""
+    index = checkpoint(index)
     sizes = index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.avg("dl").alias("avgdl"))
     n, tokens, avgdl = sizes.first()
     raw = index.groupBy("tok").agg(F.count("*").alias("df")).select((F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -40,7 +42,7 @@ def search(queries: DataFrame, query_tokens: Column, docs: DataFrame, doc_tokens
     doc_id. Postings that no query asks for leave before they are joined; what a query has not matched is
     padded from a list of the first doc_ids only as long as it needs.
     """
-    index = postings(docs, doc_tokens, doc_id)
+    index = checkpoint(postings(docs, doc_tokens, doc_id))  # the index is read by several joins
     n, avgdl = index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
     vocab = vocabulary(index, n)
     asked = queries.select(F.col(query_id).alias("query_id"), query_tokens.alias("t")).filter(F.size("t") > 0)

@@ -37,9 +37,9 @@ def pieces(df: DataFrame, text: str, end: str, keep: str) -> DataFrame:
     """
     mark = "\ue000"
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({end})", keep + mark), mark)
-    rows = df.withColumn("_cut", cut).select("*", F.posexplode("_cut").alias("ord", "_raw"))
-    before = F.aggregate(F.slice("_cut", 1, F.col("ord")), F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.withColumn("_at", before).drop("_cut")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,raw:string>>").alias("out"))
+    placed = F.aggregate(cut, none, lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("raw"))).alias("out")), lambda s: s["out"])
+    rows = df.select("*", F.posexplode(placed).alias("ord", "_p")).select("*", F.col("_p")["at"].alias("_at"), F.col("_p")["raw"].alias("_raw")).drop("_p")
     left = F.length("_raw") - F.length(F.regexp_replace("_raw", r"^\s+", ""))
     trimmed = F.regexp_replace(F.regexp_replace("_raw", r"^\s+", ""), r"\s+$", "")
     out = rows.withColumns({"piece": trimmed, "start": F.col("_at") + left}).withColumn("stop", F.col("start") + F.length("piece"))
