@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions import text as X
 from tidemill.functions import vector as V
-from tidemill.operators import bm25, chunking, comparison, datasets, enrich, episodes, evaluation, memory, retrieval, training
+from tidemill.operators import bm25, chunking, comparison, datasets, enrich, episodes, evaluation, memory, messages, retrieval, training, verification
 from tidemill.sources import files, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +667,77 @@ def percentage_table(spark, t):
 @query("SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
 def bounded_window(spark, t):
     return records.window(t("events"), "event_id", 100, 50).select("event_id", "ts", "event_type")
+
+
+# -- verification -------------------------------------------------------------------------------------
+
+
+def _verified(t):
+    ids = lambda a, b: F.transform(F.sequence(F.lit(0), (F.col("event_id") % a).cast("int")), lambda i: F.concat(F.lit("s"), ((F.col("event_id") + i) % b).cast("string"), F.lit("#"), (i % 3).cast("string")))
+    df = t("events").select(F.col("event_id").alias("task_id"), "event_type", F.col("event_type").alias("answer"), F.when(F.col("event_id") % 3 == 0, F.array("event_type", F.lit("other"))).otherwise(F.array(F.lit("view now"))).alias("gold_answers"), ids(4, 5).alias("evidence"), ids(3, 5).alias("gold_evidence"))
+    return verification.verify(df)
+
+
+VERIFIED = """WITH t AS (SELECT event_id AS task_id, event_type, list_transform(range(0, event_id % 4 + 1), lambda i: 's' || ((event_id + i) % 5) || '#' || (i % 3)) AS e, list_transform(range(0, event_id % 3 + 1), lambda i: 's' || ((event_id + i) % 5) || '#' || (i % 3)) AS g FROM events),
+d AS (SELECT *, list_distinct(list_transform(e, lambda x: split_part(x, '#', 1))) AS ed, list_distinct(list_transform(g, lambda x: split_part(x, '#', 1))) AS gd FROM t),
+n AS (SELECT *, len(list_intersect(list_distinct(e), g)) AS c, len(list_distinct(e)) AS ne, len(list_distinct(g)) AS ng, len(list_intersect(ed, gd)) AS cd FROM d),
+v AS (SELECT task_id, event_type, c / ne AS sp, c / ng AS sr, cd / len(ed) AS dp, cd / len(gd) AS dr, c = ne AND ne = ng AS seq, cd = len(ed) AND len(ed) = len(gd) AS deq, CASE WHEN task_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS em, CASE WHEN task_id % 3 = 0 THEN 1.0::DOUBLE WHEN event_type = 'view' THEN 1.0 ELSE 0 END AS ap, CASE WHEN task_id % 3 = 0 THEN 1.0::DOUBLE WHEN event_type = 'view' THEN 0.5 ELSE 0 END AS ar FROM n)"""
+
+
+@query(VERIFIED + " SELECT task_id, em AS answer_em, round(sp, 6) AS sentence_precision, round(sr, 6) AS sentence_recall, round(dr, 6) AS document_recall, CASE WHEN deq THEN 1.0::DOUBLE ELSE 0 END AS document_em, em * CASE WHEN seq THEN 1.0::DOUBLE ELSE 0 END AS joint_em, em * CASE WHEN sr >= 1 THEN 1.0::DOUBLE ELSE 0 END AS joint_success, round(coalesce(2 * ap * sp * ar * sr / nullif(ap * sp + ar * sr, 0), 0), 6) AS joint_f1 FROM v")
+def verify_tasks(spark, t):
+    return _verified(t).select("task_id", "answer_em", "sentence_precision", "sentence_recall", "document_recall", "document_em", "joint_em", "joint_success", "joint_f1")
+
+
+@query(VERIFIED + " SELECT round(avg(em), 6) AS answer_em, round(avg(sp), 6) AS sentence_precision, round(avg(CASE WHEN sr >= 1 THEN 1.0 ELSE 0 END), 6) AS complete_sentence_evidence, round(avg(dp), 6) AS document_precision FROM v")
+def verification_means(spark, t):
+    return verification.mean_metrics(_verified(t)).select("answer_em", "sentence_precision", "complete_sentence_evidence", "document_precision")
+
+
+@query(
+    """WITH g AS (SELECT user_id AS task_id, list('d' || (event_id % 17) || '#' || (event_id % 2)) AS gold FROM events WHERE event_id % 40 = 0 GROUP BY user_id),
+h AS (SELECT user_id AS task_id, 'd' || (event_id % 17) || '#' || (event_id % 2) AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events WHERE event_type = 'view'),
+f AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY min(rank)) AS r FROM h GROUP BY task_id, id),
+ks AS (SELECT unnest([2, 5, 10]) AS k), s AS (SELECT g.task_id, k, list_distinct(gold) AS gold, coalesce(list(id) FILTER (WHERE r <= k), []) AS top FROM g CROSS JOIN ks LEFT JOIN f ON f.task_id = g.task_id GROUP BY g.task_id, k, gold),
+m AS (SELECT k, len(list_intersect(top, gold)) / len(gold) AS s, len(list_intersect(list_distinct(list_transform(top, lambda x: split_part(x, '#', 1))), list_transform(gold, lambda x: split_part(x, '#', 1)))) / len(list_distinct(list_transform(gold, lambda x: split_part(x, '#', 1)))) AS d FROM s)
+SELECT CAST(k AS BIGINT) AS k, round(avg(s), 6) AS sentence_recall, round(avg(CASE WHEN s >= 1 THEN 1.0 ELSE 0 END), 6) AS complete_sentences, round(avg(d), 6) AS document_recall, round(avg(CASE WHEN d >= 1 THEN 1.0 ELSE 0 END), 6) AS complete_documents, count(*) AS n FROM m GROUP BY k"""
+)
+def retrieval_baseline(spark, t):
+    i = F.col("event_id")
+    named = F.concat(F.lit("d"), (i % 17).cast("string"), F.lit("#"), (i % 2).cast("string"))
+    gold = t("events").filter(i % 40 == 0).groupBy(F.col("user_id").alias("task_id")).agg(F.collect_list(named).alias("gold_evidence"))
+    hits = retrieval.ranked(t("events").filter("event_type = 'view'").select(F.col("user_id").alias("task_id"), named.alias("evidence_id"), i), i, by="task_id")
+    return verification.retrieval_baseline(hits, gold, [2, 5, 10])
+
+
+@query(
+    """WITH r AS (SELECT event_type AS cohort, event_id % 2 AS success, CASE WHEN event_id % 3 = 0 THEN event_id % 5 END AS coverage, value / 100 AS p FROM events)
+SELECT cohort, count(*) AS n, round(avg(success), 6) AS success, round(avg(coverage), 6) AS coverage, round(avg(p), 6) AS tool_precision FROM r GROUP BY GROUPING SETS ((cohort), ())"""
+)
+def cohort_summary(spark, t):
+    i = F.col("event_id")
+    r = t("events").select(F.col("event_type").alias("cohort"), (i % 2).alias("success"), F.lit(True).alias("answer_ok"), F.when(i % 3 == 0, i % 5).alias("coverage"), (F.col("value") / 100).alias("tool_precision"), F.lit(1.0).alias("tool_recall"))
+    return verification.by_cohort(r).select("cohort", "n", "success", "coverage", "tool_precision")
+
+
+@query("SELECT round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted, round(avg(l_discount), 6) AS plain, round(sum(l_quantity), 6) AS tokens FROM lineitem")
+def weighted_losses(spark, t):
+    return verification.weighted_losses(t("lineitem").select(F.col("l_discount").alias("loss"), F.col("l_quantity").alias("tokens")))
+
+
+@query("WITH g AS (SELECT event_id % 20 AS update, user_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY ALL) SELECT update, count(*) AS groups, count(*) FILTER (WHERE s < 0.0001) AS flat_groups, round(sum(m * n) / sum(n), 6) AS mean_reward, round(avg(s), 6) AS mean_deviation FROM g GROUP BY update")
+def update_report(spark, t):
+    return verification.update_report(t("events").select((F.col("event_id") % 20).alias("update"), F.col("user_id").alias("group_id"), F.col("value").alias("reward")))
+
+
+@query(
+    """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS tok FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))) AS tok FROM documents),
+s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN d USING (tok) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
+)
+def match_count_search(spark, t):
+    return verification.match_count_search(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), t("documents").select("doc_id", "text"), X.simple_tokens, 5)
+
+
+@query("SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'missing: k' END AS error, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def argument_checks(spark, t):
+    return t("events").select("event_id", messages.argument_error(F.col("props"), {"k": ("int", True)}).alias("error"), F.get_json_object("props", "$.k").cast("long").alias("k"))
