@@ -213,3 +213,31 @@ def test_datasets(spark):
     assert got == {**{i: 0 for i in range(12)}, 50: 50}
     assert [(r.expected, r.seq) for r in datasets.gaps(spark.createDataFrame([("a", 0), ("a", 1), ("a", 3)], "k string, seq long"), "k", "seq").collect()] == [(2, 3)]
     assert datasets.collisions(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "k long, v string"), "k").count() == 1
+
+
+def test_messages(spark):
+    from tidemill.operators import messages
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    assert one(messages.decision(F.lit('```json\n{"final_answer": "x", "tool": "t"}\n```'))).kind == "final"
+    assert one(messages.decision(F.lit('{"tool": "t", "plan": "p"}'))).tool == "t" and one(messages.decision(F.lit("nothing"))).kind == "invalid"
+    schema = {"q": ("str", True), "n": ("int", False)}
+    cases = {'{"q": "a", "n": 3}': None, '{"q": "a", "n": true}': None, '{"q": "a", "n": 3.5}': "wrong type: n", '{"n": 3}': "missing: q", '{"q": 1}': "wrong type: q", '{"q": "a", "z": 1}': "unknown: z", "[1]": "args must be an object"}
+    assert {a: one(messages.argument_error(F.lit(a), schema)) for a in cases} == cases
+    kept = one(messages.safe_provenance(F.create_map(F.lit("source"), F.lit("s"), F.lit("GoldIds"), F.lit("g"))))
+    assert kept == {"source": "s"}
+    assert one(messages.compact(F.array(*map(F.lit, "abcdef")), 4, 1)) == list("cdef") and one(messages.compact(F.array(F.lit("ab")), 4, 1)) == ["a"]
+    assert len(one(messages.tiered(F.array(F.lit("x" * 300), F.lit("y" * 300)), 450, (220, 100)))) == 441
+
+
+def test_verification(spark):
+    from tidemill.operators import verification
+
+    rows = [("r", ["ok"], ["a#0", "b#9"], ["a#0", "b#1"], "ok"), ("s", ["no"], ["a#0", "noise#0"], ["a#0"], "ok"), ("t", ["ok"], ["a#0", "noise#0"], ["a#0"], "ok"), ("u", ["ok"], [], [], "")]
+    df = spark.createDataFrame(rows, "task_id string, gold_answers array<string>, evidence array<string>, gold_evidence array<string>, answer string")
+    got = {r.task_id: r for r in verification.verify(df).collect()}
+    assert (got["r"].sentence_precision, got["r"].sentence_recall, got["r"].document_recall, got["r"].joint_success) == (0.5, 0.5, 1.0, 0.0)
+    assert (got["t"].sentence_precision, got["t"].sentence_recall, got["t"].sentence_em, got["t"].joint_em, got["t"].joint_success) == (0.5, 1.0, 0.0, 0.0, 1.0)
+    assert got["s"].joint_success == 0.0 and got["u"].sentence_em == 1.0 and got["u"].answer_em == 0.0
+    gate = verification.evidence_gate(F.array(F.lit("f")), F.array(F.lit("f")), F.array(F.lit(1), F.lit(1)), F.array(F.lit(1), F.lit(1), F.lit(1)))
+    assert spark.range(1).select(gate).first()[0] is False

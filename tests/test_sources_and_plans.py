@@ -139,3 +139,18 @@ def test_query_equals_sql(spark, sf_dir, name):
     flat = lambda row: tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in row)
     got = sorted((flat(r) for r in df.select(columns).collect()), key=repr)
     assert got == sorted(map(flat, want), key=repr)
+
+
+def test_stores(spark, tmp_path):
+    from tidemill.sources import stores
+
+    chunks = spark.createDataFrame([(0, "s", 0, "red fox"), (1, "s", 1, "blue dog")], "doc_id long, source string, chunk_id int, text string")
+    folder = str(tmp_path / "index")
+    assert not stores.exists(spark, folder)
+    stores.save(folder, chunks, X.simple_tokens(F.col("text")))
+    assert stores.exists(spark, folder) and stores.load(spark, folder, "postings").count() == 4
+    with pytest.raises(Exception, match="(?i)already exists"):
+        stores.save(folder, chunks, X.simple_tokens(F.col("text")))
+    assert stores.stale(chunks.limit(1), stores.load(spark, folder, "postings")).count() == 1
+    named = chunks.withColumn("doc_id", F.concat("source", F.lit("#"), F.col("chunk_id")))
+    assert stores.misnamed(named).count() == 0 and stores.misnamed(named.withColumn("doc_id", F.lit("x"))).count() == 2
