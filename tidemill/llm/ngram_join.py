@@ -214,7 +214,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = N, batch_by
     sets = settle(both.applyInArrow(lambda a, b: _ordered(a, b, buckets, n), SETS))
 
     able = sets.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = able.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the join below are dealt for it alone and a large class can be split
+    classes = settle(able.groupBy("sig").agg(F.min("doc_id").alias("rep")))
     members = able.select("doc_id", "sig").join(classes, "sig").select("doc_id", "rep")
     reps = settle(able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n", "prefix", "grams"), F.struct("n", "sig")).alias("x")).select("doc_id", "x.*"))
 
