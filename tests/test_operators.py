@@ -76,7 +76,7 @@ def test_metrics(spark):
     with pytest.raises(ValueError):
         evaluation.rank_metrics(h, gold, [0])
     assert tuple(one(evaluation.tool_sets(p("r", "c"), p("r")))) == (0.5, 1.0)
-    assert one(evaluation.labelled_number(F.lit("x: 3 then x: 4.50"), "x", F.lit(4.5))) is True
+    assert one(evaluation.labelled_number(F.lit("Final answer: 3, no: 最终答案：4.50"), F.lit(4.5))) is True
 
 
 def test_headings_pages_blocks(spark):
@@ -202,10 +202,12 @@ def test_comparison(spark):
 
 
 def test_datasets(spark):
-    rows = [("one", "Q?", "A", "bridge", (["Beta"], [0]), (["Alpha", "Beta"], [["a0", "a1"], ["b0"]])), ("two", "Q?", "A", "bridge", (["Gamma"], [1]), (["Beta", "Gamma"], [["b0"], ["g0", "g1"]])), ("bad", "Q?", "A", "bridge", (["Beta"], [7]), (["Beta"], [["b0"]])), ("blank", " ", "A", "bridge", ([], []), ([], []))]
+    rows = [("one", "Q?", "A", "bridge", ([" Beta"], [0]), (["Alpha", "Beta"], [["a0", "a1"], ["b0"]])), ("two", "Q?", "A", "bridge", (["Gamma"], [1]), (["Beta", "Gamma"], [["b0"], ["g0", "g1"]])), ("bad", "Q?", "A", "bridge", (["Beta"], [7]), (["Beta"], [["b0"]])), ("blank", " ", "A", "bridge", ([], []), ([], []))]
     df = spark.createDataFrame(rows, "id string, question string, answer string, type string, supporting_facts struct<title:array<string>,sent_id:array<int>>, context struct<title:array<string>,sentences:array<array<string>>>")
     tasks, sentences, rejected = datasets.convert(df)
     assert tasks.count() == 2 and sentences.count() == 5 and {(r.id, r.reason) for r in rejected.collect()} == {("bad", "unknown_support"), ("blank", "missing_question")}
+    assert {tuple(r.gold_evidence_ids) for r in tasks.collect()} <= {(r.doc_id,) for r in sentences.collect()}
+    assert {r.text for r in sentences.collect()} >= {"Beta\nb0", "Gamma\ng1"} and sentences.filter("NOT doc_id LIKE 'documents/%-__________#_'").count() == 0
     edges = tasks.select("task_id", F.explode("document_keys").alias("document_key"))
     assert datasets.disjoint_partitions(edges).select("partition").distinct().count() == 1
     chain = spark.createDataFrame([(i, j) for i in range(12) for j in (i, i + 1)] + [(50, 99)], "l long, r long")
@@ -241,3 +243,19 @@ def test_verification(spark):
     assert got["s"].joint_success == 0.0 and got["u"].sentence_em == 1.0 and got["u"].answer_em == 0.0
     gate = verification.evidence_gate(F.array(F.lit("f")), F.array(F.lit("f")), F.array(F.lit(1), F.lit(1)), F.array(F.lit(1), F.lit(1), F.lit(1)))
     assert spark.range(1).select(gate).first()[0] is False
+
+
+def test_judging_and_blocks(spark):
+    from tidemill.operators import verification
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    arr = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    judged = lambda a, kind, value=None, values=(), forbidden=(): one(evaluation.judge(F.lit(a), F.lit(kind), F.lit(value).cast("string"), arr(*values), arr(*forbidden)))
+    assert judged("A b", "exact", "ab") and judged("x y z", "contains_all", values=["xy", "Z"]) and not judged("x y z", "contains_all", values=["x"], forbidden=["z"])
+    assert judged("final answer = -2.0", "labelled_number", "-2") and not judged("42", "labelled_number", "42") and judged("not enough evidence", "refusal", values=["Not enough"]) and judged("x", "other") is None
+    s = lambda kind, a, e=(), g=(), n=(): one(verification.success(F.lit(kind), F.lit(a), arr(*e), arr(*g), F.lit(42.0), arr(*n), 2))
+    assert s("multihop", "", ["a", "b"], ["b"]) and not s("multihop", "", ["x", "y", "b"], ["b"]) and not s("multihop", "", ["a"]) and s("calc", "it is 42.01") and s("memory", "likes tea", n=["tea"]) and not s("memory", "tea") and not s("", "x")
+    assert [one(memory.visibility(F.lit(v))) for v in (" private ", "2", "1", "x", None)] == ["PRIVATE", "PRIVATE", "PUBLIC", "PUBLIC", "PUBLIC"]
+    assert one(memory.visibility(F.lit("2"), numbers_as_text=False)) == "PUBLIC"
+    facts = spark.createDataFrame([(1, 2, "", "b"), (1, 1, "pet", "a cat")], "query_id long, rank int, fact_object string, content string")
+    assert memory.block(facts).first().memory == "- (pet) a cat\n- b"

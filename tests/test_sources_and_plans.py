@@ -99,9 +99,34 @@ def test_index_and_prompts(spark):
     q = spark.createDataFrame([(1, "delta epsilon", [1.0, 1.0])], "query_id long, text string, vector array<float>")
     hits = plan.hybrid(q, chunks, vectors, X.simple_tokens, top=3)
     assert [r.rank for r in hits.orderBy("rank").collect()] == [1, 2, 3]
-    context = hits.join(built.withColumn("doc_id", F.col("chunk_id").cast("long")), "doc_id").select("query_id", "rank", "source", "heading", F.lit(None).cast("int").alias("page"), "chunk_id", "text")
-    said = plan.prompts(q, context).first().prompt
-    assert said.startswith("Context:\n[1] d.md > Top") and said.endswith("Question:\ndelta epsilon")
+    found = hits.join(built.withColumn("doc_id", F.col("chunk_id").cast("long")), "doc_id").select("query_id", "rank", "source", "chunk_id", "text", "modality")
+    memory = spark.createDataFrame([(1, "- likes tea")], "query_id long, memory string")
+    said = plan.prompts(q, plan.contexts(found), memory=memory).first().prompt
+    assert said.startswith("User question:\ndelta epsilon\n\nRetrieved context:\n[Chunk ") and said.endswith("\n\nAbout the user (personal background, not evidence):\n- likes tea") and said.count("(modality=text)") == 3
+    heard = agent.observation(found).first().observation
+    assert heard.startswith("retrieved chunks:\n[d.md#") and len(heard.splitlines()) == 4
+
+
+def test_citations(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    n = F.lit
+    assert one(X.citation(n("a/b.md"), n(3))) == "Chunk 3, b.md" and one(X.citation(n("b.pdf"), n(0), n(2), n(2))) == "Chunk 0, b.pdf, p.2"
+    assert one(X.citation(n("b.pdf"), n(0), n(2), n(4))) == "Chunk 0, b.pdf, p.2-4" and one(X.citation(n(None).cast("string"), n(None).cast("int"))) == "Chunk NA, unknown"
+    assert one(X.citation(n("v/m.mp4"), n(1), modality=n("image"), seconds=n(1.5))) == "Frame 1, m.mp4, t=1.50s" and one(X.citation(n("i.png"), n(1), modality=n("image"))) == "Image 1, i.png"
+
+
+@pytest.mark.parametrize(
+    "question,text,want",
+    [
+        ("Badr Hari was a member of which promotion?", "retrieved chunks:\n[documents/badr_hari-0123456789#0] Badr Hari was a member of Global Fighting Championship.", "Global Fighting Championship"),
+        ("What is zinc soluble in", "[a#0] it is soluble in water, acid and oil", "oil"),
+        ("Where is it", "[x#0] some lowercase payload only", "x"),
+        ("Who", "no lines at all", "Who supporting evidence"),
+        (None, None, "supporting evidence"),
+    ],
+)
+def test_follow_up(spark, question, text, want):
+    assert agent.follow_up(question, text) == want
 
 
 def test_agent_loop(spark):

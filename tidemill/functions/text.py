@@ -145,16 +145,28 @@ def slug(text: Column, size: int = 56) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*\n?", ""), r"\n?\s*```$", ""))
+    """What stands between a first line of backticks, with whatever it says, and last backticks, if the text starts with them."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(t, r"^```(?:[^\n]*\n)?", ""), r"```$", "")
+    return F.when(t.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(t)
 
 
 def snippet(text: Column, size: int = 200) -> Column:
     return F.substring(F.translate(F.coalesce(text, F.lit("")), "\n", " "), 1, size)
 
 
-def citation(source: Column, heading: Column, page: Column, chunk: Column) -> Column:
-    """`source > heading (p. n) #chunk`, without the parts that are null."""
-    return F.concat(source, F.coalesce(F.concat(F.lit(" > "), heading), F.lit("")), F.coalesce(F.concat(F.lit(" (p. "), page.cast("string"), F.lit(")")), F.lit("")), F.lit("#"), chunk.cast("string"))
+def citation(source: Column, chunk: Column, first: Column | None = None, last: Column | None = None, modality: Column | None = None, seconds: Column | None = None) -> Column:
+    """`Chunk 3, name, p.1-2`; pictures are `Image 3, name`, film frames `Frame 3, name, t=1.50s`. first, last: pages."""
+    none = F.lit(None)
+    first, last, seconds = (x if x is not None else none for x in (first, last, seconds))
+    base = F.coalesce(source, F.lit("unknown"))
+    name = F.when(base.isin("", "unknown"), F.lit("unknown")).otherwise(F.regexp_extract(base, r"([^/]*)$", 1))
+    head = F.concat(F.coalesce(chunk.cast("string"), F.lit("NA")), F.lit(", "), name)
+    span = F.when(last.isNull() | (last == first), first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string")))
+    text = F.concat(F.lit("Chunk "), head, F.coalesce(F.concat(F.lit(", p."), span), F.lit("")))
+    at = F.coalesce(F.concat(F.lit(", t="), F.format_string("%.2f", seconds.cast("double")), F.lit("s")), F.lit(""))
+    picture = F.when(seconds.isNotNull(), F.concat(F.lit("Frame "), head, at)).otherwise(F.concat(F.lit("Image "), head))
+    return text if modality is None else F.when(modality == "image", picture).otherwise(text)
 
 
 def bucket10(key: Column) -> Column:

@@ -18,38 +18,50 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def document_id(title: Column, sentences: Column) -> Column:
-    """Slug of the title and ten hex digits of title and sentences."""
-    return F.concat(slug(title), F.lit("_"), F.substring(F.sha1(F.concat(title, F.lit("\n"), F.array_join(sentences, "\n"))), 1, 10))
+def document_id(title: Column, sentences: Column, dataset: str = "documents") -> Column:
+    """Data set, slug of the title and ten hex digits of title and sentences; titles are taken as composed and in ASCII case."""
+    digest = F.substring(F.sha1(F.concat(title, F.lit("\n"), F.array_join(sentences, "\n"))), 1, 10)
+    return F.concat(F.lit(f"{dataset}/"), slug(title), F.lit("-"), digest)
 
 
-def document_key(title: Column) -> Column:
-    return F.substring(F.sha2(F.trim(F.regexp_replace(F.lower(title), r"\s+", " ")), 256), 1, 16)
+def document_key(title: Column, dataset: str = "documents") -> Column:
+    """The same for every document of a title, whatever its spaces and case."""
+    plain = F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
+    return F.concat(F.lit(f"{dataset}-title/"), slug(plain), F.lit("-"), F.substring(F.sha2(plain, 256), 1, 16))
 
 
-def convert(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def convert(rows: DataFrame, dataset: str = "documents") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tasks, sentences and rejected rows (id, reason) of question rows.
 
     rows: id, question, answer, type, supporting_facts struct<title array, sent_id array>, context struct<title array, sentences
-    array<array>>. A row is rejected when its arrays differ in length or a supporting fact is not in its context.
+    array<array>>. Titles and sentences are trimmed, blank sentences have no row. A row is rejected when its arrays differ in
+    length, a document is empty or a supporting fact is not in its context.
     """
     c, s = F.col("context"), F.col("supporting_facts")
-    facts = F.arrays_zip(s["title"], s["sent_id"])
-    docs = F.transform(F.arrays_zip(c["title"], c["sentences"]), lambda d: F.struct(d["title"].alias("title"), d["sentences"].alias("sentences"), document_id(d["title"], d["sentences"]).alias("source"), document_key(d["title"]).alias("key")))
-    found = F.transform(facts, lambda f: F.transform(F.filter(docs, lambda d: (d["title"] == f["title"]) & (F.size(d["sentences"]) > f["sent_id"])), lambda d: F.concat(d["source"], F.lit("#"), f["sent_id"].cast("string"))))
+    clean = F.transform(F.arrays_zip(c["title"], c["sentences"]), lambda d: F.struct(F.trim(d["title"]).alias("title"), F.transform(d["sentences"], lambda x: F.trim(x)).alias("sentences")))
+    docs = F.transform(clean, lambda d: F.struct(d["title"].alias("title"), d["sentences"].alias("sentences"), document_id(d["title"], d["sentences"], dataset).alias("source"), document_key(d["title"], dataset).alias("key")))
+
+    def places(f: Column) -> Column:
+        n = f["sent_id"]
+        has = lambda d: (d["title"] == F.trim(f["title"])) & (n >= 0) & (F.coalesce(F.try_element_at(d["sentences"], n + 1), F.lit("")) != "")
+        return F.transform(F.slice(F.filter(docs, has), -1, 1), lambda d: F.concat(d["source"], F.lit("#"), n.cast("string")))
+
+    found = F.transform(F.arrays_zip(s["title"], s["sent_id"]), places)
     reason = (
-        F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "missing_question")
+        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing_id")
+        .when(F.coalesce(F.trim("question"), F.lit("")) == "", "missing_question")
         .when(F.coalesce(F.trim("answer"), F.lit("")) == "", "missing_answer")
         .when(F.size(c["title"]) != F.size(c["sentences"]), "context_length")
+        .when(F.exists(clean, lambda d: (F.coalesce(d["title"], F.lit("")) == "") | (F.size(d["sentences"]) < 1)), "empty_document")
         .when(F.size(s["title"]) != F.size(s["sent_id"]), "support_length")
-        .when(F.exists(found, lambda x: F.size(x) == 0), "unknown_support")
+        .when(F.exists(found, lambda x: F.size(x) < 1), "unknown_support")
     )
     df = rows.withColumn("reason", reason)
     good = df.filter("reason IS NULL").withColumn("docs", docs)
     gold = F.array_distinct(F.flatten(found))
-    tasks = good.select(F.col("id").alias("task_id"), "question", F.col("type").alias("task_type"), F.array("answer").alias("gold_answers"), gold.alias("gold_evidence_ids"), F.transform("docs", lambda d: d["key"]).alias("document_keys"))
-    each = good.select(F.inline("docs")).select("title", "source", F.posexplode("sentences").alias("chunk_id", "text"))
-    sentences = each.select(F.concat("source", F.lit("#"), "chunk_id").alias("doc_id"), "source", "chunk_id", "title", "text")
+    tasks = good.select(F.concat(F.lit(f"{dataset}_"), "id").alias("task_id"), F.trim("question").alias("question"), F.lit("multihop").alias("task_type"), F.array(F.trim("answer")).alias("gold_answers"), gold.alias("gold_evidence_ids"), F.array_distinct(F.transform("docs", lambda d: d["key"])).alias("document_keys"), F.col("type").alias("question_type"))
+    each = good.select(F.inline("docs")).select("title", "source", F.posexplode("sentences").alias("chunk_id", "text")).filter("text <> ''")
+    sentences = each.select(F.concat("source", F.lit("#"), "chunk_id").alias("doc_id"), "source", "chunk_id", "title", F.concat_ws("\n", "title", "text").alias("text"))
     return tasks, unique(sentences, "doc_id"), df.filter("reason IS NOT NULL").select("id", "reason")
 
 

@@ -70,20 +70,50 @@ def tool_sets(called: Column, expected: Column) -> Column:
     return F.struct(share(c).alias("precision"), share(e).alias("recall"))
 
 
-def contains_all(answer: Column, required: Column, forbidden: Column | None = None) -> Column:
-    """Whether all required strings stand in the answer and no forbidden one does, without regard to case and white space."""
-    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+def _flat(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"\s+", ""))
+
+
+def contains_all(answer: Column, required: Column, forbidden: Column | None = None, flat=_flat) -> Column:
+    """Whether all required strings stand in the answer and no forbidden one does, without regard to case and white space.
+
+    flat: how both sides are made alike; give functions.text.normalise_compat applied beforehand for text beyond ASCII.
+    """
     a = flat(F.coalesce(answer, F.lit("")))
     ok = F.forall(required, lambda r: F.contains(a, flat(r)))
     return ok if forbidden is None else ok & ~F.exists(forbidden, lambda r: F.contains(a, flat(r)))
 
 
-def labelled_number(answer: Column, label: str, expected: Column) -> Column:
-    """Whether the last number after `label:` equals the expected decimal."""
-    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(rf"{label}\s*[:=]\s*(-?\d+(?:\.\d+)?)"), F.lit(1))
+#: Labels of a final number. Fixed values.
+FINAL = r"(?i)(?:最终答案|final\s*answer)"
+
+
+def labelled_number(answer: Column, expected: Column, label: str = FINAL) -> Column:
+    """Whether the last number after a label and a colon or equals sign is the expected decimal."""
+    found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(rf"{label}\s*[:：=]\s*(-?\d+(?:\.\d+)?)"), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("decimal(38,10)") == expected.cast("decimal(38,10)"), F.lit(False))
 
 
+def refusal(answer: Column, markers: Column, forbidden: Column, patterns: list[str]) -> Column:
+    """Whether an answer has a marker of missing evidence, no forbidden claim and no forbidden pattern."""
+    a = _flat(F.coalesce(answer, F.lit("")))
+    ok = F.exists(markers, lambda m: F.contains(a, _flat(m))) & ~F.exists(forbidden, lambda m: F.contains(a, _flat(m)))
+    for p in patterns:
+        ok = ok & ~F.coalesce(answer, F.lit("")).rlike(f"(?i){p}")
+    return ok
+
+
+def judge(answer: Column, kind: Column, value: Column, values: Column, forbidden: Column) -> Column:
+    """By a rule's kind: exact, contains_all, labelled_number or refusal (values are its markers); null for another kind."""
+    exact = _flat(F.coalesce(answer, F.lit(""))) == _flat(F.coalesce(value, F.lit("")))
+    return (
+        F.when(kind == "exact", exact)
+        .when(kind == "contains_all", contains_all(answer, values, forbidden))
+        .when(kind == "labelled_number", labelled_number(answer, value.try_cast("decimal(38,10)")))
+        .when(kind == "refusal", refusal(answer, values, forbidden, []))
+    )
+
+
 def reconcile(reported: DataFrame, recomputed: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows (keys, metric, reported, recomputed) on which two metric tables (keys, metric, value) disagree or that one lacks."""
     on = [*keys, "metric"]

@@ -53,12 +53,17 @@ def resolve(ops: DataFrame, existing: DataFrame, similarity: Column, update_at:
     return df.withColumn("resolved", resolved).withColumn("applied", F.col("resolved") != "refused").drop("known")
 
 
-def visibility(value: Column, allowed: tuple[str, ...] = ("public", "private"), default: str = "private") -> Column:
-    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(v.isin(*allowed), v).otherwise(F.lit(default))
+def visibility(value: Column, numbers_as_text: bool = True) -> Column:
+    """PUBLIC or PRIVATE of a word in any case or of 1 and 2, else PUBLIC; numbers written as text count only if asked for."""
+    v = F.upper(F.trim(value.cast("string")))
+    out = F.when(v.isin("PUBLIC", "PRIVATE"), v)
+    if numbers_as_text:
+        out = out.when(v == "1", "PUBLIC").when(v == "2", "PRIVATE")
+    return out.otherwise(F.lit("PUBLIC"))
 
 
 def block(facts: DataFrame, by: str = "query_id", rank: str = "rank") -> DataFrame:
     """A query's facts as one text, a line each, in order."""
-    line = F.concat(F.lit("- ["), F.col("fact_object"), F.lit("] "), F.col("content"))
+    about = F.when(F.coalesce("fact_object", F.lit("")) != "", F.concat(F.lit("("), F.col("fact_object"), F.lit(") "))).otherwise("")
+    line = F.concat(F.lit("- "), about, F.col("content"))
     return facts.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, line.alias("line")))), lambda x: x["line"]), "\n").alias("memory"))

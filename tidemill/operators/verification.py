@@ -55,9 +55,16 @@ def retrieval_baseline(hits: DataFrame, tasks: DataFrame, ks: list[int]) -> Data
     return df.groupBy("k").agg(F.avg("s").alias("sentence_recall"), whole("s").alias("complete_sentences"), F.avg("d").alias("document_recall"), whole("d").alias("complete_documents"), F.count("*").alias("n"))
 
 
-def success(kind: Column, answer_ok: Column, coverage: Column, tool_used: Column) -> Column:
-    """By task type: multihop needs the answer and all evidence, calc the answer and the tool, memory the answer."""
-    return F.when(kind == "multihop", answer_ok & (coverage >= 1.0)).when(kind == "calc", answer_ok & tool_used).when(kind == "memory", answer_ok).otherwise(F.lit(False))
+def success(kind: Column, answer: Column, evidence: Column, gold: Column, expected: Column, needles: Column, k: int) -> Column:
+    """By task type: multihop has all of its gold, which must not be empty, in the first k ids; calc hits its number; memory has all needles."""
+    top = F.slice(F.array_distinct(evidence), 1, k)
+    answer = F.coalesce(answer, F.lit(""))
+    return (
+        F.when(kind == "multihop", (F.size(gold) > 0) & (F.size(F.array_except(gold, top)) == 0))
+        .when(kind == "calc", X.numeric_hit(answer, expected))
+        .when(kind == "memory", (F.size(needles) > 0) & F.forall(needles, lambda n: F.contains(answer, n)))
+        .otherwise(F.lit(False))
+    )
 
 
 def evidence_gate(read: Column, required_files: Column, values: Column, required_values: Column) -> Column:

@@ -33,15 +33,35 @@ def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, tokens:
     return retrieval.fuse([dense, lexical], k, top)
 
 
-def prompts(questions: DataFrame, context: DataFrame, memory: DataFrame | None = None) -> DataFrame:
-    """query_id and prompt: memory, the context's passages with their labels in order of rank, and the question.
+#: Titles of a prompt's sections. Fixed values.
+QUESTION, CONTEXT, TOOLS = "User question", "Retrieved context", "Verified tool outputs"
+ACTIONS, MEMORY = "Confirmed actions (operation status only, not factual evidence)", "About the user (personal background, not evidence)"
 
-    context: query_id, rank, source, heading, page, chunk_id, text.
+
+def contexts(hits: DataFrame) -> DataFrame:
+    """query_id and context: passages under their labels in order of rank.
+
+    hits: query_id, rank, source, chunk_id, text and, where known, page_start, page_end, modality, image_path, time_sec.
+    """
+    has = lambda c, kind: F.col(c) if c in hits.columns else F.lit(None).cast(kind)
+    modality = F.coalesce(has("modality", "string"), F.lit("text"))
+    label = citation(F.col("source"), F.col("chunk_id"), has("page_start", "int"), has("page_end", "int"), modality, has("time_sec", "double"))
+    path = F.coalesce(F.concat(F.lit(", image_path="), has("image_path", "string")), F.lit(""))
+    passage = F.concat(F.lit("["), label, F.lit("]\n"), F.trim(F.coalesce("text", F.lit(""))), F.lit("\n(modality="), modality, path, F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", passage.alias("p"))))
+    return hits.groupBy("query_id").agg(F.trim(F.array_join(F.transform(rows, lambda x: x["p"]), "\n\n")).alias("context"))
+
+
+def prompts(questions: DataFrame, context: DataFrame, **more: DataFrame) -> DataFrame:
+    """query_id and prompt of questions (query_id, text): question and context, then what there is of tools, actions and memory.
+
+    context and the others: query_id and a column by their own name (context, tools, actions, memory).
     """
-    label = citation(F.col("source"), F.col("heading"), F.col("page"), F.col("chunk_id"))
-    passage = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), label, F.lit("\n"), F.trim("text"))
-    joined = context.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
-    df = questions.join(joined, "query_id", "left")
-    df = df.join(memory, "query_id", "left") if memory is not None else df.withColumn("memory", F.lit(None).cast("string"))
-    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{title}:\n"), c, F.lit("\n\n"))).otherwise("")
-    return df.select("query_id", F.concat(part("Memory", F.col("memory")), part("Context", F.col("context")), F.lit("Question:\n"), F.col("text")).alias("prompt"))
+    df = questions.join(context, "query_id", "left")
+    parts = [F.concat(F.lit(f"{QUESTION}:\n"), F.col("text")), F.concat(F.lit(f"{CONTEXT}:\n"), F.coalesce("context", F.lit("")))]
+    for name, title in (("tools", TOOLS), ("actions", ACTIONS), ("memory", MEMORY)):
+        if name in more:
+            df = df.join(more[name], "query_id", "left")
+            said = F.trim(F.coalesce(name, F.lit("")))
+            parts.append(F.when(said != "", F.concat(F.lit(f"{title}:\n"), said)))
+    return df.select("query_id", F.concat_ws("\n\n", *parts).alias("prompt"))

@@ -269,10 +269,11 @@ def block_types(spark, t):
     return t("documents").select("doc_id", enrich.block_type(F.col("text")).alias("block_type"))
 
 
-@query("SELECT doc_id, source || ' > ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' (p. ' || (doc_id % 9) || ')' ELSE '' END || '#' || doc_id AS label, left(replace(text, chr(10), ' '), 200) AS snippet FROM documents")
+@query("SELECT doc_id, 'Chunk ' || doc_id || ', ' || source || CASE WHEN doc_id % 3 = 0 THEN ', p.' || (doc_id % 9) WHEN doc_id % 3 = 1 THEN ', p.' || (doc_id % 9) || '-' || (doc_id % 9 + 1) ELSE '' END AS label, left(replace(text, chr(10), ' '), 200) AS snippet FROM documents")
 def citation_labels(spark, t):
-    d = t("documents")
-    return d.select("doc_id", X.citation(F.col("source"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 9), F.col("doc_id")).alias("label"), X.snippet(F.col("text")).alias("snippet"))
+    i = F.col("doc_id")
+    label = X.citation(F.concat(F.lit("a/b/"), F.col("source")), i, F.when(i % 3 < 2, i % 9), F.when(i % 3 == 0, i % 9).when(i % 3 == 1, i % 9 + 1))
+    return t("documents").select("doc_id", label.alias("label"), X.snippet(F.col("text")).alias("snippet"))
 
 
 @query("SELECT DISTINCT * FROM (SELECT md5(text) AS key, lang, length(text) AS n FROM documents)")
