@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .datasets import checkpoint
@@ -14,8 +14,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, tok, tf and dl of each distinct token of each document that has tokens."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).filter(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t"))
+    each = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("tok"))
+    return each.groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def vocabulary(index: DataFrame, n: int) -> DataFrame:
@@ -26,11 +27,16 @@ def vocabulary(index: DataFrame, n: int) -> DataFrame:
     return raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
+def sizes(index: DataFrame) -> DataFrame:
+    """n_docs, n_tokens and avgdl: one row. A document's tf add up to its dl, so tf / dl counts it once without a shuffle by document."""
+    n, tokens = F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long"), F.sum("tf")
+    return index.agg(n.alias("n_docs"), tokens.cast("long").alias("n_tokens"), (tokens / n).alias("avgdl"))
+
+
 def statistics(index: DataFrame) -> DataFrame:
     """n_docs, n_tokens, avgdl, n_terms and average_idf: one row."""
     index = checkpoint(index)
-    sizes = index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.avg("dl").alias("avgdl"))
-    n, tokens, avgdl = sizes.first()
+    n, tokens, avgdl = sizes(index).first()
     raw = index.groupBy("tok").agg(F.count("*").alias("df")).select((F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     return raw.agg(F.lit(n).alias("n_docs"), F.lit(tokens).cast("long").alias("n_tokens"), F.lit(avgdl).alias("avgdl"), F.count("*").alias("n_terms"), F.avg("raw").alias("average_idf"))
 
@@ -43,7 +49,7 @@ def search(queries: DataFrame, query_tokens: Column, docs: DataFrame, doc_tokens
     padded from a list of the first doc_ids only as long as it needs.
     """
     index = checkpoint(postings(docs, doc_tokens, doc_id))  # the index is read by several joins
-    n, avgdl = index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    n, _, avgdl = sizes(index).first()
     vocab = vocabulary(index, n)
     asked = queries.select(F.col(query_id).alias("query_id"), query_tokens.alias("t")).filter(F.size("t") > 0)
     terms = asked.select("query_id", F.explode("t").alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("times"))
