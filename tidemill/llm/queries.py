@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontam.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE,
+        "op2_decontaminate": decontam.ORACLE,
+        "op6_url_filter": url_filter.oracle(),
+        "op7_substring_dedup": substring_dedup.ORACLE,
+    }

@@ -112,3 +112,27 @@ def judge(pages: DataFrame, labels: DataFrame, page: str = "page_id", url: str =
 def label_outcomes(labels: DataFrame) -> DataFrame:
     """Page outcomes from the labels table: bad if the quality is 0 or the text is toxic."""
     return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+
+
+def _strength(units: str, mean: str) -> str:
+    over = f"sum(n * power(bad / n - {mean}, 2)) - sum({mean} * (1 - {mean}))"
+    return f"(SELECT CASE WHEN {over} > 0 THEN least({MOST}, greatest({LEAST}, sum((n - 1) * {mean} * (1 - {mean})) / ({over}))) ELSE {MOST} END FROM {units})"
+
+
+def oracle(rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> str:
+    fits = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for name, _, test in fits)
+    said = " ".join(f"WHEN {test} THEN '{v}'" for _, v, test in fits)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h3 AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, sum(bad) AS bad, count(*) AS n FROM h JOIN o USING (page_id) GROUP BY host),
+h2 AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM h3 GROUP BY suffix, domain), h1 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM h2 GROUP BY suffix),
+g AS (SELECT coalesce((sum(bad) + 1) / (sum(n) + 2), 0) AS m0 FROM h1),
+i1 AS (SELECT h1.*, m0 FROM h1, g), k1 AS (SELECT {_strength('i1', 'm0')} AS k), p1 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1, n + k AS s1 FROM i1, k1),
+i2 AS (SELECT h2.*, m1 FROM h2 JOIN p1 USING (suffix)), k2 AS (SELECT {_strength('i2', 'm1')} AS k), p2 AS (SELECT domain, (bad + k * m1) / (n + k) AS m2, n + k AS s2 FROM i2, k2),
+i3 AS (SELECT h3.*, m2 FROM h3 JOIN p2 USING (domain)), k3 AS (SELECT {_strength('i3', 'm2')} AS k), p3 AS (SELECT host, (bad + k * m2) / (n + k) AS m3, n + k AS s3 FROM i3, k3),
+a AS (SELECT h.*, coalesce(m3, m2, m1, m0) AS m, coalesce(s3, s2, s1, 2) AS s FROM h LEFT JOIN p3 USING (host) LEFT JOIN p2 ON p2.domain = array_to_string(string_split(h.host, '.')[-2:], '.') LEFT JOIN p1 ON p1.suffix = string_split(h.host, '.')[-1], g)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {said} WHEN m - {z} * sqrt(m * (1 - m) / (s + 1)) > {threshold} THEN 'block' ELSE 'allow' END AS verdict FROM a
+"""
