@@ -103,3 +103,25 @@ def test_buckets(spark):
 
     for key in ("0", "abc", "é"):
         assert one(spark, X.bucket10(F.lit(key))) == int(hashlib.sha256(key.encode()).hexdigest()[:8], 16) % 10
+
+
+def test_keys(spark, tmp_path):
+    from tidemill.functions import keys
+
+    assert one(spark, keys.parse_ks(F.lit("5, 1,,3,1"))) == [1, 3, 5] and keys.positive_ks("3,1") == [1, 3]
+    with pytest.raises(ValueError):
+        keys.positive_ks("0,1")
+    rows = spark.createDataFrame([(" ", "t1", "Q ", ["a", " "], None), ("t2", None, "Q", None, ["e"])], "task_id string, id string, question string, answers array<string>, gold_chunk_ids array<string>")
+    got = {r.task_id: r for r in keys.task_fields(rows).collect()}
+    assert got["t1"].gold_answers == ["a"] and got["t1"].gold_evidence_ids == [] and got["t2"].gold_evidence_ids == ["e"] and got["t2"].task_type == "multihop"
+    assert one(spark, keys.finite(F.lit(float("nan")))) is None and one(spark, keys.finite(F.lit("1.5"))) == 1.5 and one(spark, keys.finite(F.lit("inf"))) is None
+    df = spark.createDataFrame([(1, None)], "b long, a string").select(keys.canonical_sha256(["b", "a"]).alias("x"))
+    import hashlib
+
+    assert df.first().x == hashlib.sha256(b'{"a":null,"b":1}').hexdigest()
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "b").write_bytes(b"2")
+    (tmp_path / "a").write_bytes(b"1")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    want = hashlib.sha256(b"".join(len(n).to_bytes(8, "big") + n + c for n, c in ((b"a", b"1"), (b"s/b", b"2")))).hexdigest()
+    assert keys.tree_digest(files, str(tmp_path)) == want

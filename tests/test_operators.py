@@ -259,3 +259,15 @@ def test_judging_and_blocks(spark):
     assert one(memory.visibility(F.lit("2"), numbers_as_text=False)) == "PUBLIC"
     facts = spark.createDataFrame([(1, 2, "", "b"), (1, 1, "pet", "a cat")], "query_id long, rank int, fact_object string, content string")
     assert memory.block(facts).first().memory == "- (pet) a cat\n- b"
+
+
+def test_reward_tricks_do_not_pay(spark):
+    from tidemill.operators import rewards
+
+    r = "retrieve_docs"
+    call = lambda task, step, key, found: (task, step, r, False, key, False, True, [found], ["x", "y"], True)
+    end = lambda task, step: (task, step, None, True, None, False, True, [], ["x", "y"], True)
+    rows = [call("h", 0, "1", "x"), call("h", 1, "2", "y"), end("h", 2), end("e", 0), call("d", 0, "1", "x"), call("d", 1, "1", "x"), end("d", 2), ("u", 0, "shell", False, "1", False, True, [], ["x", "y"], True), end("u", 1)]
+    kinds = spark.createDataFrame([("h", "honest"), ("e", "early_stop"), ("d", "repeated"), ("u", "unsupported")], "task_id string, kind string")
+    got = rewards.audit(episodes.rescore(steps(spark, rows), [r], 5), kinds).collect()
+    assert len(got) == 6 and all(x.passed for x in got)
