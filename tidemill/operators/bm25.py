@@ -10,6 +10,8 @@ from .retrieval import ranked
 
 # Fixed values of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Document ids (some 10 MB) up to which the padding list is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def postings(docs: DataFrame, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
@@ -62,6 +64,7 @@ def search(queries: DataFrame, query_tokens: Column, docs: DataFrame, doc_tokens
     most = short.agg(F.max(F.coalesce("m", F.lit(0)))).first()[0]
     if most is not None:
         first = index.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
-        pads = short.select("query_id").join(F.broadcast(first)).join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        first = F.broadcast(first) if k + most <= BROADCAST_ROWS else first
+        pads = short.select("query_id").join(first).join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
         scored = scored.unionByName(pads)
     return ranked(scored, F.round("score", 9).desc(), F.col("doc_id"), k=k)
