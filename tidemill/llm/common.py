@@ -122,7 +122,10 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def deal(docs: DataFrame, text: str, batches: int) -> DataFrame:
-    """doc_id, packed (the text's UTF-8, compressed, so that a shuffle moves less; null as empty) and batch, by a hash of the id."""
+    """doc_id, packed (the text's UTF-8, compressed, so that a shuffle moves less; null as empty) and batch, by a hash of id and text.
+
+    The text takes part so that rows without an id, or of one id, do not all meet in one batch.
+    """
     small_batches(docs.sparkSession)
 
     def run(rows):
@@ -135,7 +138,7 @@ def deal(docs: DataFrame, text: str, batches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, packed binary")
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)))
+    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "packed", F.lit("batch")), F.lit(batches)))
 
 
 def unpack(table) -> list[bytes]:

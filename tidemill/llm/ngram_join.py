@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least 3/4 are linked.
 
-1. Documents go in batches by a hash of the id; a batch asks each bucket of n-grams once for the document
+1. Documents go in batches by a hash of id and text; a batch asks each bucket of n-grams once for the document
    frequency of its distinct n-grams. The global order is by frequency class (powers of 2**(1/2)), rarest first, then by hash.
 2. A set's prefix is its first n - ceil(3n/4) + 1 n-grams; linked sets share one of them. N-grams of one document
    are shared with none, so most documents end here, without a link.

@@ -4,7 +4,7 @@ Windows are counted by super-k-mers. A window's minimiser is the least hash amon
 windows that share one travel as a single packed string to the minimiser's bucket, so equal windows meet there,
 wherever they come from. The bucket sorts its windows by a 128-bit hash and finds each one's smallest document.
 
-Documents are dealt into batches of about BATCH_BYTES by a hash of the id. A string that many documents of a
+Documents are dealt into batches of about BATCH_BYTES by a hash of id and text. A string that many documents of a
 batch share is sent once with its smallest and largest document, so a passage in a third of all documents costs a
 bucket one entry a batch; a bucket answers each batch only for windows that take something from it. Both ends of
 that exchange read one shuffle of the texts.
