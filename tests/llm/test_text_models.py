@@ -93,6 +93,36 @@ def test_filter_has_all_counts_and_few_false_ones():
     assert lm_score.levels_of(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
 
 
+def brute_score(rows):
+    """The score with quantised counts of no false positives."""
+    tokens = [(i, ["<s>", *(t or "").lower().split(), "</s>"]) for i, t in rows]
+    learnt = [ws for i, ws in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = collections.Counter(w for ws in learnt for w in ws)
+    pairs = collections.Counter(p for ws in learnt for p in zip(ws, ws[1:]))
+    n, v = sum(words.values()) - len(learnt), len(words) - 1
+    quantised = lambda c: c if c < 2 else 2 ** (math.floor(math.log2(c)) + 0.5)
+    share = lambda a, b: min(1.0, quantised(pairs[a, b]) / quantised(words[a])) if words[a] else 0.0
+    return {i: sum(math.log10(0.7 * share(a, b) + 0.3 * (min(quantised(words[b]), n) + 1) / (n + v + 1)) for a, b in zip(ws, ws[1:])) for i, ws in tokens}
+
+
+def test_lm_score_stays_near_exact_where_ngrams_are_many(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(chr(r.choice([*range(33, 65), *range(91, 127)])) for _ in range(20))) for i in range(200)]
+    want = brute_score(rows)
+    got = {x.doc_id: x.score for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=3000, bucket_bytes=2000).collect()}
+    error = np.mean([abs(got[i] - want[i]) for i in want])
+    assert error < 0.15, error
+
+
+def test_filter_grows_and_stops_at_the_highest_level():
+    h = np.random.default_rng(5).integers(0, 1 << 40, 400_000).astype(np.uint64)
+    for n in (1000, 200_000):
+        f = lm_score.fill([(h[:n], np.full(n, 5))])
+        assert (f.level(h[:n]) == 3).all() and (f.level(h[200_000:]) > 0).mean() < 0.02
+    full = lm_score.Filter(b"\xff" * 8, 1, 64, 3)
+    assert (full.count(h[:9]) == lm_score.BASE**2.5).all()
+
+
 def test_lm_of_odd_and_empty_tables(odd, empty):
     got = lm_score.score(odd).collect()
     assert len(got) == 12 and all(r.n_tokens >= 1 for r in got)

@@ -3,14 +3,14 @@
 Words and word pairs of the training texts are counted over the whole corpus. A count c is quantised to
 q = 1 + floor(log_BASE c), and its n-gram is put into the filter once for each level 1..q; a reader probes the
 levels upwards until one is missing and takes BASE ** (q - 1 / 2) for the count (1 at level 1). The filter is a row of segments: an
-n-gram's hash chooses the segment and PROBES bits in it, so each segment is filled by the one task that counts
-its n-grams, and no bit positions are moved. Its size follows the training text up to MOST_BITS, which bounds
-what is broadcast; beyond that size, false positives rise as in any Bloom filter, and no n-gram is left out.
+n-gram's hash chooses the segment and PROBES bits in it, so each segment is filled and probed by the one task that counts
+its n-grams, and neither bit positions nor segments are moved. A segment has BITS bits for each level of each of its n-grams, so
+false positives stay as they are however many n-grams there are, and no n-gram is left out.
 
 The score is the sum over tokens of log10 of WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 1) / (N + V + 1),
 with quantised counts; the first word's v is the start of a text. The base score has exact counts of words,
-which are looked up by a 64-bit hash: texts go in batches, each of which asks every bucket once for its
-distinct words, so a frequent word costs an entry a batch, wherever it occurs.
+which are looked up by a 64-bit hash. Texts go in batches, each of which asks every bucket once for its
+distinct words and pairs, so a frequent one costs an entry a batch, wherever it occurs.
 
 Null and empty texts are the end token alone. Rows with a null doc_id are scored and not learnt from, and
 held_out is null. With no training text N and V are 0 and every token has probability 1. Repeated rows count as often
@@ -19,7 +19,6 @@ as they occur.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -35,14 +34,13 @@ MODULUS, REMAINDER = 7, 2
 BASE = 2.0
 PROBES = 3
 WEIGHT = 0.7
-#: Bits of the filter for a byte of text, and in all (64 MB).
-BITS_PER_BYTE = 2
-MOST_BITS = 1 << 29
+#: Bits of the filter for each level of an n-gram: about one probe in a hundred for an absent one is answered by chance.
+BITS = 12
 END = np.uint64(0x5BD1E9955BD1E995)
 START = np.uint64(0xC6A4A7935BD1E995)
 
 REQUEST = "bucket long, batch long, words binary, counts binary, pairs binary, pair_counts binary"
-REPLY = "bucket long, batch long, counts binary, tokens long, kinds long, segment binary"
+REPLY = "bucket long, batch long, counts binary, levels binary, pair_levels binary, tokens long, kinds long"
 
 
 class Tokens:
@@ -88,6 +86,18 @@ def unints(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64)
 
 
+def small(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint8).tobytes())
+
+
+def unsmall(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+
+
 def segment_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
@@ -99,6 +109,8 @@ def spots(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
 
 
 LOW = np.uint64((1 << 40) - 1)
+#: The level of the largest 64-bit count.
+MOST_LEVEL = 63
 
 
 def _counts(h: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +118,21 @@ def _counts(h: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return uniq, np.bincount(back, weights=learn, minlength=len(uniq)).astype(np.int64)
 
 
+def _ordered(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by bucket, and where each bucket starts in it."""
+    bucket = segment_of(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 def _request(table: pa.Table, buckets: int) -> pa.Table:
     t = Tokens(unpack(table))
     learn = np.array(table.column("learn").to_pylist(), bool)
     batch = table.column("batch")[0].as_py()
     words, n = _counts(t.hash, learn[t.text])
-    starts = np.array([START], np.uint64)
-    ngrams = np.concatenate([t.pairs[learn[t.text]], np.repeat(starts, int(learn.sum()))])
-    pairs, m = _counts(ngrams, np.ones(len(ngrams), bool))
-    wb, pb = segment_of(words, buckets), segment_of(pairs, buckets)
-    wo, po = np.argsort(wb, kind="stable"), np.argsort(pb, kind="stable")
-    wc, pc = np.searchsorted(wb[wo], np.arange(buckets + 1)), np.searchsorted(pb[po], np.arange(buckets + 1))
+    ngrams = np.concatenate([t.pairs, np.full(len(learn), START)])
+    pairs, m = _counts(ngrams, np.concatenate([learn[t.text], learn]))
+    (wo, wc), (po, pc) = _ordered(words, buckets), _ordered(pairs, buckets)
     out = []
     for b in range(buckets):
         w, p = wo[wc[b] : wc[b + 1]], po[pc[b] : pc[b + 1]]
@@ -138,67 +154,78 @@ def levels_of(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(c, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _answer(table: pa.Table, bits: int) -> pa.Table:
-    rows = table.to_pylist()
-    words, n, back = _sum([np.frombuffer(r["words"], np.uint64) for r in rows], [unints(r["counts"]) for r in rows])
-    pairs, m, _ = _sum([from40(r["pairs"]) for r in rows], [unints(r["pair_counts"]) for r in rows])
-    segment = np.zeros(bits, bool)
-    for h, c in ((words[n > 0] & LOW, n[n > 0]), (pairs, m)):
-        q = levels_of(c)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for probe in range(PROBES):
-                segment[spots(h[q >= level], level, probe, bits)] = True
-    out, at = [], 0
-    for i, r in enumerate(rows):
-        size = len(r["words"]) // 8
-        first = (int(n.sum()), int((n > 0).sum()), np.packbits(segment, bitorder="little").tobytes()) if i == 0 else (0, 0, None)
-        out.append((r["bucket"], r["batch"], ints(n[back[at : at + size]]), *first))
-        at += size
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in REPLY.split(", ")])
-
-
 class Filter:
-    """The segments, bits each, end to end."""
+    """The segments, bits each, end to end; no level above `top` was put in."""
 
-    def __init__(self, packed: bytes, buckets: int, bits: int):
-        self.bytes, self.buckets, self.bits = np.frombuffer(packed, np.uint8), buckets, bits
+    def __init__(self, packed: bytes, buckets: int, bits: int, top: int = MOST_LEVEL):
+        self.bytes, self.buckets, self.bits, self.top = np.frombuffer(packed, np.uint8), buckets, bits, top
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """The quantised count of each n-gram, 0 where the filter lacks it."""
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """The highest level up to which the filter has each n-gram, 0 where it lacks it."""
         level = np.zeros(len(h), np.int64)
         live, base, low = np.arange(len(h)), segment_of(h, self.buckets) * self.bits, h & LOW
-        step = 1
-        while len(live):
+        for step in range(1, self.top + 1):
             for probe in range(PROBES):
                 at = base[live] + spots(low[live], step, probe, self.bits)
                 live = live[(self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             level[live] = step
-            step += 1
-        return np.where(level <= 1, level, BASE ** (level - 0.5))
+        return level
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """The quantised count of each n-gram, 0 where the filter lacks it."""
+        return quantised(self.level(h))
 
 
-_FILTERS: dict[str, Filter] = {}
+def quantised(level: np.ndarray) -> np.ndarray:
+    return np.where(level <= 1, level, BASE ** (level - 0.5))
 
 
-def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds: int, filt: Filter) -> pa.Table:
+def fill(ngrams: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
+    """One segment with n-grams (by the low 40 bits of their hashes) and their counts."""
+    ngrams = [(h, levels_of(c)) for h, c in ngrams]
+    bits = max(64, -(-BITS * sum(int(q.sum()) for _, q in ngrams) // 8) * 8)
+    top = max(int(q.max(initial=0)) for _, q in ngrams)
+    segment = np.zeros(bits, bool)
+    for h, q in ngrams:
+        for level in range(1, int(q.max(initial=0)) + 1):
+            for probe in range(PROBES):
+                segment[spots(h[q >= level], level, probe, bits)] = True
+    return Filter(np.packbits(segment, bitorder="little").tobytes(), 1, bits, top)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    words, n, back = _sum([np.frombuffer(r["words"], np.uint64) for r in rows], [unints(r["counts"]) for r in rows])
+    pairs, m, pairs_back = _sum([from40(r["pairs"]) for r in rows], [unints(r["pair_counts"]) for r in rows])
+    filt = fill([(words[n > 0] & LOW, n[n > 0]), (pairs[m > 0], m[m > 0])])
+    levels, pair_levels = filt.level(words)[back], filt.level(pairs)[pairs_back]
+    out, at, pairs_at = [], 0, 0
+    for i, r in enumerate(rows):
+        size, pairs_size = len(r["words"]) // 8, len(r["pairs"]) // 5
+        first = (int(n.sum()), int((n > 0).sum())) if i == 0 else (0, 0)
+        out.append((r["bucket"], r["batch"], ints(n[back[at : at + size]]), small(levels[at : at + size]), small(pair_levels[pairs_at : pairs_at + pairs_size]), *first))
+        at, pairs_at = at + size, pairs_at + pairs_size
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()]
+    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in REPLY.split(", ")])
+
+
+def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds: int) -> pa.Table:
     t = Tokens(unpack(table))
     words, back = np.unique(t.hash, return_inverse=True)
-    bucket = segment_of(words, buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    exact = np.zeros(len(words), np.int64)
-    for b, c in zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True):
-        exact[order[cut[b] : cut[b + 1]]] = unints(c)
+    pairs, of_pair = np.unique(np.concatenate([t.pairs, np.full(1, START)]), return_inverse=True)
+    (wo, wc), (po, pc) = _ordered(words, buckets), _ordered(pairs, buckets)
+    exact, guess, pair = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+    for r in replies.to_pylist():
+        w, p = wo[wc[r["bucket"]] : wc[r["bucket"] + 1]], po[pc[r["bucket"]] : pc[r["bucket"] + 1]]
+        exact[w], guess[w], pair[p] = unints(r["counts"]), unsmall(r["levels"]), unsmall(r["pair_levels"])
+    guess, pair = quantised(guess), quantised(pair)[of_pair]
+    pair, start = pair[:-1], pair[-1]
     docs = table.num_rows
     base = np.log10((exact + 1.0) / (n_all + kinds + 1.0))[back]
-    guess = filt.count(words)
-    pairs, of_pair = np.unique(t.pairs, return_inverse=True)
-    pair = filt.count(pairs)[of_pair]
     before = np.empty(len(t.hash))
     before[1:] = guess[back[:-1]]
     head = t.before == START
-    before[head] = filt.count(np.array([START], np.uint64))[0]
+    before[head] = start
     share = np.where(before > 0, np.minimum(1.0, pair / np.maximum(before, 1.0)), 0.0)
     p = WEIGHT * share + (1 - WEIGHT) * (np.minimum(guess[back], n_all) + 1.0) / (n_all + kinds + 1.0)
     add = lambda x: np.bincount(t.text, weights=x, minlength=docs)
@@ -206,28 +233,17 @@ def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds:
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    spark = docs.sparkSession
     batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
-    bits = min(most_bits // buckets // 8, bucket_bytes * BITS_PER_BYTE // 8) * 8
-    bits = max(64, bits)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(MODULUS)) == REMAINDER
     dealt = deal(docs, text, batches).withColumns({"held_out": held, "learn": F.coalesce(~held, F.lit(False))})
     requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets), REQUEST)
-    replies = settle(requests.groupBy("bucket").applyInArrow(lambda t: _answer(t, bits), REPLY))
+    replies = settle(requests.groupBy("bucket").applyInArrow(_answer, REPLY))
     n_all, kinds = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    packed = np.zeros(buckets * bits // 8, np.uint8)
-    for b, segment in replies.filter(F.col("segment").isNotNull()).select("bucket", "segment").toLocalIterator():
-        packed[b * bits // 8 : (b + 1) * bits // 8] = np.frombuffer(segment, np.uint8)
-    packed = packed.tobytes()
-    key, sent = hashlib.sha256(packed).hexdigest(), spark.sparkContext.broadcast(packed)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if key not in _FILTERS:
-            _FILTERS.clear()
-            _FILTERS[key] = Filter(sent.value, buckets, bits)
-        return _score(left, right, buckets, n_all, kinds, _FILTERS[key])
+        return _score(left, right, buckets, n_all, kinds)
 
-    both = dealt.groupBy("batch").cogroup(replies.select("bucket", "batch", "counts").groupBy("batch"))
+    both = dealt.groupBy("batch").cogroup(replies.select("bucket", "batch", "counts", "levels", "pair_levels").groupBy("batch"))
     return both.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
