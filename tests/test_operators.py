@@ -185,6 +185,31 @@ def test_gate_and_examples(spark):
     assert [(r.step, r.replica) for r in kept] == [(0, 0), (0, 1), (0, 2), (1, 0)]
 
 
+def test_gate_names_faults_of_rewards_and_verification(spark):
+    d = lambda a: ("r", a, False)
+    s = lambda i, a, reward=(0.0, 0.0), ok=True: (i, a, False, False, ok, reward)
+    rows = [
+        ("kept", [d("a"), d("final_answer")], [s(0, "a"), s(1, "final_answer")], True),
+        ("invalid_transition", [d("a"), d("b")], [None, s(5, "b")], True),
+        ("transition_step_mismatch", [d("a"), d("b")], [s(None, "a", None), None], True),
+        ("missing_reward_breakdown", [d("a")], [s(0, "a", None, False)], True),
+        ("invalid_reward_breakdown", [d("a")], [s(0, "a", (-0.1, None))], True),
+        ("invalid_reward_breakdown", [d("a")], [s(0, "a", (math.nan, 0.0))], True),
+        ("invalid_reward_breakdown", [d("a")], [s(0, "a", (0.0, -math.inf))], True),
+        ("invalid_action_transition", [d("a")], [s(0, "a", (-0.1, -0.1))], True),
+        ("duplicate_call_transition", [d("")], [s(0, "", (0.0, -0.1))], True),
+        ("invalid_transition_action", [d("")], [s(0, "", ok=None)], True),
+        ("invalid_transition_action", [d(None)], [s(0, None)], True),
+        ("unsuccessful_tool_event", [d("a")], [s(0, "a", ok=False)], None),
+        ("missing_verification", [d("a")], [s(0, "a")], None),
+        ("missing_verification", [d("a")], [s(0, "a")], False),
+        ("parse_error", [None], [s(0, "a")], True),
+    ]
+    rows = [(*r, None if r[0] == "missing_verification" else 1.0, 1.0) for r in rows]
+    df = spark.createDataFrame(rows, "task_id string, decisions array<struct<raw:string,action:string,parse_error:boolean>>, transitions array<struct<step:int,action:string,duplicate:boolean,invalid:boolean,ok:boolean,reward:struct<invalid_action:double,duplicate_call:double>>>, verified boolean, success double, evidence double")
+    assert [(r.task_id, r.reject_reason) for r in training.gate(df).collect() if (r.reject_reason or "kept") != r.task_id] == []
+
+
 def test_comparison(spark):
     base = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 1.0)], "task_id string, value double")
     other = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 0.0), ("d", 1.0)], "task_id string, value double")

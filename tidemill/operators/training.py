@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,28 @@ def gate(episodes: DataFrame, least_success: float = 1.0, least_evidence: float
 
     episodes: task_id, decisions array<struct<raw, action, parse_error>>, transitions array<struct<step, action, duplicate, invalid, ok>>,
     success, evidence. The earliest bad step decides, and within a step the order of its checks.
+    Transitions may also have reward struct<invalid_action, duplicate_call>, where a number below 0 marks a bad step, and episodes
+    verified, whether there is a verification at all; reasons that need them are not given without them.
     """
     d, t = F.col("decisions"), F.col("transitions")
+    rewarded = "reward" in episodes.schema["transitions"].dataType.elementType.names
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
 
     def step_reason(x: Column, i: Column) -> Column:
-        return (
-            F.when(x["step"] != i, "transition_step_mismatch")
+        out = (
+            F.when(x.isNull() | F.try_element_at(d, i + 1).isNull(), "invalid_transition")
+            .when(~x["step"].eqNullSafe(i), "transition_step_mismatch")
             .when(~x["action"].eqNullSafe(F.try_element_at(d, i + 1)["action"]), "transition_action_mismatch")
-            .when(x["invalid"], "invalid_action_transition")
-            .when(x["duplicate"], "duplicate_call_transition")
+        )
+        invalid, duplicate = x["invalid"], x["duplicate"]
+        if rewarded:
+            r = [x["reward"][k].cast("double") for k in ("invalid_action", "duplicate_call")]
+            out = out.when(x["reward"].isNull(), "missing_reward_breakdown").when(~number(r[0]) | ~number(r[1]), "invalid_reward_breakdown")
+            invalid, duplicate = F.coalesce(invalid, F.lit(False)) | (r[0] < 0), F.coalesce(duplicate, F.lit(False)) | (r[1] < 0)
+        return (
+            out.when(invalid, "invalid_action_transition")
+            .when(duplicate, "duplicate_call_transition")
+            .when(x["action"].isNull() | (x["action"] == ""), "invalid_transition_action")
             .when(x["ok"].isNull(), "missing_tool_event")
             .when(~x["ok"], "unsuccessful_tool_event")
         )
@@ -37,7 +52,7 @@ def gate(episodes: DataFrame, least_success: float = 1.0, least_evidence: float
         [
             ("invalid_episode", F.col("task_id").isNull()),
             ("missing_decisions", F.coalesce(F.size(d), F.lit(0)) < 1),
-            ("parse_error", F.exists(d, lambda x: x["parse_error"])),
+            ("parse_error", F.exists(d, lambda x: x.isNull() | F.coalesce(x["parse_error"], F.lit(False)))),
             ("incomplete_decision", F.exists(d, lambda x: x["raw"].isNull() | (F.trim(x["raw"]) == ""))),
             ("missing_transitions", F.coalesce(F.size(t), F.lit(0)) < 1),
             ("transition_count_mismatch", F.size(t) != F.size(d)),
@@ -45,6 +60,7 @@ def gate(episodes: DataFrame, least_success: float = 1.0, least_evidence: float
     )
     after = first_reason(
         [
+            *([("missing_verification", ~F.coalesce("verified", F.lit(False)))] if "verified" in episodes.columns else []),
             ("missing_success_metric", F.col("success").isNull() | F.isnan("success")),
             ("below_success_threshold", F.col("success") < least_success),
             ("missing_evidence_metric", F.col("evidence").isNull() | F.isnan("evidence")),

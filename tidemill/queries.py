@@ -548,9 +548,10 @@ def clipped_loss(spark, t):
 def _gated(t):
     d = _steps(t).filter("step < 6")
     action = F.when(F.col("final"), "final_answer").otherwise(F.col("tool"))
-    parts = d.select("task_id", "step", F.struct(F.lit("raw").alias("raw"), action.alias("action"), F.col("parse_error").alias("parse_error")).alias("d"), F.struct(F.col("step").alias("step"), action.alias("action"), F.lit(False).alias("duplicate"), (F.coalesce("tool", F.lit("")) == "calculator").alias("invalid"), F.col("ok").alias("ok")).alias("t"))
+    reward = F.struct(F.when(F.col("tool") == "calculator", -0.1).otherwise(0.0).alias("invalid_action"), F.lit(0.0).alias("duplicate_call"))
+    parts = d.select("task_id", "step", F.struct(F.lit("raw").alias("raw"), action.alias("action"), F.col("parse_error").alias("parse_error")).alias("d"), F.struct(F.col("step").alias("step"), action.alias("action"), F.lit(False).alias("duplicate"), (F.coalesce("tool", F.lit("")) == "calculator").alias("invalid"), F.col("ok").alias("ok"), reward.alias("reward")).alias("t"))
     listed = parts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("step", "d", "t"))).alias("x"))
-    e = listed.select("task_id", F.col("x")["d"].alias("decisions"), F.col("x")["t"].alias("transitions"), F.when(F.col("task_id") % 5 != 0, (F.col("task_id") % 2).cast("double")).alias("success"), F.lit(1.0).alias("evidence"))
+    e = listed.select("task_id", F.col("x")["d"].alias("decisions"), F.col("x")["t"].alias("transitions"), F.when(F.col("task_id") % 5 != 0, (F.col("task_id") % 2).cast("double")).alias("success"), F.lit(1.0).alias("evidence"), F.lit(True).alias("verified"))
     return training.gate(e)
 
 
