@@ -48,6 +48,32 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert got[got.quality == 0].keep.mean() <= 0.4
 
 
+def test_quality_rejects_repeated_words(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].keep.mean() >= 0.98
+    assert got[got.quality == 0].keep.mean() <= 0.12
+
+
+def test_quality_threshold_follows_length():
+    r = np.random.default_rng(6)
+    n = r.integers(10, 5000, 3000)
+    a, b = quality.line(n, 1.7 + r.normal(size=3000) / np.sqrt(n))
+    for lo, hi in ((10, 300), (300, 2000), (2000, 5000)):
+        x = r.integers(lo, hi, 20_000)
+        assert (1.7 + r.normal(size=20_000) / np.sqrt(x) <= a + b / np.sqrt(x)).mean() > 0.98
+    assert a < 1.72 and b > 1.5
+
+
+@pytest.mark.parametrize("text", ["съешь же ещё этих мягких французских булок, да выпей чаю. ", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία. ", "نص حكيم له سر قاطع وذو شأن عظيم. ", "天地玄黄宇宙洪荒日月盈昃辰宿列张。"])
+def test_quality_tells_junk_in_other_scripts(text):
+    m = quality.Model(quality.kneser_ney(np.bincount(quality.codes([text * 30])[0], minlength=quality.SYMBOLS**quality.ORDER)))
+    shuffled = list(text * 3)
+    random.Random(7).shuffle(shuffled)
+    _, mean, _ = m.losses([text * 3, "".join(shuffled), text[0] * 90])
+    assert mean[0] + 1 < mean[1] and mean[0] + 1 < mean[2]
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (2, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)
