@@ -143,6 +143,19 @@ def test_pii_context_discovers_and_redaction_takes_effect(spark):
     assert clean[200].text == "we said: ordinal 3rd-place2 here" and clean[201].text is None and clean[0]._spans == "clash"
 
 
+def test_pii_patterns_come_from_whole_spans_and_masked_context(spark):
+    rows = [(i, f"please call me at +1 (826) 555-{4081 + i} now") for i in range(5)] + [(10, "so call me at 8265554081 now")]
+    rows += [(20 + i, f"he paid by card 4111 1111 1111 1111 or 10.0.0.{i} here") for i in range(5)] + [(30, "he paid by card 9876543210 or key-77-{} here")]
+    rows += [(40 + i, f"write a{i}@x.example.com or b{i}@x.example.com") for i in range(5)] + [(50, "write a9@x.example.com or user-at-77")]
+    rows += [(60 + i, f"10.1.1.{i} was seen") for i in range(4)] + [(70, "host-4711-a was seen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text, by = dict(rows), {r.doc_id: r for r in pii.find(df).collect()}
+    said = {i: [text[i][s.start : s.stop] for s in r.context] for i, r in by.items()}
+    assert said[10] == ["8265554081"] and said[50] == ["user-at-77"] and said[70] == ["host-4711-a"]
+    assert all(said[i] == [] for i, _ in rows if i not in (10, 30, 50, 70))
+    assert [r.text for r in pii.redact(df.filter("doc_id = 10"), pii.find(df)).collect()] == ["so call me at [CONTEXT] now"]
+
+
 def test_pii_of_odd_rows(odd, empty):
     found = pii.find(odd)
     assert found.count() == 12 and pii.redact(odd, found).count() == 12

@@ -8,15 +8,16 @@ Positions are found by putting a private character around each match and adding
 between. The regular expressions have no repeated groups, so that a very long run costs linear time and no stack; each
 finds just what its contract's form finds.
 
-Identifier tokens are runs of TOKEN letters with a digit or an at sign. A token's pattern is the two words before
-it, lower-cased, digits as 0; its instance is the token, lower-cased. A token that overlaps a base span is a seed.
+Base spans are seeds, those that overlap one of them together. Identifier tokens are runs of TOKEN letters with a digit or an
+at sign that touch no base span. The pattern of either is the two words before it, lower-cased, digits as 0, earlier spans and
+tokens as their kind in brackets, the start of a text as words of its own; its instance is its text, lower-cased.
 A pattern's confidence is the sum of its instances' scores over their number plus PRIOR; an instance's score is
 1 for seeds, else one minus the product of (1 - confidence) over its patterns. After ROUNDS rounds, tokens whose
 pattern has SUPPORT distinct seed instances and confidence CONFIDENT become spans of kind `context`.
 
 Base spans are never dropped. Null and empty texts have no spans. Rows that repeat a doc_id are told apart by a
-hash of their text; equal rows come back as often as they occur. A character U+E000 or U+E001 in a text counts as one that no form
-has. Columns of docs are read only by the names given.
+hash of their text; equal rows come back as often as they occur. A character U+E000 to U+E005 in a text counts as one that no
+form has. Columns of docs are read only by the names given.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from .common import settle
 KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = "context"
 MARK, DOT = "\ue000", "\ue001"
+#: What stands for a span of each kind while tokens are sought.
+PLACES = "\ue002\ue003\ue004\ue005"
+START = "^ ^ "
 ROUNDS = 3
 PRIOR = 1.0
 SUPPORT = 3
@@ -45,7 +49,7 @@ FORMS = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9\-]+[0-9]", f"{MARK}$0{MARK}"),
 }
 TOKEN = r"A-Za-z0-9._@%+/=\-"
-TOKENS = rf"(?<![{TOKEN}])(?=[A-Za-z._%+/=\-]*+[0-9@])[{TOKEN}]{{6,}}+"
+TOKENS = rf"(?<![{TOKEN}{PLACES}])(?=[A-Za-z._%+/=\-]*+[0-9@])[{TOKEN}]{{6,}}+(?![{PLACES}])"
 
 
 def luhn(digits: Column) -> Column:
@@ -94,24 +98,55 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(needs), found).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
 
 
-def _tokens(text: Column, spans: list[Column]) -> Column:
-    """array<struct<start, stop, pattern, instance, seed>> of a text's identifier tokens."""
+def _merged(spans: dict[str, Column]) -> Column:
+    """array<struct<start, stop, kind>> of all kinds' spans in order; overlapping ones become one, named by the first."""
+    kind = "array<struct<start:int,stop:int,kind:string>>"
+    named = lambda k: lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(k).alias("kind"))
+    every = [F.transform(c, named(k)) for k, c in spans.items()]
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(None).cast("string").alias("kind"))
+    first = F.struct(F.array().cast(kind).alias("done"), none.alias("last"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["last"]["kind"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        apart = s["start"] >= last["stop"]
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))
+        return F.struct(F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"), F.when(apart, s).otherwise(longer).alias("last"))
+
+    return F.aggregate(F.array_sort(F.concat(*every)), first, step, closed)
+
+
+def _masked(text: Column, merged: Column) -> Column:
+    """The text with one private character in place of each span."""
+    place = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in zip(KINDS, PLACES, strict=True) for x in pair]), s["kind"])
+    at = lambda i: F.when(i > 0, F.get(merged, i - 1)["stop"]).otherwise(0)
+    pieces = F.transform(merged, lambda s, i: F.concat(F.substring(text, at(i) + 1, s["start"] - at(i)), place(s)))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, at(F.size(merged)) + 1, F.length(text)))
+
+
+def _tokens(text: Column, merged: Column, masked: Column) -> Column:
+    """array<struct<start, stop, pattern, instance, seed>> of a text's base spans and identifier tokens."""
     kind = "array<struct<start:int,stop:int,pattern:string,instance:string,seed:boolean>>"
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("before"), F.array().cast(kind).alias("found"))
-    pieces = F.split(F.regexp_replace(text, TOKENS, f"{MARK}$0{MARK}"), MARK)
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("spans"), F.lit(START).alias("before"), F.array().cast(kind).alias("found"))
+    pieces = F.split(F.regexp_replace(masked, rf"{TOKENS}|[{PLACES}]", f"{MARK}$0{MARK}"), MARK)
 
     def step(acc: Column, piece: Column) -> Column:
-        stop = acc["at"] + F.length(piece)
+        unit = acc["i"] % 2 == 1
+        seed = unit & piece.isin(*PLACES)
+        span = F.get(merged, acc["spans"])
+        stop = F.when(seed, span["stop"]).otherwise(acc["at"] + F.length(piece))
         left = F.regexp_replace(F.lower(acc["before"]), "[0-9]", "0")
         pattern = F.regexp_extract(left, r"([^\s]{1,30}\s+[^\s]{1,30})\s*$", 1)
-        seed = F.lit(False)
-        for s in spans:
-            seed = seed | F.exists(s, lambda x: (x["start"] < stop) & (x["stop"] > acc["at"]))
-        entry = F.struct(acc["at"].alias("start"), stop.alias("stop"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"), F.lower(piece).alias("instance"), seed.alias("seed"))
-        more = F.when((acc["i"] % 2 == 1) & (pattern != ""), F.array_append(acc["found"], entry)).otherwise(acc["found"])
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.right(piece, F.lit(70)).alias("before"), more.alias("found"))
+        instance = F.when(seed, F.substring(text, span["start"] + 1, span["stop"] - span["start"])).otherwise(piece)
+        entry = F.struct(acc["at"].alias("start"), stop.alias("stop"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"), F.lower(instance).alias("instance"), seed.alias("seed"))
+        more = F.when(unit & (pattern != ""), F.array_append(acc["found"], entry)).otherwise(acc["found"])
+        said = F.when(seed, F.concat(F.lit("["), span["kind"], F.lit("]"))).when(unit, f"[{CONTEXT}]").otherwise(F.right(piece, F.lit(70)))
+        before = F.right(F.concat(acc["before"], said), F.lit(70))
+        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), (acc["spans"] + seed.cast("int")).alias("spans"), before.alias("before"), more.alias("found"))
 
-    return F.when(text.rlike(TOKENS), F.aggregate(pieces, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    return F.when((F.size(merged) > 0) | text.rlike(TOKENS), F.aggregate(pieces, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
 
 
 def patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -128,10 +163,12 @@ def patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, row (tells apart rows of one id) and, for each kind and for context, array<struct<start, stop>> of each row of docs."""
-    clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK + DOT, "\x01\x01")
+    clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK + DOT + PLACES, "\x01" * 6)
     rows = docs.select("doc_id", F.xxhash64(text).alias("row"), clean.alias("clean"))
     rows = rows.select("*", *[base_spans(F.col("clean"), k).alias(k) for k in KINDS])
-    rows = settle(rows.select("doc_id", "row", *KINDS, _tokens(F.col("clean"), [F.col(k) for k in KINDS]).alias("tokens")))
+    rows = rows.withColumn("merged", _merged({k: F.col(k) for k in KINDS}))
+    rows = rows.withColumn("masked", F.when(F.size("merged") > 0, _masked(F.col("clean"), F.col("merged"))).otherwise(F.col("clean")))
+    rows = settle(rows.select("doc_id", "row", *KINDS, _tokens(F.col("clean"), F.col("merged"), F.col("masked")).alias("tokens")))
     tokens = rows.filter(F.size("tokens") > 0).select("doc_id", "row", F.explode("tokens").alias("t")).select("doc_id", "row", "t.*")
     edges = settle(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     good = patterns(edges, rounds).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
