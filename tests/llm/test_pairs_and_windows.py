@@ -85,6 +85,26 @@ def test_join_of_odd_rows(odd, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_no_link(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(9, a), (11, near)]
+    found = lambda x: sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(x, "doc_id long, text string")).collect())
+    assert found(rows) == [(9, 9), (11, 9)]
+    assert found([*rows, (5, a), (5, other)]) == [(5, 5), (5, 5), (9, 5), (11, 5)]
+    assert found([*rows, (5, other), (20, a), (20, other)]) == [(5, 5), (9, 9), (11, 9), (20, 5), (20, 9)]
+
+
+def test_many_dissimilar_sets_of_one_pivot(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(90):  # all share their first words; some are near copies of others, of other sizes
+        words = [f"c{j}" for j in range(12)] + [f"u{i % 60}x{j}" for j in range(r.choice([3, 8, 20, 21, 25]))]
+        rows.append((i, " ".join(words)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=200, cell=400)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(rows)
+
+
 def test_trie_join_equals_pairs():
     r = np.random.default_rng(4)
     for _ in range(20):
@@ -139,13 +159,26 @@ def test_substring_dedup_of_odd_rows(odd, empty):
 
 
 def test_decontamination(spark, odd, empty):
-    items = spark.createDataFrame([(1, "Quick, brown FOX jumps over the lazy dog and runs far away"), (12, "one TWO three"), (3, None), (4, ""), (5, "one two three")], "item_id long, text string")
+    rows = [(1, "Quick, brown FOX jumps over the lazy dog and runs far away"), (12, "one TWO three"), (3, None), (4, ""), (5, "one two three"), (None, "one two three"), (None, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
     got = {r.doc_id: r for r in decontam.scan(odd, items).collect()}
     assert got[1].n_hit == 12 and got[1].item_ids == [1] and odd.columns == decontam.scan(odd, items).columns[:5]
     text = "the quick brown fox jumps over the lazy dog and runs far away from here today"
     assert text[got[1].hit_starts[0] : got[1].hit_ends[0]] == "quick brown fox jumps over the lazy dog and runs far away"
     assert got[6].item_ids == [5, 12] and got[7].n_hit == 3 and got[3].n_words == 0 and got[9].n_hit == 0
     split = {r.doc_id: r for r in decontam.scan(odd, items, item_bytes=20).collect()}  # several automata
-    assert all((split[i].n_hit, sorted(split[i].item_ids)) == (got[i].n_hit, got[i].item_ids) for i in got)
+    assert split == got
+
+
+def test_decontamination_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, "x", [1], 2, 3)], "doc_id long, text string, N_HIT int, found_starts string, item_ids array<int>, part int, item int")
+    items = spark.createDataFrame([(7, "b c")], "item_id long, text string")
+    scanned = decontam.scan(docs, items)
+    assert scanned.columns == ["doc_id", "text", "found_starts", "part", "item", "n_words", "hit_starts", "hit_ends", "n_hit", "item_ids"]
+    assert [tuple(r) for r in scanned.collect()] == [(1, "a b c d", "x", 2, 3, 4, [2], [5], 2, [7])]
+
+
+def test_decontamination_of_reported_and_empty_rows(spark, odd, empty):
+    items = spark.createDataFrame([(12, "one TWO three"), (5, "one two three")], "item_id long, text string")
     assert {r.doc_id: r.items_sha256 for r in decontam.report(decontam.scan(odd, items)).collect()}[6] == hashlib.sha256(b"12,5").hexdigest()
     assert decontam.scan(empty, items).count() == 0 and decontam.scan(odd, items.limit(0)).filter("n_hit > 0").count() == 0

@@ -9,11 +9,11 @@ false positives stay as they are however many n-grams there are, and no n-gram i
 
 The score is the sum over tokens of log10 of WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * (c(w) + 1) / (N + V + 1),
 with quantised counts; the first word's v is the start of a text. The base score has exact counts of words,
-which are looked up by a 64-bit hash. Texts go in batches, each of which asks every bucket once for its
-distinct words and pairs, so a frequent one costs an entry a batch, wherever it occurs.
+which are looked up by a 64-bit hash; pairs keep the bits that low_bits leaves. Texts go in batches, whose distinct
+words and pairs go to their segments and back in two hops (see exchange.py), so a frequent one costs an entry a batch.
 
-Null and empty texts are the end token alone. Rows with a null doc_id are scored and not learnt from, and
-held_out is null. With no training text N and V are 0 and every token has probability 1. Repeated rows count as often
+Null and empty texts are the end token alone. A text longer than a batch lies in one batch, hashed piece by piece. Rows with a null doc_id are
+scored and not learnt from, and held_out is null. An empty table gives an empty result. With no training text N and V are 0 and every token has probability 1. Repeated rows count as often
 as they occur.
 """
 
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, Words, deal, mix, parts, settle, unpack
+from .common import ODD, Words, deal, groups, lean, mix, size_of, unpack
+from .exchange import Counted, Routes, count, low_bits
 
-BATCH_BYTES = 6_000_000
-BUCKET_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
+BUCKET_BYTES = 6_000_000
 MODULUS, REMAINDER = 7, 2
 BASE = 2.0
 PROBES = 3
@@ -39,10 +40,6 @@ BITS = 12
 END = np.uint64(0x5BD1E9955BD1E995)
 START = np.uint64(0xC6A4A7935BD1E995)
 
-REQUEST = "bucket long, batch long, words binary, counts binary, pairs binary, pair_counts binary"
-REPLY = "bucket long, batch long, counts binary, levels binary, pair_levels binary, tokens long, kinds long"
-
-
 class Tokens:
     """Hashes of a batch's tokens, each text's words and its end; pairs[i] is the n-gram of token i and what stands before it."""
 
@@ -64,109 +61,33 @@ class Tokens:
         self.before = before
 
 
-def low40(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def from40(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def ints(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.int64).tobytes())
-
-
-def unints(b: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64)
-
-
-def small(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint8).tobytes())
-
-
-def unsmall(b: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-
-
-def segment_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
 def spots(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """The bit in its segment that an n-gram (by the low 40 bits of its hash) has for a level and probe."""
+    """The bit of a segment that an n-gram has for a level and probe."""
     with np.errstate(over="ignore"):
-        return (mix(h * np.uint64(8) + np.uint64(probe) + np.uint64(level) * ODD) % np.uint64(bits)).astype(np.int64)
+        return (mix(h + np.uint64(PROBES * level + probe) * ODD) % np.uint64(bits)).astype(np.int64)
 
 
-LOW = np.uint64((1 << 40) - 1)
 #: The level of the largest 64-bit count.
 MOST_LEVEL = 63
 
 
-def _counts(h: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    uniq, back = np.unique(h, return_inverse=True)
-    return uniq, np.bincount(back, weights=learn, minlength=len(uniq)).astype(np.int64)
-
-
-def _ordered(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of n-grams by bucket, and where each bucket starts in it."""
-    bucket = segment_of(h, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-def _request(table: pa.Table, buckets: int) -> pa.Table:
-    t = Tokens(unpack(table))
-    learn = np.array(table.column("learn").to_pylist(), bool)
-    batch = table.column("batch")[0].as_py()
-    words, n = _counts(t.hash, learn[t.text])
-    ngrams = np.concatenate([t.pairs, np.full(len(learn), START)])
-    pairs, m = _counts(ngrams, np.concatenate([learn[t.text], learn]))
-    (wo, wc), (po, pc) = _ordered(words, buckets), _ordered(pairs, buckets)
-    out = []
-    for b in range(buckets):
-        w, p = wo[wc[b] : wc[b + 1]], po[pc[b] : pc[b + 1]]
-        if len(w) or len(p):
-            out.append((b, batch, words[w].tobytes(), ints(n[w]), low40(pairs[p]), ints(m[p])))
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in REQUEST.split(", ")])
-
-
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(uniq), np.int64)
-    np.add.at(total, back, np.concatenate(counts))
-    return uniq, total, back
-
-
 def levels_of(c: np.ndarray) -> np.ndarray:
     """q by count; exact at powers of BASE."""
     return 1 + np.floor(np.log(np.maximum(c, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
 class Filter:
-    """The segments, bits each, end to end; no level above `top` was put in."""
+    """A segment of so many bits; no level above `top` was put in."""
 
-    def __init__(self, packed: bytes, buckets: int, bits: int, top: int = MOST_LEVEL):
-        self.bytes, self.buckets, self.bits, self.top = np.frombuffer(packed, np.uint8), buckets, bits, top
+    def __init__(self, packed: bytes, bits: int, top: int = MOST_LEVEL):
+        self.bytes, self.bits, self.top = np.frombuffer(packed, np.uint8), bits, top
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The highest level up to which the filter has each n-gram, 0 where it lacks it."""
-        level = np.zeros(len(h), np.int64)
-        live, base, low = np.arange(len(h)), segment_of(h, self.buckets) * self.bits, h & LOW
+        level, live = np.zeros(len(h), np.int64), np.arange(len(h))
         for step in range(1, self.top + 1):
             for probe in range(PROBES):
-                at = base[live] + spots(low[live], step, probe, self.bits)
+                at = spots(h[live], step, probe, self.bits)
                 live = live[(self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             level[live] = step
         return level
@@ -181,7 +102,7 @@ def quantised(level: np.ndarray) -> np.ndarray:
 
 
 def fill(ngrams: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
-    """One segment with n-grams (by the low 40 bits of their hashes) and their counts."""
+    """One segment with n-grams, by hash, and their counts."""
     ngrams = [(h, levels_of(c)) for h, c in ngrams]
     bits = max(64, -(-BITS * sum(int(q.sum()) for _, q in ngrams) // 8) * 8)
     top = max(int(q.max(initial=0)) for _, q in ngrams)
@@ -190,37 +111,35 @@ def fill(ngrams: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
         for level in range(1, int(q.max(initial=0)) + 1):
             for probe in range(PROBES):
                 segment[spots(h[q >= level], level, probe, bits)] = True
-    return Filter(np.packbits(segment, bitorder="little").tobytes(), 1, bits, top)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    words, n, back = _sum([np.frombuffer(r["words"], np.uint64) for r in rows], [unints(r["counts"]) for r in rows])
-    pairs, m, pairs_back = _sum([from40(r["pairs"]) for r in rows], [unints(r["pair_counts"]) for r in rows])
-    filt = fill([(words[n > 0] & LOW, n[n > 0]), (pairs[m > 0], m[m > 0])])
-    levels, pair_levels = filt.level(words)[back], filt.level(pairs)[pairs_back]
-    out, at, pairs_at = [], 0, 0
-    for i, r in enumerate(rows):
-        size, pairs_size = len(r["words"]) // 8, len(r["pairs"]) // 5
-        first = (int(n.sum()), int((n > 0).sum())) if i == 0 else (0, 0)
-        out.append((r["bucket"], r["batch"], ints(n[back[at : at + size]]), small(levels[at : at + size]), small(pair_levels[pairs_at : pairs_at + pairs_size]), *first))
-        at, pairs_at = at + size, pairs_at + pairs_size
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()]
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in REPLY.split(", ")])
-
-
-def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds: int) -> pa.Table:
+    return Filter(np.packbits(segment, bitorder="little").tobytes(), bits, top)
+
+
+def _asked(t: Tokens, learn: np.ndarray, drop: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct words, and distinct pairs with the start of a text, how often each is learnt, and where each token's are."""
+    ngrams = np.concatenate([t.pairs, np.full(len(learn), START)]) >> np.uint64(drop) << np.uint64(drop)
+    return [count(t.hash, learn[t.text]), count(ngrams, np.concatenate([learn[t.text], learn]))]
+
+
+def _say(counted: list[Counted]) -> tuple[list[np.ndarray], list[int]]:
+    """A word's count and level, a pair's level, as the segment has them; the bucket's training tokens and distinct ones."""
+    (words, n), (pairs, m) = counted
+    filt = fill([(words[n > 0], n[n > 0]), (pairs[m > 0], m[m > 0])])
+    return [n * (MOST_LEVEL + 1) + filt.level(words), filt.level(pairs)], [int(n.sum()), int((n > 0).sum())]
+
+
+def _learn(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("learn").to_pylist(), bool)
+
+
+def _score(table: pa.Table, replies: pa.Table, routes: Routes) -> pa.Table:
     t = Tokens(unpack(table))
-    words, back = np.unique(t.hash, return_inverse=True)
-    pairs, of_pair = np.unique(np.concatenate([t.pairs, np.full(1, START)]), return_inverse=True)
-    (wo, wc), (po, pc) = _ordered(words, buckets), _ordered(pairs, buckets)
-    exact, guess, pair = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
-    for r in replies.to_pylist():
-        w, p = wo[wc[r["bucket"]] : wc[r["bucket"] + 1]], po[pc[r["bucket"]] : pc[r["bucket"] + 1]]
-        exact[w], guess[w], pair[p] = unints(r["counts"]), unsmall(r["levels"]), unsmall(r["pair_levels"])
-    guess, pair = quantised(guess), quantised(pair)[of_pair]
-    pair, start = pair[:-1], pair[-1]
+    (_, _, back), (_, _, of_pair) = _asked(t, _learn(table), routes.drop[1])
+    (words, pairs), (n_all, kinds) = routes.read(replies)
+    words = words.astype(np.int64)
+    exact, guess = words // (MOST_LEVEL + 1), quantised(words % (MOST_LEVEL + 1))
+    pair = quantised(pairs.astype(np.int64))[of_pair]
     docs = table.num_rows
+    pair, start = pair[:-docs], pair[-1]
     base = np.log10((exact + 1.0) / (n_all + kinds + 1.0))[back]
     before = np.empty(len(t.hash))
     before[1:] = guess[back[:-1]]
@@ -235,15 +154,15 @@ def _score(table: pa.Table, replies: pa.Table, buckets: int, n_all: int, kinds:
 
 def score(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
+    size = size_of(docs, text)
+    routes = Routes(groups(size, batch_bytes), groups(size, bucket_bytes), (0, low_bits(size)), 2)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(MODULUS)) == REMAINDER
-    dealt = deal(docs, text, batches).withColumns({"held_out": held, "learn": F.coalesce(~held, F.lit(False))})
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets), REQUEST)
-    replies = settle(requests.groupBy("bucket").applyInArrow(_answer, REPLY))
-    n_all, kinds = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    dealt = deal(docs, text, routes.batches, held_out=held, learn=F.coalesce(~held, F.lit(False)))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(left, right, buckets, n_all, kinds)
+    def ask(table: pa.Table) -> pa.Table:
+        asked = _asked(Tokens(unpack(table)), _learn(table), routes.drop[1])
+        return routes.ask(table.column("batch")[0].as_py(), [x[:2] for x in asked])
 
-    both = dealt.groupBy("batch").cogroup(replies.select("bucket", "batch", "counts", "levels", "pair_levels").groupBy("batch"))
-    return both.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = routes.run(dealt, ask, _say)
+    both = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
+    return both.applyInArrow(lean(lambda t, r: _score(t, r, routes)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,20 +1,24 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least 3/4 are linked.
 
-1. Documents go in batches by a hash of id and text; a batch asks each bucket of n-grams once for the document
-   frequency of its distinct n-grams. The global order is by frequency class (powers of 2**(1/2)), rarest first, then by hash.
+1. Documents go in batches by a hash of id and text; the document frequency of each batch's distinct n-grams comes by
+   request and reply in two hops (see exchange.py). The global order is by frequency class (powers of 2**(1/2)),
+   rarest first, then by hash.
 2. A set's prefix is its first n - ceil(3n/4) + 1 n-grams; linked sets share one of them. N-grams of one document
    are shared with none, so most documents end here, without a link.
-3. Equal sets become one class, named by its smallest document.
-4. Each n-gram of a prefix names a pivot, the smallest class that has it there. Two classes that share a prefix
+3. Equal sets become one class, named by a number of its own; a batch sends the set of its copies once.
+4. Each n-gram of a prefix names a pivot, the least class that has it there. Two classes that share a prefix
    n-gram share its pivot, so the sets of a pivot hold all their links; a class goes to few pivots, as near copies
    mostly have the same. Each pivot's sets are joined by a prefix tree (see trie.py).
-5. A pivot with more than CHUNK n-grams is dealt into chunks, each with the pivot's own set. Members that are not
-   in the pivot's group then query the other chunks in a second pass, so no link is lost.
-6. Components of the links give each document the smallest document that links reach.
+5. A pivot of more than CHUNK n-grams is dealt into chunks by size band (linked sets are in the same band or in
+   neighbours) and hash, each with the pivot's own set. Members that are not in the pivot's group then query the
+   other chunks of their band and its neighbours in a second pass, slice by slice, so no link is lost and no task
+   holds more than a chunk and a slice.
+6. Components of the links give each class the smallest (doc_id, row) that links reach.
 
 Null, empty and blank texts have empty sets and link with nothing; fewer than n words are one n-gram. Rows with a
-null doc_id are left out of the join and returned as their own component (null). Rows that repeat a doc_id count as
-one document, with the text of most n-grams (ties: by hash), and come back once for each row. N-grams are compared by 58 bits of a 64-bit
+null doc_id are left out of the join and returned as their own component (null). Rows that repeat a doc_id are
+documents of their own, told apart by `row`, a hash of the text; equal rows are one. A text longer than a batch lies in one
+batch and is hashed piece by piece. An empty table gives an empty result. N-grams are compared by 58 bits of a 64-bit
 hash. Columns of docs other than doc_id and the text are not read.
 """
 
@@ -25,34 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, deal, mix, parts, settle, unpack, windows
+from .common import Words, deal, groups, lean, mix, settle, size_of, spread, unpack, windows
+from .exchange import Counted, Routes, count, low_bits
 from .graph import components
 from .trie import Trie, join
 
 N = 5
 #: top * |A and B| >= low * (|A| + |B|) is a Jaccard similarity of low / (top - low) = 3/4 at least.
 BOUND = (7, 3)
-BATCH_BYTES = 6_000_000
-BUCKET_BYTES = 8_000_000
-#: N-grams of a pivot's chunk, and of the pivots that one call joins.
+BATCH_BYTES = 4_000_000
+BUCKET_BYTES = 6_000_000
+#: N-grams of a pivot's chunk, and of the pivots that one call joins; a set counts for SET_COST more than it has.
 CHUNK = 400_000
 CELL = 800_000
+SET_COST = 50
+#: Sizes of linked sets are 4/3 apart at most; bands are a little wider.
+BAND = 1.34
 
-REQUEST = "bucket long, batch long, grams binary, counts binary"
-REPLY = "bucket long, batch long, classes binary"
-SETS = "doc_id long, n long, sig binary, prefix array<long>, grams binary"
-
-
-def _packed(x: np.ndarray, kind) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
-
-
-def _unpacked(b: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+SETS = "doc_id long, row long, n long, sig binary, prefix array<long>, grams binary"
 
 
 def gram_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -80,169 +74,167 @@ def gram_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return of[first], h[first]
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = _bucket(h, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
+def _levels(counted: list[Counted]) -> tuple[list[np.ndarray], list[int]]:
+    """The frequency class of each n-gram: 0 for one document, then rising by half powers of two to 62."""
+    total = counted[0][1]
+    return [np.minimum(62, np.floor(2 * np.log2(np.maximum(total, 1)) + 1e-9)).astype(np.int64)], []
 
-def _request(table: pa.Table, buckets: int, n: int) -> pa.Table:
-    batch = table.column("batch")[0].as_py()
-    grams, counts = np.unique(gram_sets(unpack(table), n)[1], return_counts=True)
-    order, cut = _by_bucket(grams, buckets)
-    out = []
-    for b in range(buckets):
-        part = order[cut[b] : cut[b + 1]]
-        if len(part):
-            out.append((b, batch, grams[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), _packed(counts[part], np.int32)))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "batch", "grams", "counts"])
 
-
-def _answer(table: pa.Table) -> pa.Table:
-    """The frequency class of each n-gram asked for: 0 for one document, then rising by half powers of two to 62."""
-    keys = []
-    for b in table.column("grams").to_pylist():
-        key = np.zeros((len(b) // 5, 8), np.uint8)
-        key[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-        keys.append(key.view("<u8").ravel())
-    counts = [_unpacked(c, np.int32) for c in table.column("counts").to_pylist()]
-    uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, weights=np.concatenate(counts), minlength=len(uniq))
-    level = np.minimum(62, np.floor(2 * np.log2(np.maximum(total, 1)) + 1e-9)).astype(np.uint8)
-    cuts = np.cumsum(list(map(len, keys)))[:-1]
-    rows = [_packed(x, np.uint8) for x in np.split(level[back], cuts)]
-    return pa.table([table.column("bucket"), table.column("batch"), pa.array(rows, pa.binary())], names=["bucket", "batch", "classes"])
-
-
-def _ordered(table: pa.Table, replies: pa.Table, buckets: int, n: int) -> pa.Table:
-    """Each document's size and, if it may have links, its ordered set and the shared n-grams of its prefix."""
+def _ordered(table: pa.Table, replies: pa.Table, routes: Routes, n: int) -> pa.Table:
+    """Each document's size and, if it may have links, its signature; with the first of equal sets the shared n-grams of its prefix and the ordered set."""
     import xxhash
 
-    texts = unpack(table)
-    of, h = gram_sets(texts, n)
-    grams, back = np.unique(h, return_inverse=True)
-    level = np.zeros(len(grams), np.uint64)
-    order, cut = _by_bucket(grams, buckets)
-    for b, c in zip(replies.column("bucket").to_pylist(), replies.column("classes").to_pylist(), strict=True):
-        level[order[cut[b] : cut[b + 1]]] = _unpacked(c, np.uint8)
-    token = (level[back] << np.uint64(58)) | (h >> np.uint64(6))
+    of, h = gram_sets(unpack(table), n)
+    drop = np.uint64(routes.drop[0])
+    token = (routes.read(replies)[0][0][count(h >> drop << drop)[2]] << np.uint64(58)) | (h >> np.uint64(6))
     order = np.lexsort((token, of))
     token = token[order]
-    ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-    size, sig, prefix, packed = [], [], [], []
-    for i in range(len(texts)):
+    ends = np.cumsum(np.bincount(of, minlength=table.num_rows))
+    size, sig, prefix, packed, seen = [], [], [], [], set()
+    for i in range(table.num_rows):
         mine = token[ends[i - 1] if i else 0 : ends[i]]
-        count = len(mine)
-        size.append(count)
-        head = mine[: count - (3 * count + 3) // 4 + 1] if count else mine
+        size.append(len(mine))
+        head = mine[: len(mine) - (3 * len(mine) + 3) // 4 + 1] if len(mine) else mine
         head = head[head >= np.uint64(1 << 58)]
-        if len(head):
-            raw = mine.tobytes()
-            sig.append(xxhash.xxh3_128_digest(raw))
-            prefix.append(head.view(np.int64))
-            packed.append(raw)
-        else:
-            sig.append(None)
-            prefix.append(None)
-            packed.append(None)
-    columns = [table.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-    return pa.table(columns, names=["doc_id", "n", "sig", "prefix", "grams"])
-
-
-LINKS = "pivot long, chunk long, chunks long, doc_id long, root long, open boolean"
-
-
-def _pivots(table: pa.Table):
-    """(pivot, chunk), chunks, documents and sets of each pivot's chunk in a cell."""
-    pivot, chunk = (table.column(c).to_numpy() for c in ("pivot", "chunk"))
-    order = np.lexsort((table.column("doc_id").to_numpy(), chunk, pivot))
+        raw = mine.tobytes() if len(head) else b""
+        name = xxhash.xxh3_128_digest(raw) if raw else None
+        fresh = name is not None and name not in seen
+        seen.add(name)
+        sig.append(name)
+        prefix.append(head.view(np.int64) if fresh else None)
+        packed.append(raw if fresh else None)
+    columns = [table.column("doc_id"), table.column("row"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+    return pa.table(columns, names=[x.split()[0] for x in SETS.split(", ")])
+
+
+LINKS = "pivot long, chunk long, chunks long, id long, root long, open boolean"
+
+
+def _pivots(table: pa.Table, by: tuple[str, ...] = ("pivot", "chunk")):
+    """Key, chunks, classes and sets of each pivot's chunk in a cell."""
+    ids, grams, chunks = table.column("id").to_numpy(), table.column("grams"), table.column("chunks").to_numpy()
+    keys = [table.column(c).to_numpy() for c in by]
+    order = np.lexsort((ids, *reversed(keys)))
     if not len(order):
         return
-    turn = np.flatnonzero((np.diff(pivot[order]) != 0) | (np.diff(chunk[order]) != 0)) + 1
-    docs, grams, chunks = table.column("doc_id").to_numpy(), table.column("grams"), table.column("chunks").to_numpy()
+    turn = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in keys], axis=0)) + 1
     for part in np.split(order, turn):
-        yield (int(pivot[part[0]]), int(chunk[part[0]])), int(chunks[part[0]]), docs[part], [np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in part]
+        yield tuple(int(k[part[0]]) for k in keys), int(chunks[part[0]]), ids[part], [np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in part]
 
 
 def _join(table: pa.Table) -> pa.Table:
-    """The links of each pivot's chunk as a star from the smallest document of each group; open: not in the pivot's group, of several chunks."""
+    """The links of each pivot's chunk as a star from the least class of each group; open: not in the pivot's group, of several chunks."""
     out: list[list] = [[] for _ in range(6)]
-    for (pivot, chunk), chunks, docs, sets in _pivots(table):
+    for (pivot, chunk), chunks, ids, sets in _pivots(table):
         group = join(sets, BOUND)
-        least = np.full(len(docs), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, docs)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids)
         root = least[group]
-        away = (root != root[docs == pivot][0]) if chunks > 1 else np.zeros(len(docs), bool)
-        keep = np.flatnonzero((root != docs) | away)
-        for column, x in zip(out, (pivot, chunk, chunks, docs[keep], root[keep], away[keep]), strict=True):
+        away = (root != root[ids == pivot][0]) if chunks > 1 else np.zeros(len(ids), bool)
+        keep = np.flatnonzero((root != ids) | away)
+        for column, x in zip(out, (pivot, chunk, chunks, ids[keep], root[keep], away[keep]), strict=True):
             column.append(np.broadcast_to(x, len(keep)))
     kinds = [*[pa.int64()] * 5, pa.bool_()]
     return pa.table([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in LINKS.split(", ")])
 
 
 def _probe(table: pa.Table, asked: pa.Table) -> pa.Table:
-    """Links of open sets to the sets of other chunks of their pivot; one a group is enough, so each query takes the group's first."""
-    queries = {key: (docs, sets) for key, _, docs, sets in _pivots(asked)}
+    """Links of open sets to the sets of other chunks of their pivot."""
+    by = ("pivot", "chunk", "slice")
+    queries = {key: (ids, sets) for key, _, ids, sets in _pivots(asked, by)}
     a, b = [], []
-    for key, _, docs, sets in _pivots(table):
+    for key, _, ids, sets in _pivots(table, by):
         if key in queries:
             tree, live = Trie(sets), np.ones(len(sets), bool)
             vocabulary = np.unique(np.concatenate(sets))
-            for doc, q in zip(*queries[key], strict=True):
+            for one, q in zip(*queries[key], strict=True):
                 at = np.searchsorted(vocabulary, q)
                 known = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == q)]
                 # tokens that no set here has stand beyond all ids: they count for the query's size only
-                ids = np.concatenate([known, np.arange(tree.n_ids, tree.n_ids + len(q) - len(known))])
-                for j in tree.linked(ids, live, BOUND):
-                    a.append(int(doc))
-                    b.append(int(docs[tree.order[j]]))
+                tokens = np.concatenate([known, np.arange(tree.n_ids, tree.n_ids + len(q) - len(known))])
+                for j in tree.linked(tokens, live, BOUND):
+                    a.append(int(one))
+                    b.append(int(ids[tree.order[j]]))
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _placed(pairs: DataFrame, chunk: int) -> DataFrame:
+    """pivot, id, n, band, chunk (its band and a number), chunks (how many the pivot has) and others (the chunks that an open set asks) of each pair."""
+    weight = F.sum(F.col("n") + SET_COST)
+    band = F.floor(F.log(BAND, F.col("n").cast("double")))
+    large = pairs.groupBy("pivot").agg(weight.alias("total")).filter(F.col("total") > chunk).select("pivot")
+    rows = pairs.withColumn("band", band)
+    bands = settle(rows.join(large, "pivot", "left_semi").groupBy("pivot", "band").agg(F.ceil(weight / chunk).alias("parts")))
+    if bands.isEmpty():
+        return rows.withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long"), "others": F.array().cast("array<long>")})
+    number = lambda b, k: F.shiftleft(b, 32) + k
+    every = bands.withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: number(F.col("band"), k))))
+    every = every.groupBy("pivot").agg(F.sort_array(F.collect_list("chunk")).alias("all"))  # one entry for CHUNK n-grams
+    at = rows.join(bands, ["pivot", "band"], "left").join(every, "pivot", "left")
+    home = F.coalesce(number(F.col("band"), F.pmod(F.xxhash64("id", "pivot"), F.col("parts"))), F.lit(0).cast("long"))
+    own = (F.col("pivot") == F.col("id")) & F.col("all").isNotNull()
+    at = at.withColumn("chunk", F.explode(F.when(own, F.col("all")).otherwise(F.array(home))))
+    near = F.filter("all", lambda c: (F.abs(F.shiftright(c, 32) - F.col("band")) <= 1) & (c != F.col("chunk")))
+    none = F.array().cast("array<long>")
+    return at.select("pivot", "id", "n", "band", "chunk", F.coalesce(F.size("all").cast("long"), F.lit(1)).alias("chunks"), F.when(own | F.col("all").isNull(), none).otherwise(near).alias("others"))
+
+
+def _second_pass(links: DataFrame, placed: DataFrame, sets: DataFrame, chunk: int, cell: int) -> DataFrame:
+    """a and b of the links between open sets and other chunks; each meets a chunk in the slice that its hash names."""
+    left = links.filter("open").select("pivot", "chunk", "id").join(placed.select("pivot", "chunk", "id", "n", "others"), ["pivot", "chunk", "id"])
+    left = settle(left.filter(F.size("others") > 0))
+    slices = left.groupBy("pivot").agg(F.ceil(F.sum(F.col("n") + SET_COST) / chunk).alias("slices"))
+    asked = left.join(slices, "pivot").withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), F.col("slices"))).withColumn("chunk", F.explode("others"))
+    again = placed.join(slices, "pivot").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    total = sum(x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (asked, again))
+    cells = groups(total, cell)
+    shipped = [
+        spread(x.select("pivot", "chunk", "slice", "id", F.lit(1).cast("long").alias("chunks")).join(sets.select("id", "grams"), "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk", "slice"), F.lit(cells))), cells, "cell").groupBy("cell")
+        for x in (again, asked)
+    ]
+    return shipped[0].cogroup(shipped[1]).applyInArrow(lean(lambda t, q: _probe(t, q)), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", n: int = N, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, chunk: int = CHUNK, cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles (size of its set) and component_id of each row of docs."""
-    batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
-    dealt = deal(docs, text, batches)
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, n), REQUEST)
-    replies = requests.groupBy("bucket").applyInArrow(_answer, REPLY)
-    both = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
-    sets = settle(both.applyInArrow(lambda a, b: _ordered(a, b, buckets, n), SETS))
-
-    able = sets.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    # written, so that both sides of the join below are dealt for it alone and a large class can be split
-    classes = settle(able.groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    members = able.select("doc_id", "sig").join(classes, "sig").select("doc_id", "rep")
-    reps = settle(able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n", "prefix", "grams"), F.struct("n", "sig")).alias("x")).select("doc_id", "x.*"))
-
-    posts = reps.select("doc_id", "n", F.explode("prefix").alias("gram"))
-    shared = posts.groupBy("gram").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last")
-    pairs = settle(posts.join(shared, "gram").groupBy("pivot", "doc_id").agg(F.first("n").alias("n")))
-    large = pairs.groupBy("pivot").agg(F.sum("n").alias("total")).select("pivot", F.ceil(F.col("total") / chunk).alias("chunks")).filter("chunks > 1")
-    placed = pairs.join(large, "pivot", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.col("pivot") == F.col("doc_id")
-    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    placed = placed.withColumn("chunk", F.explode(F.when(own, every).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "pivot"), F.col("chunks"))))))
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cells = max(1, -(-total // cell))
-    at_cell = F.pmod(F.xxhash64("pivot", "chunk"), F.lit(cells))
-    shipped = placed.drop("n").join(reps.select("doc_id", "grams"), "doc_id").withColumn("cell", at_cell)
-    links = settle(shipped.groupBy("cell").applyInArrow(_join, LINKS))
-
-    found = links.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    left = links.filter("open").select("pivot", "chunks", "doc_id", F.col("chunk").alias("home"))
-    if not left.isEmpty():
-        asked = left.withColumn("chunk", F.explode(every)).filter("chunk <> home").join(reps.select("doc_id", "grams"), "doc_id").withColumn("cell", at_cell).drop("home")
-        again = shipped.join(left.select("pivot").distinct(), "pivot", "left_semi")
-        found = found.union(again.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_probe, "a long, b long"))
+    """doc_id, n_shingles (size of its set), component_id, row (hash of the text) and component_row of each row of docs.
+
+    component_id and component_row are the smallest pair (doc_id, row) of a row that links reach.
+    """
+    size = size_of(docs, text)
+    routes = Routes(groups(size, batch_bytes), groups(size, bucket_bytes), (low_bits(size),))
+    dealt = deal(docs, text, routes.batches, row=F.xxhash64(text))
+
+    def ask(table: pa.Table) -> pa.Table:
+        drop = np.uint64(routes.drop[0])
+        return routes.ask(table.column("batch")[0].as_py(), [count(gram_sets(unpack(table), n)[1] >> drop << drop)[:2]])
+
+    both = dealt.groupBy("batch").cogroup(routes.run(dealt, ask, _levels).groupBy("batch"))
+    sets = settle(both.applyInArrow(lean(lambda t, r: _ordered(t, r, routes, n)), SETS))
+
+    able = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
+    whole = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "prefix", "grams")]
+    # rows without an id give their set too, since a batch sends a set once
+    classes = sets.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.when(able, F.struct("doc_id", "row"))).alias("least"), *whole)
+    classes = settle(classes.filter("least IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
+
+    posts = classes.select("id", "n", F.explode("prefix").alias("gram"))
+    shared = posts.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
+    pairs = settle(posts.join(shared, "gram").groupBy("pivot", "id").agg(F.first("n").alias("n")))
+    placed = _placed(pairs, chunk)
+    cells = groups(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], cell)
+    shipped = placed.select("pivot", "chunk", "chunks", "id").join(classes.select("id", "grams"), "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(cells)))
+    links = settle(spread(shipped, cells, "cell").groupBy("cell").applyInArrow(lean(_join), LINKS))
+
+    found = links.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if not links.filter("open").isEmpty():
+        found = found.union(_second_pass(links, placed, classes, chunk, cell))
     roots = components(found)
-    named = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("component"))
-    named = named.groupBy("doc_id").agg(F.min("component").alias("component"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.select("sig", "id", "least").join(roots, classes["id"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    answer = settle(named.join(least, "root").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row")))
+    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "row", "sig")
+    alone = rows.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("component_row"))
+    return alone.union(rows.filter(able).join(answer, "sig").select("doc_id", "n_shingles", "component_id", "row", "component_row"))
 
 
 ORACLE = """
