@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, language_id, lm_score, quality
 from tidemill.llm.queries import tokenizer_path
@@ -31,14 +32,69 @@ def test_language_held_out_accuracy(spark):
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
 
 
-def test_kneser_ney_sums_to_one_and_prefers_what_it_saw():
-    code, _ = quality.codes(["the cat sat on the mat. " * 20])
-    c = np.bincount(code, minlength=quality.SYMBOLS**quality.ORDER)
-    p = np.exp(quality.kneser_ney(c).astype(np.float64)).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    m = quality.Model(quality.kneser_ney(c))
-    _, mean, _ = m.losses(["the cat sat", "###$$$ 999", None, ""])
-    assert mean[0] < mean[1] and np.isnan(mean[2]) and np.isnan(mean[3])
+def brute_quality(trusted, texts):
+    """Mean loss by dictionaries: interpolated modified Kneser-Ney of order 4 over characters."""
+    fold = lambda t: ["0" if c.isnumeric() else " " if c.isspace() else c for c in t]
+    pad = ["<s>"] * 3
+    full = collections.Counter(tuple((pad + fold(t))[i : i + 4]) for t in trusted for i in range(len(t)))
+    levels = [full]
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    size = len({c for t in trusted for c in fold(t)}) + 2
+
+    def cuts(c):
+        n = [sum(x == i for x in c.values()) for i in range(5)]
+        if not (n[1] and n[2]):
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.01) for i in (1, 2, 3))]
+
+    cut = [cuts(c) for c in levels]
+    by = [collections.defaultdict(list) for _ in levels]
+    for i, level in enumerate(levels):
+        for g, n in level.items():
+            by[i][g[:-1]].append(n)
+
+    def p(g, i):
+        if i == 4:
+            return 1 / size
+        known = by[i].get(g[:-1])
+        low = p(g[1:], i + 1)
+        if not known:
+            return low
+        d = lambda n: cut[i][min(n, 3)]
+        own = levels[i].get(g, 0)
+        return (max(own - d(own), 0) + sum(map(d, known)) * low) / sum(known)
+
+    return [-sum(math.log(p(tuple((pad + fold(t))[i : i + 4]), 0)) for i in range(len(t))) / len(t) if t else None for t in texts]
+
+
+WORDS = ["el", "gato", "the", "cat", "und", "Hund", "съешь", "мягких", "булок", "天地", "玄黄", "42", "é", "…", "x" * 30]
+
+
+def test_quality_perplexity_equals_brute_force(spark):
+    r = random.Random(9)
+    say = lambda: r.choice([" ", "\n", "\t"]).join(r.choice(WORDS) for _ in range(r.randrange(1, 30)))
+    trusted, texts = [say() for _ in range(60)], [*(say() for _ in range(40)), "ζζζ ###", "", None, "cat"]
+    model = quality.learn(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3), "text")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"lang": F.lit("xx"), "c0": F.lit("mine"), "Keep": F.lit(1)})
+    for options in ({}, {"batch_bytes": 300}):
+        rows = quality.score(docs, model, **options)
+        assert rows.columns == ["doc_id", "text", "lang", "c0", "n_symbols", "log_perplexity", "threshold", "keep"]
+        got = {x.doc_id: x for x in rows.collect()}
+        assert [got[i].text for i in range(len(texts))] == texts and all(x.c0 == "mine" for x in got.values())
+        for i, want in enumerate(brute_quality(trusted, texts)):
+            assert got[i].log_perplexity is want if want is None else abs(got[i].log_perplexity - want) < 1e-5, texts[i]
+
+
+def test_quality_probabilities_sum_to_one(spark):
+    model = quality.learn(spark.createDataFrame([("the cat sat on the mat. " * 20,), ("a mat",)], "text string"), "text")
+    shards = {x.shard: x for x in model.counts.collect()}
+    for context in ((1, 1, 1), (2, 3, 4), (9, 9, 3), (0, 0, 0)):
+        keys = np.array([(context[0] << 48) | (context[1] << 32) | (context[2] << 16) | i for i in range(len(model.single))], np.uint64)
+        x = shards[int(quality.shard_of(keys)[0])]
+        logp = quality.prices(keys, quality.unpack_keys(x["keys"]), quality.unpack_numbers(x["counts"]), model.cuts, model.single)
+        assert abs(np.exp(logp).sum() - 1) < 1e-9
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
@@ -66,11 +122,12 @@ def test_quality_threshold_follows_length():
 
 
 @pytest.mark.parametrize("text", ["съешь же ещё этих мягких французских булок, да выпей чаю. ", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία. ", "نص حكيم له سر قاطع وذو شأن عظيم. ", "天地玄黄宇宙洪荒日月盈昃辰宿列张。"])
-def test_quality_tells_junk_in_other_scripts(text):
-    m = quality.Model(quality.kneser_ney(np.bincount(quality.codes([text * 30])[0], minlength=quality.SYMBOLS**quality.ORDER)))
+def test_quality_tells_junk_in_other_scripts(spark, text):
+    model = quality.learn(spark.createDataFrame([(text * 30,)], "text string"), "text")
     shuffled = list(text * 3)
     random.Random(7).shuffle(shuffled)
-    _, mean, _ = m.losses([text * 3, "".join(shuffled), text[0] * 90])
+    rows = spark.createDataFrame(list(enumerate([text * 3, "".join(shuffled), text[0] * 90])), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    mean = {r.doc_id: r.log_perplexity for r in quality.score(rows, model).collect()}
     assert mean[0] + 1 < mean[1] and mean[0] + 1 < mean[2]
 
 
@@ -112,8 +169,8 @@ def test_filter_has_all_counts_and_few_false_ones():
     q = lm_score.levels_of(counts)
     for level in range(1, q.max() + 1):
         for probe in range(lm_score.PROBES):
-            segment[lm_score.spots((inside & lm_score.LOW)[q >= level], level, probe, bits)] = True
-    f = lm_score.Filter(np.packbits(segment, bitorder="little").tobytes(), 1, bits)
+            segment[lm_score.spots(inside[q >= level], level, probe, bits)] = True
+    f = lm_score.Filter(np.packbits(segment, bitorder="little").tobytes(), bits)
     low = np.where(q == 1, 1, lm_score.BASE ** (q - 0.5))
     assert (f.count(inside) >= low).all() and (f.count(h[10_000:]) > 0).mean() < 0.1
     assert lm_score.levels_of(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
@@ -145,7 +202,7 @@ def test_filter_grows_and_stops_at_the_highest_level():
     for n in (1000, 200_000):
         f = lm_score.fill([(h[:n], np.full(n, 5))])
         assert (f.level(h[:n]) == 3).all() and (f.level(h[200_000:]) > 0).mean() < 0.02
-    full = lm_score.Filter(b"\xff" * 8, 1, 64, 3)
+    full = lm_score.Filter(b"\xff" * 8, 64, 3)
     assert (full.count(h[:9]) == lm_score.BASE**2.5).all()
 
 
