@@ -2,12 +2,14 @@
 each normalised text once; hits are mapped back to character offsets of the original text.
 
 Normalising lower-cases A-Z and keeps words, joined by single spaces. A pattern has a space before and
-after it, so that it only fits whole words. Null or blank texts have no words and no hits; blank items
-have no windows. Items with equal windows are all named. Repeated rows stay.
-
-The automaton is built in each worker from the windows that the driver reads, so its items must be few:
-beyond ITEM_BYTES of item text they are dealt into several automata, each scanned in turn with the
-others' memory freed, and the hits are united.
+after it, so that it only fits whole words. Null, blank and empty texts have no words and no hits; blank items, and
+items without an id, have no windows. Items with equal windows are all named. Very long texts are scanned whole, in
+linear time. Repeated rows stay; an empty table gives an empty result. Columns of docs by the new names, whatever
+their case, are replaced, all others pass through.
+
+The automaton is built in each worker from windows that the driver reads, some hundred times the items' text. Items
+of more than ITEM_BYTES are dealt by id into automata of that size, and the documents are scanned once with each, from a
+written table to the next, so that a worker builds each automaton once and holds one at a time; hits are united by row.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import groups, kept, settle, size_of, small_batches
 
 WINDOW = 10
-#: Item text of one automaton; it takes some hundred times as much memory.
+#: Item text of one automaton.
 ITEM_BYTES = 2_000_000
 #: Upper to lower letters; every other ASCII byte that is neither digit nor letter to a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,6 +40,8 @@ def item_windows(items: list[tuple[int, str | None]], size: int = WINDOW) -> dic
     """Window (its words joined by spaces) to the ids of the items that have it."""
     out: dict[bytes, set[int]] = {}
     for item, text in items:
+        if item is None:
+            continue
         words = (text or "").encode().translate(TO_WORDS).split()
         for i in range(max(1, len(words) - size + 1)) if words else ():
             out.setdefault(b" ".join(words[i : i + size]), set()).add(item)
@@ -79,63 +83,76 @@ def original_offsets(text: str, first: np.ndarray, last: np.ndarray) -> tuple[li
     return [words[i][0] for i in first], [words[i - 1][1] for i in last]
 
 
-_SCANNERS: dict[str, Scanner] = {}
+#: Hits so far: runs of word numbers, and items.
+FOUND = "found_starts array<int>, found_ends array<int>, found_items array<long>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """docs with columns n_words, hit_starts, hit_ends (code points of the hit runs in the text), n_hit (words) and item_ids.
+def _covered(words: int, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each word is in one of the runs."""
+    step = np.zeros(words + 1, np.int64)
+    for ends, by in zip(np.array(runs, np.int64).reshape(-1, 2).T, (1, -1), strict=True):
+        np.add.at(step, ends, by)
+    return np.cumsum(step[:-1]) > 0
+
 
-    Columns of docs by these names are replaced; its other columns pass through.
-    """
+def _look(clean: bytes, scanner: Scanner, before: tuple[list[int], list[int], list[int]]) -> tuple[int, np.ndarray, list[int]]:
+    """Words, runs of hit words and items of a normalised text, with those found before."""
+    words = clean.count(b" ") + 1 if clean else 0
+    spans, items = scanner.hits(clean)
+    if not spans:
+        return words, np.array(before[:2], np.int64).reshape(2, -1).T, before[2]
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(clean, np.uint8) == 32) + 1])
+    offset, length = np.array(sorted(set(spans))).T
+    first = np.searchsorted(starts, offset)
+    runs = [*zip(first.tolist(), (first + length).tolist(), strict=True), *zip(*before[:2], strict=True)]
+    return words, runs_of(_covered(words, runs)), sorted(items.union(before[2]))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """docs with columns n_words, hit_starts, hit_ends (code points of the hit runs in the text), n_hit (words) and item_ids."""
     spark = docs.sparkSession
     small_batches(spark)
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // item_bytes))
-    dealt = benchmark.select(item, "text").withColumn("part", F.pmod(F.xxhash64(item), F.lit(n)))
-    sent = []
-    for p in range(n):  # the items of one automaton at a time, within the bound
-        found = item_windows([tuple(r) for r in dealt.filter(F.col("part") == p).select(item, "text").toLocalIterator()], window)
-        key = hashlib.sha256(b"\n".join(k + b"|%d" % len(v) + str(v).encode() for k, v in sorted(found.items()))).hexdigest()
-        sent.append((key, spark.sparkContext.broadcast(found)))
-    drop = [c.split()[0] for c in SPANS.split(", ")]
-    kept = docs.drop(*drop)
-    at = kept.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [SPANS])
-    names = [*kept.columns, *drop]
+    parts = groups(size_of(benchmark, "text"), item_bytes)
+    dealt = benchmark.select(F.col(item).alias("item"), "text").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    new = [c.split()[0] for c in SPANS.split(", ")]
+    names = [c for c in docs.columns if c.lower() not in new]
+    own = [f"c{i}" for i in range(len(names))]  # names of their own, which clash with none
+    none = [F.array().cast(c.split()[1]).alias(c.split()[0]) for c in FOUND.split(", ")]
+    rows = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, own, strict=True)], *none)
+    for part in range(parts):
+        of_part = dealt.filter(F.col("part") == part).select("item", "text")
+        windows = item_windows([tuple(r) for r in of_part.toLocalIterator()], window)  # within ITEM_BYTES of items
+        rows = _scan_part(rows, own, names.index(text), windows, last=part == parts - 1)
+        rows = rows if part == parts - 1 else settle(rows)
+    return rows.select(*[F.col(c).alias(n) for n, c in zip(names, own, strict=True)], *new)
+
+
+def _scan_part(rows: DataFrame, own: list[str], at: int, found: dict[bytes, list[int]], last: bool) -> DataFrame:
+    """rows (own columns, then FOUND) with the hits of one automaton added; at last with SPANS for FOUND. at: the text's place."""
+    key = hashlib.sha256(b"\n".join(k + b"|%d" % len(v) + str(v).encode() for k, v in sorted(found.items()))).hexdigest()
+    sent = rows.sparkSession.sparkContext.broadcast(found)
+    new = SPANS if last else FOUND
+    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in own] + [new])
+    names = [*own, *(c.split()[0] for c in new.split(", "))]
 
     def run(batches):
+        scanner = kept(key, lambda: Scanner(sent.value))
         for batch in batches:
             raw = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            clean = [normalise(t) for t in raw]
-            found: list[tuple[list, set]] = [([], set()) for _ in raw]
-            for key, windows in sent:
-                if key not in _SCANNERS:
-                    _SCANNERS.clear()
-                    _SCANNERS[key] = Scanner(windows.value)
-                for out, c in zip(found, clean, strict=True):
-                    spans, items = _SCANNERS[key].hits(c)
-                    out[0].extend(spans)
-                    out[1].update(items)
-            rows = []
-            for t, c, (spans, items) in zip(raw, clean, found, strict=True):
-                words = c.count(b" ") + 1 if c else 0
-                if not spans:
-                    rows.append((words, [], [], 0, []))
-                    continue
-                starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(c, np.uint8) == 32) + 1])
-                offset, length = np.array(sorted(set(spans))).T
-                first = np.searchsorted(starts, offset)
-                step = np.zeros(words + 1, np.int64)
-                np.add.at(step, first, 1)
-                np.add.at(step, first + length, -1)
-                hit = np.cumsum(step[:-1]) > 0
-                run_of = runs_of(hit)
-                rows.append((words, *original_offsets(t.decode(), run_of[:, 0], run_of[:, 1]), int(hit.sum()), sorted(items)))
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64())]
-            extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
-
-    return kept.mapInArrow(run, schema)
+            before = zip(*(batch.column(len(own) + i).to_pylist() for i in range(3)), strict=True)
+            out = []
+            for t, b in zip(raw, before, strict=True):
+                words, runs, items = _look(normalise(t), scanner, b)
+                if last:
+                    places = original_offsets(t.decode(), runs[:, 0], runs[:, 1]) if len(runs) else ([], [])
+                    out.append((words, *places, int((runs[:, 1] - runs[:, 0]).sum()), items))
+                else:
+                    out.append((runs[:, 0].tolist(), runs[:, 1].tolist(), items))
+            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64())] if last else [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            extra = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *extra], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def report(scanned: DataFrame) -> DataFrame:
