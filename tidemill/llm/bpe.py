@@ -5,7 +5,8 @@ A sequence of tokens is what BPE makes of a word if each token is what BPE makes
 each adjacent pair is what BPE makes of the pair's symbols. Both facts depend on the vocabulary alone, so
 they are worked out once for each token or pair that occurs and looked up from then on.
 
-Nulls and empty texts have no tokens. Repeated rows stay. Other columns pass through `encode` unread.
+Nulls and empty texts have no tokens. Very long texts are encoded whole, and a very long word is merged with a heap. Repeated
+rows stay; an empty table gives an empty result. Other columns pass through `encode` unread.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, small_batches
+from .common import kept, mix, small_batches
 
 #: White space of the vocabulary's splitting pattern, as a character class. Fixed values.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -213,9 +214,6 @@ class WordBpe:
         return ids, said
 
 
-_ENCODERS: dict[str, WordBpe] = {}
-
-
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the token ids of column `text` (array<int>) and the text that they decode to.
 
@@ -226,14 +224,12 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
     key, sent = hashlib.sha256(content.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
-    kept = df.drop(ids, decoded)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    at = kept.columns.index(text)
+    rows = df.drop(ids, decoded)
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    at = rows.columns.index(text)
 
     def run(batches):
-        if key not in _ENCODERS:
-            _ENCODERS[key] = WordBpe(sent.value)
-        bpe = _ENCODERS[key]
+        bpe = kept(key, lambda: WordBpe(sent.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
@@ -242,7 +238,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(said, pa.string())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -8,7 +8,8 @@ are classified whole.
 
 Null texts and texts without a letter are `und` with score 0. A prediction whose margin between the two
 smallest sums is under MARGIN of the smallest is marked unreliable. Equal sums: the language with more labelled texts.
-With no labelled row all texts are `und`. Repeated rows stay; columns of docs by the new names are replaced.
+With no labelled row all texts are `und`. Very long texts are compressed whole, block by block. A null doc_id is learnt
+from like any other and `held_out` is null for it. Repeated rows stay; an empty table gives an empty result; columns of docs by the new names are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept, small_batches
 
 DICT_DOCS = 64
 DICT_BYTES = 100_000
@@ -88,29 +89,24 @@ class Classifier:
         return self.names[order[0]], min(1.0, 1.0 - math.exp(-gap / 0.05)), gap >= margin
 
 
-_CLASSIFIERS: dict[str, Classifier] = {}
-
-
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1, rising with the margin) and reliable (false: rejected for a narrow margin)."""
     small_batches(docs.sparkSession)
     key = hashlib.sha256(repr(dictionaries.items()).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    kept = docs.drop("lang_pred", "score", "reliable")
-    at = kept.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["lang_pred string, score double, reliable boolean"])
-    names = [*kept.columns, "lang_pred", "score", "reliable"]
+    rows = docs.drop("lang_pred", "score", "reliable")
+    at = rows.columns.index(text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["lang_pred string, score double, reliable boolean"])
+    names = [*rows.columns, "lang_pred", "score", "reliable"]
 
     def run(batches):
-        if key not in _CLASSIFIERS:
-            _CLASSIFIERS[key] = Classifier(sent.value)
-        predict = _CLASSIFIERS[key].predict
+        predict = kept(key, lambda: Classifier(sent.value)).predict
         for batch in batches:
             said = [predict(t) for t in batch.column(at).to_pylist()]
             extra = [pa.array([s[i] for s in said], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(modulus: int = 4, remainder: int = 2):

@@ -3,7 +3,8 @@ tests and numpy unfiltering, and a hash of the image's low cosine frequencies in
 
 A payload is padded with bytes 255 to a positive multiple of the row width, one byte a pixel; a null or empty
 text is one row of padding. Equal payloads give equal files and hashes. Damaged files raise ValueError, which
-names the failing test. Very long texts only make taller images. Columns by the new names are replaced.
+names the failing test. Very long texts only make taller images. An empty table gives an empty result. Columns by the
+new names are replaced.
 """
 
 from __future__ import annotations
