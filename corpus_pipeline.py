@@ -25,16 +25,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links, that of the smallest id; rows that repeat its id become one; rows without an id stay."""
+    """One document of each component of links, that of the smallest id; rows that are equal in id and text become one.
+
+    Rows without an id and texts without words stay.
+    """
     rows = docs.select(COLUMNS)
-    found = ngram_join.jaccard_components(rows)
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = rows.join(gone, "doc_id", "left_anti")
-    many = found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id")
+    found = ngram_join.jaccard_components(rows).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("component_row"))
+    key = ["doc_id", "row"]
+    kept = rows.withColumn("row", F.xxhash64("text")).join(found.filter(~first).select(key).distinct(), key, "left_anti")
+    many = settle(found.filter(first).groupBy(key).count().filter("count > 1").select(key))
     if many.isEmpty():
         return kept.select(COLUMNS)
-    repeated = kept.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*COLUMNS[1:]), F.struct(F.length("text"), F.xxhash64("text"))).alias("x"))
-    return kept.join(many, "doc_id", "left_anti").select(COLUMNS).union(repeated.select("doc_id", "x.*").select(COLUMNS))
+    repeated = kept.join(many, key, "left_semi").groupBy(key).agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return kept.join(many, key, "left_anti").select(COLUMNS).union(repeated.select(COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
