@@ -68,7 +68,12 @@ def test_documents_slugs_and_fences(spark):
         ('{"tool": "x"}', "tool"),
         ('{"final_answer": true}', "final"),
         ('{"final_answer": 1}', "invalid"),
-        ('{"final_answer": true, "args": {}}', "invalid"),
+        ('{"final_answer": true, "args": {}}', "final"),
+        ('{"final_answer": true, "args": {"q": 1}}', "invalid"),
+        ('{"tool": "x", "final_answer": false}', "tool"),
+        ('{"tool": "x", "args": {"tool": 3, "final_answer": true}}', "tool"),
+        ('{"tool": " ", "final_answer": true}', "final"),
+        ('{"tool": "x", "args": null}', "invalid"),
         ('{"tool": "x", "final_answer": true}', "invalid"),
         ('{"tool": "x", "args": [1]}', "invalid"),
         ('{"tool": "x", "more": 1}', "invalid"),

@@ -1,5 +1,6 @@
 """Operators on small fixtures with known results."""
 
+import json
 import math
 
 import pytest
@@ -199,7 +200,13 @@ def test_gate_names_faults_of_rewards_and_verification(spark):
         ("invalid_action_transition", [d("a")], [s(0, "a", (-0.1, -0.1))], True),
         ("duplicate_call_transition", [d("")], [s(0, "", (0.0, -0.1))], True),
         ("invalid_transition_action", [d("")], [s(0, "", ok=None)], True),
-        ("invalid_transition_action", [d(None)], [s(0, None)], True),
+        ("incomplete_decision", [d(None)], [s(0, None)], True),
+        ("transition_action_mismatch", [d("a")], [s(0, None)], True),
+        ("missing_tool_event", [d("a"), d("final_answer")], [s(0, "a", ok=None), s(1, "final_answer", ok=None)], True),
+        ("kept", [d("a"), d("final_answer")], [s(0, "a"), s(1, "final_answer", ok=None)], True),
+        ("kept", [d("final_answer")], [s(0, "final_answer", ok=False)], True),
+        ("missing_transitions", [d("a")], None, True),
+        ("transition_count_mismatch", [d("a")], [], True),
         ("unsuccessful_tool_event", [d("a")], [s(0, "a", ok=False)], None),
         ("missing_verification", [d("a")], [s(0, "a")], None),
         ("missing_verification", [d("a")], [s(0, "a")], False),
@@ -247,14 +254,28 @@ def test_messages(spark):
 
     one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
     assert one(messages.decision(F.lit('```json\n{"final_answer": "x", "tool": "t"}\n```'))).kind == "final"
-    assert one(messages.decision(F.lit('{"tool": "t", "plan": "p"}'))).tool == "t" and one(messages.decision(F.lit("nothing"))).kind == "invalid"
+    assert one(messages.decision(F.lit('{"tool": "t", "plan": "p"}'))).tool == "t" and one(messages.decision(F.lit('{"plan": ["p", " "]}'))).plan == ["p"] and one(messages.decision(F.lit("nothing"))).kind == "invalid"
     schema = {"q": ("str", True), "n": ("int", False)}
-    cases = {'{"q": "a", "n": 3}': None, '{"q": "a", "n": true}': None, '{"q": "a", "n": 3.5}': "wrong type: n", '{"n": 3}': "missing: q", '{"q": 1}': "wrong type: q", '{"q": "a", "z": 1}': "unknown: z", "[1]": "args must be an object"}
+    cases = {'{"q": "a", "n": 3}': None, '{"q": "a", "n": true}': None, '{"q": "a", "n": 3.5}': "arg 'n' must be int", '{"n": 3}': "missing required arg 'q'", '{"q": 1}': "arg 'q' must be str", '{"q": "a", "z": 1}': "unknown args: z", "[1]": "args must be a JSON object", '{"q": {"q": "x"}}': "arg 'q' must be str", '{"q": null}': "missing required arg 'q'", '{"q": "a", "n": null}': None, "no": "args must be a JSON object"}
     assert {a: one(messages.argument_error(F.lit(a), schema)) for a in cases} == cases
     kept = one(messages.safe_provenance(F.create_map(F.lit("source"), F.lit("s"), F.lit("GoldIds"), F.lit("g"))))
     assert kept == {"source": "s"}
     assert one(messages.compact(F.array(*map(F.lit, "abcdef")), 4, 1)) == list("cdef") and one(messages.compact(F.array(F.lit("ab")), 4, 1)) == ["a"]
-    assert len(one(messages.tiered(F.array(F.lit("x" * 300), F.lit("y" * 300)), 450, (220, 100)))) == 441
+    assert json.loads(one(messages.safe_json(F.lit('{"a": 1, "Gold": 2, "b": {"label": 1, "c": [1]}, "d": {"answers": 1}, "e": [[1]]}')))) == {"a": 1, "b": {"c": [1]}}
+    assert one(messages.safe_json(F.lit('{"target": 1}'))) is None
+    event = lambda i, size: F.struct(F.lit(i).alias("step_index"), F.lit("t").alias("tool"), F.lit("{}").alias("args"), F.lit(True).alias("ok"), F.lit("x" * size).alias("observation"))
+    tiers = [json.loads(one(messages.tiered(F.array(event(0, 10), event(1, 900)), b))) for b in (5000, 900, 100)]
+    assert [len(t[1]["observation"]) for t in tiers] == [900, 290, 64] and tiers[1][0]["observation"] == "x" * 10 and "args" not in tiers[2][0]
+    routed = lambda raw, msg="hi": tuple(one(messages.route(F.lit(raw).cast("string"), F.lit(msg).cast("string"))))
+    assert routed('{"use_docs": false, "rewritten_query": " q "}') == (False, True, True, "q") and routed("broken") == (True, True, True, "hi")
+    assert routed('```json\n{"use_docs": 0, "use_memory": "", "write_memory": null}\n```') == (False, False, False, "hi") and routed("{}", "  ") == (False, False, False, "")
+    read = lambda raw: [tuple(f) for f in one(messages.facts(F.lit(raw)))]
+    fact = '{"fact_content": " likes tea ", "fact_object": "drink", "visibility": "PRIVATE"}'
+    assert read('{"facts": [%s, {"fact_content": " "}]}' % fact) == read(f"[{fact}]") == read('[{"facts": [%s]}]' % fact) == [("drink", "likes tea", "PRIVATE")]
+    assert read("none") == read("3") == read("{}") == []
+    said = json.loads(one(messages.state(F.lit("q?"), F.lit(3), F.array(F.lit("t")), F.array(F.struct(F.lit(0).alias("step_index"), F.lit("t").alias("tool"), F.lit("{}").alias("args"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit("o" * 6000).alias("observation"))), F.lit("Duplicate call"))))
+    assert len(said["retrieved_evidence"][0]) == 5000 and "required_next_action" in said and said["remaining_steps"] == 3
+    assert one(messages.trajectory(F.array(F.struct(F.lit(0).alias("step_index"), F.lit("t").alias("tool"), F.lit("{}").alias("args"), F.lit(False).alias("ok"), F.lit("bad").alias("error"), F.lit("hm").alias("thought"), F.lit("seen").alias("observation"))))) == "[0] t({}) -> ERROR: bad\n    thought: hm\n    obs: seen"
 
 
 def test_verification(spark):
@@ -277,7 +298,12 @@ def test_judging_and_blocks(spark):
     arr = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     judged = lambda a, kind, value=None, values=(), forbidden=(): one(evaluation.judge(F.lit(a), F.lit(kind), F.lit(value).cast("string"), arr(*values), arr(*forbidden)))
     assert judged("A b", "exact", "ab") and judged("x y z", "contains_all", values=["xy", "Z"]) and not judged("x y z", "contains_all", values=["x"], forbidden=["z"])
-    assert judged("final answer = -2.0", "labelled_number", "-2") and not judged("42", "labelled_number", "42") and judged("not enough evidence", "refusal", values=["Not enough"]) and judged("x", "other") is None
+    assert judged("final answer = -2.0", "labelled_number", "-2") and not judged("42", "labelled_number", "42") and judged("not enough evidence", "refusal", values=["Not enough"])
+    assert judged("Ａ Ｂ", "exact", "ab") and judged("ﬁnal answer: ４.5", "labelled_number", "4.50") and not judged("a b", "exact", "b")
+    ruled = lambda a, *p: one(evaluation.judge(F.lit(a), F.lit("refusal"), F.lit(None).cast("string"), arr("unknown"), arr(), arr(*p)))
+    assert ruled("It is unknown", "certain") and not ruled("unknown, but CERTAINly 3", "certain(ly)? \\d")
+    with pytest.raises(Exception, match="unsupported answer rule: other"):
+        judged("x", "other")
     s = lambda kind, a, e=(), g=(), n=(): one(verification.success(F.lit(kind), F.lit(a), arr(*e), arr(*g), F.lit(42.0), arr(*n), 2))
     assert s("multihop", "", ["a", "b"], ["b"]) and not s("multihop", "", ["x", "y", "b"], ["b"]) and not s("multihop", "", ["a"]) and s("calc", "it is 42.01") and s("memory", "likes tea", n=["tea"]) and not s("memory", "tea") and not s("", "x")
     assert [one(memory.visibility(F.lit(v))) for v in (" private ", "2", "1", "x", None)] == ["PRIVATE", "PRIVATE", "PUBLIC", "PUBLIC", "PUBLIC"]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_ks(text: Column) -> Column:
@@ -56,6 +59,46 @@ def canonical_sha256(names: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON text with the keys of all its objects in order, compact; null where the text is no JSON. Built-in functions keep the order that they read."""
+
+    def one(s: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(s), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return text.map(one)
+
+
+def finite_number(value: Column) -> Column:
+    """Whether a JSON-like text is a finite number: no boolean, no word, no infinity."""
+    x = value.try_cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)) & ~F.lower(F.trim(value.cast("string"))).isin("true", "false")
+
+
+def as_float(value: Column) -> Column:
+    """A number for a gate: true and false count as 1 and 0, what is not finite is null."""
+    word = F.lower(F.trim(value.cast("string")))
+    return F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(finite(value))
+
+
+def now_iso(clock: Column | None = None) -> Column:
+    """UTC time as ISO text with seconds; a clock may stand in for the present."""
+    return F.date_format(F.to_utc_timestamp(clock if clock is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def today(clock: Column | None = None) -> Column:
+    return F.substring(now_iso(clock), 1, 10)
+
+
+def metadata_of(json_text: Column, source: Column, text: Column) -> Column:
+    """Stored metadata as JSON text; where it is no object, one of source and text."""
+    plain = F.to_json(F.struct(F.coalesce(source, F.lit("")).alias("source"), F.coalesce(text, F.lit("")).alias("text")))
+    return F.when(F.json_object_keys(json_text).isNotNull(), json_text).otherwise(plain)
+
+
 def tree_digest(files: DataFrame, root: str) -> str:
     """One digest of a folder (path, content): for files by path, the path's length in eight bytes, the path, the content.
 

@@ -31,10 +31,59 @@ def normalise_reward(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\b(a|an|the)\b", " "), r"(?U)[\W_]+", "")
 
 
+def _compat(s: str | None) -> str:
+    return unicodedata.normalize("NFKC", s or "")
+
+
+@F.pandas_udf(T.StringType())
+def compose(text: pd.Series) -> pd.Series:
+    """NFKC; no built-in function composes characters."""
+    return text.map(_compat)
+
+
 @F.pandas_udf(T.StringType())
 def normalise_compat(text: pd.Series) -> pd.Series:
-    """NFKC without white space, in lower case; no built-in function composes characters."""
-    return text.map(lambda s: "".join(unicodedata.normalize("NFKC", s or "").split()).lower())
+    """NFKC without white space, in lower case."""
+    return text.map(lambda s: "".join(_compat(s).split()).lower())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalise_each(texts: pd.Series) -> pd.Series:
+    """The same for each member of array<string>; null is empty."""
+    return texts.map(lambda row: ["".join(_compat(s).split()).lower() for s in row] if row is not None else [])
+
+
+def _plain(s: str | None) -> str:
+    return "".join(_compat(s).split()).lower()
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def within(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    """Of each part, whether it stands in any of the texts (array<string>), as normalise_compat has them; nulls are empty lists."""
+
+    def one(row, wanted) -> list[bool]:
+        have = [_plain(t) for t in row] if row is not None else []
+        return [any(_plain(p) in t for t in have) for p in wanted] if wanted is not None else []
+
+    return pd.Series([one(a, b) for a, b in zip(texts, parts, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def compose_each(texts: pd.Series) -> pd.Series:
+    """NFKC of each member of array<string>, trimmed."""
+    return texts.map(lambda row: [_compat(s).strip() for s in row] if row is not None else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_each(texts: pd.Series) -> pd.Series:
+    """NFKC with single spaces, case folded, of each member of array<string>."""
+    return texts.map(lambda row: [" ".join(_compat(s).split()).casefold() for s in row] if row is not None else None)
+
+
+@F.pandas_udf(T.StringType())
+def fold_title(title: pd.Series) -> pd.Series:
+    """NFKC with single spaces, case folded."""
+    return title.map(lambda s: " ".join(_compat(s).split()).casefold())
 
 
 def let(value: Column, body) -> Column:
@@ -179,15 +228,38 @@ def partition_name(key: Column) -> Column:
     return F.when(b < 8, "train").when(b == 8, "validation").otherwise("test")
 
 
+# Fixed values.
+ACTION_FIELDS = ["tool", "args", "final_answer"]
+
+
+def kind_of(value: Column, path: str) -> Column:
+    """The type of what a variant has at a path, as schema_of_variant names it; null where it has nothing."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def action_error(raw: Column) -> Column:
+    """Why a text is no strict JSON action, null if it is one.
+
+    An action has no other fields than tool, args and final_answer, and either a named tool or a final_answer that is true, not both;
+    args, if there are any, are an object, and none come with a final answer.
+    """
+    v = F.try_parse_json(raw)
+    unknown = F.array_sort(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, ACTION_FIELDS))))
+    final = F.coalesce((kind_of(v, "$.final_answer") == "BOOLEAN") & F.try_variant_get(v, "$.final_answer", "boolean"), F.lit(False))
+    tool = F.coalesce((kind_of(v, "$.tool") == "STRING") & (F.trim(F.try_variant_get(v, "$.tool", "string")) != ""), F.lit(False))
+    args = kind_of(v, "$.args")
+    some = F.coalesce(F.size(F.json_object_keys(F.get_json_object(raw, "$.args"))) > 0, F.lit(False))
+    return (
+        F.when(v.isNull(), "invalid JSON")
+        .when(~F.schema_of_variant(v).startswith("OBJECT"), "action must be a JSON object")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown action fields: "), F.array_join(unknown, ", ")))
+        .when(final == tool, "action must choose exactly one tool call or final_answer")
+        .when(~args.startswith("OBJECT"), "action args must be a JSON object")
+        .when(final & some, "final_answer does not accept args")
+    )
+
+
 def action_kind(raw: Column) -> Column:
-    """`tool`, `final` or `invalid` of a strict JSON action: keys tool, args and final_answer; a tool or a true final_answer, not both."""
-    tool, final = F.get_json_object(raw, "$.tool"), F.get_json_object(raw, "$.final_answer")
-    keys = F.json_object_keys(raw)
-    known = F.forall(keys, lambda k: k.isin("tool", "args", "final_answer"))
-    has_args = F.array_contains(keys, "args")
-    args = F.get_json_object(raw, "$.args")
-    is_final = raw.rlike(r'"final_answer"\s*:\s*true\b') & (final == "true")
-    is_tool = tool.isNotNull() & (tool != "") & raw.rlike(r'"tool"\s*:\s*"')
-    kind = F.when(~known, "invalid").when(is_tool & final.isNull() & (~has_args | args.startswith("{")), "tool")
-    kind = kind.when(is_final & tool.isNull() & ~has_args, "final").otherwise("invalid")
-    return F.when(keys.isNull(), "invalid").otherwise(kind)
+    """`tool`, `final` or `invalid` of a strict JSON action."""
+    tool = F.trim(F.coalesce(F.get_json_object(raw, "$.tool"), F.lit("")))
+    return F.when(action_error(raw).isNotNull(), "invalid").when(tool != "", "tool").otherwise("final")

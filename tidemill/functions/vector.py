@@ -36,3 +36,10 @@ def safe_cosine(a: Column, b: Column) -> Column:
 def normalise(a: Column) -> Column:
     n = F.greatest(norm(a), F.lit(TINY))
     return F.transform(doubles(a), lambda x: (x / n).cast("float"))
+
+
+def valid(v: Column, size: int) -> Column:
+    """A vector as array<float>, null unless it has `size` finite members."""
+    f = v.cast("array<float>")
+    good = (F.size(f) == size) & F.forall(f, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(good, f)

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .datasets import checkpoint
 from .retrieval import ranked
+from .training import numbered
 
 # Fixed values of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Document ids (some 10 MB) up to which the padding list is broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 def postings(docs: DataFrame, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, tok, tf and dl of each distinct token of each document that has tokens."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t"))
-    each = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("tok"))
-    return each.groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """doc_id, tok, tf and dl of each distinct token of each document that has tokens.
+
+    A row has all its tokens, so they are sorted and counted within the row, by the ends of runs, and nothing is shuffled.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(tokens).alias("t")).filter(F.size("t") > 0)
+    rows = rows.select("doc_id", "t", F.size("t").alias("dl"))
+    last = F.filter(F.transform("t", lambda x, i: F.when(~x.eqNullSafe(F.get("t", i + 1)), F.struct(x.alias("tok"), (i + 1).alias("stop")))), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "dl", last.alias("e"))
+    each = rows.select("doc_id", "dl", F.inline(F.transform("e", lambda x, i: F.struct(x["tok"].alias("tok"), (x["stop"] - F.coalesce(F.get("e", i - 1)["stop"], F.lit(0))).alias("tf")))))
+    return each.select("doc_id", "tok", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 def vocabulary(index: DataFrame, n: int) -> DataFrame:
-    """tok, df and idf; a negative idf is EPSILON times the mean idf."""
-    df = index.groupBy("tok").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
-    return raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+    """tok, df and idf of an index of n documents."""
+    return weights(index.groupBy("tok").agg(F.count("*").alias("df")), n)
+
+
+def frequencies(index: DataFrame) -> tuple[DataFrame, int, int]:
+    """tok and df of each word, in a checkpoint, and the numbers of documents and tokens, from one pass over the index."""
+    words = checkpoint(index.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum(F.col("tf") / F.col("dl")).alias("docs")))
+    n, tokens = words.agg(F.round(F.sum("docs")).cast("long"), F.sum("tf").cast("long")).first()
+    return words.select("tok", "df"), n or 0, tokens or 0
 
 
 def sizes(index: DataFrame) -> DataFrame:
@@ -36,35 +44,57 @@ def sizes(index: DataFrame) -> DataFrame:
 
 
 def statistics(index: DataFrame) -> DataFrame:
-    """n_docs, n_tokens, avgdl, n_terms and average_idf: one row."""
-    index = checkpoint(index)
-    n, tokens, avgdl = sizes(index).first()
-    raw = index.groupBy("tok").agg(F.count("*").alias("df")).select((F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    return raw.agg(F.lit(n).alias("n_docs"), F.lit(tokens).cast("long").alias("n_tokens"), F.lit(avgdl).alias("avgdl"), F.count("*").alias("n_terms"), F.avg("raw").alias("average_idf"))
+    """n_docs, n_tokens, avgdl, n_terms and average_idf: one row. The index is read once, for the words' frequencies."""
+    words, n, tokens = frequencies(index)
+    raw = words.select((F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return raw.agg(F.lit(n).alias("n_docs"), F.lit(tokens).cast("long").alias("n_tokens"), F.lit(tokens / n if n else None).cast("double").alias("avgdl"), F.count("*").alias("n_terms"), F.avg("raw").alias("average_idf"))
 
 
 def search(queries: DataFrame, query_tokens: Column, docs: DataFrame, doc_tokens: Column, k: int = 10, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """query_id, doc_id, score and rank of the k best documents, ties by doc_id.
 
-    A query with tokens always has k hits if there are k documents: those without a common token score 0 and go by
-    doc_id. Postings that no query asks for leave before they are joined; what a query has not matched is
-    padded from a list of the first doc_ids only as long as it needs.
+    A query with tokens always has k hits if there are k documents: those without a common token score 0 and go by doc_id. Only postings
+    of words that some query asks for are kept, in a checkpoint, as several steps read them.
     """
-    index = checkpoint(postings(docs, doc_tokens, doc_id))  # the index is read by several joins
-    n, _, avgdl = sizes(index).first()
-    vocab = vocabulary(index, n)
+    index = postings(docs, doc_tokens, doc_id)
     asked = queries.select(F.col(query_id).alias("query_id"), query_tokens.alias("t")).filter(F.size("t") > 0)
-    terms = asked.select("query_id", F.explode("t").alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("times"))
-    weighed = terms.join(vocab.join(terms.select("tok").distinct(), "tok", "left_semi"), "tok")
+    terms = checkpoint(asked.select("query_id", F.explode("t").alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("times")))
+    df, n, tokens = frequencies(index)
+    if not n:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    words = terms.select("tok").distinct()
+    weighed = terms.join(weights(df, n), "tok")
     tf, dl = F.col("tf"), F.col("dl")
-    gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
-    scored = weighed.join(index.join(terms.select("tok").distinct(), "tok", "left_semi"), "tok").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
-    need = asked.select("query_id").distinct().join(scored.groupBy("query_id").agg(F.sum((F.col("score") >= 0).cast("int")).alias("good"), F.count("*").alias("m")), "query_id", "left")
-    short = need.filter(F.coalesce("good", F.lit(0)) < k)
-    most = short.agg(F.max(F.coalesce("m", F.lit(0)))).first()[0]
-    if most is not None:
-        first = index.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
-        first = F.broadcast(first) if k + most <= BROADCAST_ROWS else first
-        pads = short.select("query_id").join(first).join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(pads)
+    gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(tokens / n)))
+    mine = index.join(words, "tok", "left_semi")
+    scored = checkpoint(weighed.join(mine, "tok").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")))
+    found = scored.groupBy("query_id").agg(F.sum((F.col("score") >= 0).cast("int")).alias("good"))
+    need = asked.select("query_id").distinct().join(found, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k)
+    if not need.isEmpty():
+        scored = scored.unionByName(_padding(need.select("query_id"), scored, docs.filter(F.size(doc_tokens) > 0).select(F.col(doc_id).alias("doc_id")), k))
     return ranked(scored, F.round("score", 9).desc(), F.col("doc_id"), k=k)
+
+
+def weights(df: DataFrame, n: int) -> DataFrame:
+    """tok, df and idf of a table of document frequencies; a negative idf is EPSILON times the mean idf."""
+    raw = df.select("tok", "df", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
+    return raw.select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+
+
+def _padding(short: DataFrame, scored: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """For each query the first k documents by id that it has not matched, at score 0.
+
+    A query lacks the first documents in order but for those that it matched: the i-th smallest id that it has not matched is at a place of
+    the order not beyond i plus its matches before it. Documents are numbered; a query's matches among them give the free places by
+    arithmetic, so what is made is k rows a query.
+    """
+    places = checkpoint(numbered(docs.distinct(), "doc_id"))
+    taken = scored.join(short, "query_id", "left_semi").join(places, "doc_id").select("query_id", "ord")
+    # the g-th match of a query at place p leaves p - g free places before it; free place i stands behind the matches with p - g <= i
+    w = Window.partitionBy("query_id").orderBy("ord")
+    before = taken.withColumn("free", F.col("ord") - F.row_number().over(w) + 1).filter(F.col("free") <= k - 1)
+    shifts = before.groupBy("query_id", "free").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.collect_list(F.struct("free", "n")).alias("s"))  # at most k entries
+    wanted = short.join(shifts, "query_id", "left").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    moved = F.aggregate(F.coalesce("s", F.array().cast("array<struct<free:bigint,n:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + F.when(x["free"] <= F.col("i"), x["n"]).otherwise(0))
+    return wanted.select("query_id", (F.col("i") + moved).alias("ord")).join(places, "ord").select("query_id", "doc_id", F.lit(0.0).alias("score"))

@@ -28,12 +28,20 @@ def assign_pages(chunks: DataFrame, offsets: DataFrame, doc: str = "doc_id") ->
 
 
 def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, at (offset of the line), level and title of each heading line."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = docs.select(F.col(doc), lines.alias("_l")).select(doc, "_l", F.posexplode("_l").alias("_i", "_line"))
-    rows = rows.filter(F.col("_line").rlike(r"^#{1,6}\s+\S"))
-    at = F.aggregate(F.slice("_l", 1, F.col("_i")), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    return rows.select(doc, at.alias("at"), F.length(F.regexp_extract("_line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("_line", r"^#+\s+", "")).alias("title"))
+    """doc, at (offset of the line), level and title of each heading line.
+
+    A mark before each heading line cuts the text into pieces, one a heading and one before the first; a piece's offset is the sum
+    of those before it, by a window over a document's pieces. Only documents with a heading are cut.
+    """
+    mark = "\ue000"
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc), body.alias("_b")).filter(F.col("_b").rlike(r"(?m)^#{1,6}\s+\S"))
+    cut = F.split(F.regexp_replace(F.translate("_b", mark, "\x01"), r"(?m)^(#{1,6}[^\S\n]+\S)", mark + "$1"), mark)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).select(doc, "_row", F.posexplode(cut).alias("_i", "_piece"))
+    w = Window.partitionBy(doc, "_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("_piece")).over(w), F.lit(0)).cast("int")).filter("_i > 0")
+    line = F.substring_index("_piece", "\n", 1)
+    return rows.select(doc, "at", F.length(F.regexp_extract(line, "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(line, r"^#+\s+", "")).alias("title"))
 
 
 def heading_paths(chunks: DataFrame, found: DataFrame, doc: str = "doc_id", start: str = "start") -> DataFrame:

@@ -48,7 +48,8 @@ def rescore(steps: DataFrame, tools: list[str], max_steps: int, rewards: dict[st
     total = F.lit(0.0)
     for k in new:
         total = total + F.col(k)
-    return df.withColumns(new).withColumn("reward", total).withColumnRenamed("_seen", "seen").drop("_call", "_dup")
+    df = df.withColumns(new).withColumn("reward", total)
+    return df.withColumn("seen", F.array_sort("_seen")).drop("_call", "_dup", "_seen")
 
 
 def duplicates(steps: DataFrame) -> DataFrame:
@@ -106,19 +107,119 @@ def actions(steps: DataFrame) -> DataFrame:
     return steps.groupBy(name.alias("action")).agg(F.count("*").alias("n"))
 
 
-def recovery(steps: DataFrame) -> DataFrame:
+def _retrieves() -> Column:
+    return F.coalesce("tool", F.lit("")) == RETRIEVE
+
+
+def recovery(steps: DataFrame, joint: DataFrame | None = None) -> DataFrame:
     """kind (empty, failed, duplicate), exposures, later actions, recoveries and their rate: what follows a retrieval that brought nothing.
 
-    Recovered: a later successful retrieval of the episode brings an id that was not seen by then. The rate is null without exposures.
+    Recovered: a later successful retrieval of the episode brings an id that was not seen by then. With joint (task_id, joint_success)
+    also how many of the recovered episodes end in success, and that rate. Rates are null without exposures.
     """
-    df = steps.withColumn("_seen", F.array_distinct(F.flatten(F.collect_list(F.when(F.coalesce("tool", F.lit("")) == RETRIEVE, F.col("evidence")).otherwise(F.array().cast("array<string>"))).over(_order(-1)))))
+    none = F.array().cast("array<string>")
+    df = steps.withColumn("_seen", F.array_distinct(F.flatten(F.collect_list(F.when(_retrieves(), F.col("evidence")).otherwise(none)).over(_order(-1)))))
     later = Window.partitionBy("task_id").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
-    df = df.withColumn("_next", F.array_distinct(F.flatten(F.collect_list(F.when((F.coalesce("tool", F.lit("")) == RETRIEVE) & F.col("ok"), F.col("evidence")).otherwise(F.array().cast("array<string>"))).over(later))))
-    df = df.withColumn("_more", F.count("*").over(later) > 0).filter(F.coalesce("tool", F.lit("")) == RETRIEVE)
+    df = df.withColumn("_next", F.array_distinct(F.flatten(F.collect_list(F.when(_retrieves() & F.col("ok"), F.col("evidence")).otherwise(none)).over(later))))
+    df = df.withColumn("_more", F.count("*").over(later) > 0).filter(_retrieves())
     kind = F.when(F.col("duplicate_call") < 0, "duplicate").when(~F.col("ok"), "failed").when(F.size("evidence") == 0, "empty")
     hit = F.size(F.array_except("_next", "_seen")) > 0
-    out = df.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("exposures"), F.sum(F.col("_more").cast("int")).alias("later_actions"), F.sum(hit.cast("int")).alias("recovered"))
-    return out.withColumn("rate", F.try_divide("recovered", "exposures"))
+    df = df.withColumn("kind", kind).filter("kind IS NOT NULL")
+    total = lambda c: F.sum(c.cast("int"))
+    made = [F.count("*").alias("exposures"), total(F.col("_more")).alias("later_actions"), total(hit).alias("recovered")]
+    if joint is None:
+        return df.groupBy("kind").agg(*made).withColumn("rate", F.try_divide("recovered", "exposures"))
+    df = df.join(joint.select("task_id", F.col("joint_success").alias("_joint")), "task_id", "left")
+    out = df.groupBy("kind").agg(*made, total(hit & F.coalesce(F.col("_joint") >= 1, F.lit(False))).alias("recovered_joint"))
+    return out.withColumns({"rate": F.try_divide("recovered", "exposures"), "joint_rate": F.try_divide("recovered_joint", "exposures")})
+
+
+def features(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """task_id and what an episode counts for a paired comparison of behaviour: episode, decisions, retrieval, premature, budget, json_invalid,
+    unsupported, duplicate, and whether it made 0, 1, 2, 3 or more retrievals. steps: scored; ends: task_id, stop_reason."""
+    tool = F.coalesce("tool", F.lit(""))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    by = steps.groupBy("task_id").agg(
+        F.count("*").alias("decisions"),
+        count(tool == RETRIEVE).alias("retrieval"),
+        F.max((F.col("premature_final_answer") < 0).cast("int")).alias("premature"),
+        count(F.col("parse_error")).alias("json_invalid"),
+        count(~tool.isin("", RETRIEVE)).alias("unsupported"),
+        count(F.col("duplicate_call") < 0).alias("duplicate"),
+    )
+    n = F.col("retrieval")
+    calls = {f"retrieval{i}": (n == i).cast("int") for i in range(4)} | {"retrieval4plus": (n >= 4).cast("int")}
+    return by.join(ends.select("task_id", (F.coalesce(F.col("stop_reason"), F.lit("")) == "budget").cast("int").alias("budget")), "task_id").withColumns({"episode": F.lit(1), **calls})
+
+
+#: Name, numerator and denominator of the measures of a paired comparison of behaviour. Fixed values.
+PAIRED = [
+    ("PrematureStopRate", "premature", "episode"),
+    ("BudgetExhaustionRate", "budget", "episode"),
+    ("JsonInvalidRate", "json_invalid", "decisions"),
+    ("UnsupportedToolRate", "unsupported", "decisions"),
+    ("DuplicateCallRate", "duplicate", "decisions"),
+    ("MeanRetrievalCalls", "retrieval", "episode"),
+    ("Retrieval0Rate", "retrieval0", "episode"),
+    ("Retrieval1Rate", "retrieval1", "episode"),
+    ("Retrieval2Rate", "retrieval2", "episode"),
+    ("Retrieval3Rate", "retrieval3", "episode"),
+    ("Retrieval4PlusRate", "retrieval4plus", "episode"),
+]
+
+
+def behaviour(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """One row of counts and rates over all episodes; rates are null where nothing could have happened."""
+    f = features(steps, ends)
+    total = lambda c: F.sum(c)
+    share = lambda a, b: F.try_divide(total(a), F.when(total(b) > 0, total(b)))
+    stops = ends.select("task_id", (F.coalesce(F.col("stop_reason"), F.lit("")) == "final_answer").cast("int").alias("explicit"))
+    return f.join(stops, "task_id").agg(
+        F.count("*").alias("n_episodes"),
+        F.coalesce(total("decisions"), F.lit(0)).alias("n_decisions"),
+        share("retrieval", "episode").alias("mean_retrieval_calls"),
+        share("json_invalid", "decisions").alias("json_invalid_rate"),
+        F.coalesce(total("unsupported"), F.lit(0)).alias("unsupported_tool_action_count"),
+        share("unsupported", "decisions").alias("unsupported_tool_action_rate"),
+        share("premature", "episode").alias("premature_stop_rate"),
+        share("duplicate", "decisions").alias("duplicate_call_rate_per_decision"),
+        share("duplicate", "retrieval").alias("duplicate_call_rate_per_retrieval_attempt"),
+        share("budget", "episode").alias("budget_exhaustion_rate"),
+        share("explicit", "episode").alias("explicit_stop_rate"),
+    )
+
+
+def after_two(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """One row: episodes whose first decision after two retrievals found the evidence incomplete, and how many of them stop, go on, go on and
+    complete it or succeed, or do something invalid. steps: with gold; ends: task_id, complete, joint_success."""
+    df = steps.withColumn("_calls", F.coalesce(F.sum(_retrieves().cast("int")).over(_order(-1)), F.lit(0)))
+    df = df.withColumn("_seen", F.flatten(F.collect_list("evidence").over(_order(-1)))).filter("_calls = 2")
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy("step"))).filter("_n = 1")
+    first = first.filter((F.size("gold") > 0) & (F.size(F.array_except("gold", "_seen")) > 0)).join(ends.select("task_id", "complete", "joint_success"), "task_id", "left")
+    stop, go = F.col("final") & ~F.col("parse_error"), _retrieves() & ~F.col("parse_error")
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0))
+    return first.agg(
+        F.count("*").alias("opportunities"),
+        n(stop).alias("stops"),
+        n(~stop & go).alias("continues"),
+        n(~stop & go & (F.col("complete") >= 1)).alias("then_complete"),
+        n(~stop & go & (F.col("joint_success") >= 1)).alias("then_joint"),
+        n(~stop & ~go).alias("invalid"),
+    )
+
+
+def candidate_actions(steps: DataFrame, by: list[str]) -> DataFrame:
+    """by and a map of actions to how often a candidate took each."""
+    tool = F.coalesce("tool", F.lit(""))
+    name = F.when(F.col("parse_error"), "invalid_json_action").when(tool != "", tool).otherwise("final_answer")
+    counts = steps.groupBy(*by, name.alias("action")).agg(F.count("*").alias("n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("action_counts"))
+
+
+def accumulate(items: DataFrame, key: list[str], order: list[str], by: str = "task_id") -> DataFrame:
+    """items without those whose key their episode has had before, by order: what successful tools brought, each once."""
+    w = Window.partitionBy(by, *key).orderBy(*order)
+    return items.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def stopping(steps: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import compose, normalise_compat, within
+
 
 def positives(qrels: DataFrame) -> DataFrame:
     return qrels.filter(F.coalesce("relevance", F.lit(1.0)) > 0).select("query_id", "doc_id").distinct()
@@ -70,6 +72,19 @@ def tool_sets(called: Column, expected: Column) -> Column:
     return F.struct(share(c).alias("precision"), share(e).alias("recall"))
 
 
+def merge_accuracy(cases: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
+    """One row: n and the share of operations that are the expected ones; 0 of none."""
+    same = F.coalesce(F.col(predicted) == F.col(expected), F.lit(False)).cast("double")
+    return cases.agg(F.count("*").alias("n"), F.coalesce(F.avg(same), F.lit(0.0)).alias("accuracy"))
+
+
+def recall_report(hits: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
+    """k, recall, mrr and n_eval over the queries that have a positive; hits: query_id, doc_id, rank."""
+    asked = queries.select("query_id").distinct()
+    gold = positives(qrels).join(asked, "query_id", "left_semi")
+    return summary(rank_metrics(hits.join(asked, "query_id", "left_semi"), gold, sorted(set(ks)))).withColumnRenamed("n", "n_eval")
+
+
 def _flat(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
 
@@ -77,7 +92,7 @@ def _flat(c: Column) -> Column:
 def contains_all(answer: Column, required: Column, forbidden: Column | None = None, flat=_flat) -> Column:
     """Whether all required strings stand in the answer and no forbidden one does, without regard to case and white space.
 
-    flat: how both sides are made alike; give functions.text.normalise_compat applied beforehand for text beyond ASCII.
+    flat: how both sides are made alike in ASCII text; judge() takes care of other text.
     """
     a = flat(F.coalesce(answer, F.lit("")))
     ok = F.forall(required, lambda r: F.contains(a, flat(r)))
@@ -86,6 +101,7 @@ def contains_all(answer: Column, required: Column, forbidden: Column | None = No
 
 #: Labels of a final number. Fixed values.
 FINAL = r"(?i)(?:最终答案|final\s*answer)"
+KINDS = ["exact", "contains_all", "labelled_number", "refusal"]
 
 
 def labelled_number(answer: Column, expected: Column, label: str = FINAL) -> Column:
@@ -103,14 +119,23 @@ def refusal(answer: Column, markers: Column, forbidden: Column, patterns: list[s
     return ok
 
 
-def judge(answer: Column, kind: Column, value: Column, values: Column, forbidden: Column) -> Column:
-    """By a rule's kind: exact, contains_all, labelled_number or refusal (values are its markers); null for another kind."""
-    exact = _flat(F.coalesce(answer, F.lit(""))) == _flat(F.coalesce(value, F.lit("")))
+def judge(answer: Column, kind: Column, value: Column, values: Column, forbidden: Column, patterns: Column | None = None) -> Column:
+    """By a rule's kind: exact, contains_all, labelled_number or refusal (values are its markers); another kind fails the query.
+
+    Text is compared as NFKC without white space and case. forbidden, and for refusals patterns (regular expressions), must not occur.
+    """
+    none = F.array().cast("array<string>")
+    text = F.coalesce(answer, F.lit(""))
+    same = normalise_compat(text) == normalise_compat(F.coalesce(value.cast("string"), F.lit("")))
+    asked, barred = within(F.array(text), values), within(F.array(text), forbidden)
+    clear = ~F.exists(barred, lambda x: x)
+    found = F.exists(F.coalesce(patterns, none) if patterns is not None else none, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)))
     return (
-        F.when(kind == "exact", exact)
-        .when(kind == "contains_all", contains_all(answer, values, forbidden))
-        .when(kind == "labelled_number", labelled_number(answer, value.try_cast("decimal(38,10)")))
-        .when(kind == "refusal", refusal(answer, values, forbidden, []))
+        F.when(kind == "exact", same)
+        .when(kind == "contains_all", F.forall(asked, lambda x: x) & clear)
+        .when(kind == "labelled_number", labelled_number(compose(text), value.try_cast("decimal(38,10)")))
+        .when(kind == "refusal", F.exists(asked, lambda x: x) & clear & ~found)
+        .otherwise(F.raise_error(F.concat(F.lit("unsupported answer rule: "), F.coalesce(kind, F.lit("null")))).cast("boolean"))
     )
 
 

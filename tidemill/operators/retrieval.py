@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors go to the workers at once (some 2 MB at 64 dimensions).
-BLOCK = 4096
+#: Queries whose vectors a task compares at once, and corpus rows of one comparison: some 16 MB of scores.
+BLOCK, ROWS = 1024, 2048
 
 
 def ranked(df: DataFrame, *order: Column, k: int | None = None, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -19,69 +19,96 @@ def ranked(df: DataFrame, *order: Column, k: int | None = None, by: str = "query
     return out if k is None else out.filter(F.col(rank) <= k)
 
 
-def _blocks(queries: DataFrame, query_id: str, vector: str):
-    ids, vectors = [], []
-    for row in queries.filter(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors, np.float64)
-
-
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector") -> DataFrame:
     """query_id, doc_id, score and rank of each query's k nearest rows; exact.
 
     metric l2: squared distance, ascending; cosine: descending, vectors of zero norm left out on either side. Ties go to the smaller
-    doc_id. Queries go to the workers in blocks; every batch of corpus rows keeps k candidates a query, and one window
-    merges the batches' candidates, so no task sees a query's whole list.
+    doc_id. Queries are packed into blocks of BLOCK by Spark, and each block meets each slice of the corpus in one task, which
+    keeps k candidates a query; one window merges the slices' candidates, so no task sees a query's whole list and no vector passes
+    through the driver. This is the stated query set against all rows, in blocks.
     """
     spark = corpus.sparkSession
-    rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).cast("array<float>").alias("vector"))
-    sign = 1.0 if metric == "l2" else -1.0
-    parts = []
-    for ids, q in _blocks(queries, query_id, vector):
-        if metric == "cosine":
-            live = np.linalg.norm(q, axis=1) > 1e-12
-            ids, q = ids[live], q[live]
+    packed = lambda df, key: df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    asked, rows = packed(queries, query_id), packed(corpus, doc_id)
+    if metric == "cosine":
+        live = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) > 1e-12
+        asked, rows = asked.filter(live), rows.filter(live)
+    n = asked.count()
+    blocks, slices = max(1, -(-n // BLOCK)), max(1, spark.sparkContext.defaultParallelism)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
+    if blocks == 1:  # at most BLOCK vectors: they go along with the plan
+        held = asked.select("id", "v").collect()
+        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
         sent = spark.sparkContext.broadcast((ids, q))
 
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            held_id, held = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        def scan(batches):
+            best = Best(*sent.value, k, metric)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                column = batch.column(1)
-                docs = batch.column(0).to_numpy()
-                v = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                if metric == "cosine":
-                    size = np.linalg.norm(v, axis=1)
-                    docs, v = docs[size > 1e-12], v[size > 1e-12]
-                    score = -(q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-                else:
-                    score = np.maximum((q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None], 0)
-                held_id = np.concatenate([held_id, np.broadcast_to(docs, score.shape)], axis=1)
-                held = np.concatenate([held, score], axis=1)
-                if held.shape[1] > k:
-                    best = np.lexsort((held_id, np.round(held, 9)))[:, : k]
-                    held_id, held = np.take_along_axis(held_id, best, 1), np.take_along_axis(held, best, 1)
-            n = held.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held_id.ravel()), pa.array(held.ravel() * sign)], names=["query_id", "doc_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, doc_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
+            yield from best.rows()
+
+        found = rows.mapInArrow(scan, FOUND) if n else spark.createDataFrame([], FOUND)
+    else:
+        # a slice of the corpus goes to each block of queries; both sides are dealt by (block, slice)
+        cell = lambda df: df.withColumn("cell", (F.col("block") * slices + F.col("slice")).cast("int")).select("cell", "id", "v")
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        right = cell(rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", each))
+        left = cell(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+
+        def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            best = Best(mine.column("id").to_numpy(), _matrix(mine.column("v").combine_chunks()), k, metric)
+            for batch in theirs.to_batches(max_chunksize=ROWS):
+                best.add(batch.column("id").to_numpy(), _matrix(batch.column("v")))
+            return pa.Table.from_batches(list(best.rows()), schema=FOUND_ARROW)
+
+        found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, FOUND)
     key = F.round(F.col("score"), 9)
     return ranked(found, key.asc() if metric == "l2" else key.desc(), F.col("doc_id"), k=k)
 
 
+FOUND = "query_id long, doc_id long, score double"
+FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
+
+
+class Best:
+    """The k best rows so far for each of some queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric = ids, vectors, k, metric
+        self.held_id, self.held = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+
+    def add(self, docs: np.ndarray, v: np.ndarray) -> None:
+        for lo in range(0, len(docs), ROWS):
+            self._add(docs[lo : lo + ROWS], v[lo : lo + ROWS])
+
+    def _add(self, docs: np.ndarray, v: np.ndarray) -> None:
+        q = self.q
+        if self.metric == "cosine":
+            score = -(q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+        else:
+            score = np.maximum((q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None], 0)
+        ids, score = np.broadcast_to(docs, score.shape), np.round(score, 12)
+        if score.shape[1] > self.k:  # those that are not beyond the k-th score, ties included
+            edge = np.partition(score, self.k - 1, axis=1)[:, self.k - 1]
+            if self.held.shape[1] >= self.k:
+                edge = np.minimum(edge, self.held[:, self.k - 1])
+            few = np.flatnonzero((np.round(score, 9) <= np.round(edge, 9)[:, None]).any(axis=0))
+            ids, score = ids[:, few], score[:, few]
+        ids, score = np.concatenate([self.held_id, ids], axis=1), np.concatenate([self.held, score], axis=1)
+        order = np.lexsort((ids, np.round(score, 9)))[:, : self.k]
+        self.held_id, self.held = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+    def rows(self):
+        n = self.held.shape[1]
+        if n:
+            sign = 1.0 if self.metric == "l2" else -1.0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(self.held_id.ravel()), pa.array(self.held.ravel() * sign)], schema=FOUND_ARROW)
+
+
 def within(hits: DataFrame, most: float, strict: bool = False, k: int | None = None, score: str = "score") -> DataFrame:
     """Hits at a distance of at most `most`, ranked anew; a query without any keeps all of its hits, or none if strict."""
     ok = F.col(score) <= most
@@ -93,12 +120,22 @@ def fuse(branches: list[DataFrame], k: int = 60, top: int | None = None) -> Data
     """Reciprocal-rank fusion: query_id, doc_id, score and rank. A document twice in a branch counts twice; ties go to the earlier branch, then rank."""
     every = None
     for i, b in enumerate(branches):
-        part = b.select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("part"), (F.lit(i * 1_000_000) + F.col("rank")).alias("first"))
+        part = b.select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("part"), F.struct(F.lit(i).alias("branch"), "rank").alias("first"))
         every = part if every is None else every.unionByName(part)
     out = every.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.min("first").alias("first"))
     return ranked(out, F.round("score", 12).desc(), F.col("first"), k=top).drop("first")
 
 
+def pool_size(top: int, candidates: int | None = None, branch: int | None = None) -> int:
+    """How many hits to ask a branch for: at least what is returned and what is reranked (20 where nothing is), and at least the branch's own wish."""
+    return max(max(top, candidates) if candidates is not None else max(top, 20), branch or 0)
+
+
+def pooled(branches: list[DataFrame], score: Column, text: Column, query: Column, top: int, candidates: int = 15, k: int = 60) -> DataFrame:
+    """Branches fused, the first `candidates` reranked by score, and the best of them returned, never more than there are candidates."""
+    return rerank(fuse(branches, k, candidates), score, text, query, min(top, candidates))
+
+
 def rerank(hits: DataFrame, score: Column, text: Column, query: Column, top: int) -> DataFrame:
     """Hits by score, those without text last, stable; a query that is blank, or without any text, keeps its order and has no scores."""
     by_query = Window.partitionBy("query_id")

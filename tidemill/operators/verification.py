@@ -84,6 +84,30 @@ def stop_counts(records: DataFrame, cohort: str = "cohort") -> DataFrame:
     return records.groupBy(cohort, "stop_reason").agg(F.count("*").alias("n"))
 
 
+def capability(expected: Column, available: Column) -> Column:
+    """Share of the expected tools that are available; 1 where none is expected."""
+    e = F.array_distinct(expected)
+    return F.when(F.size(e) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(e, available)), F.size(e)))
+
+
+def decimals_within(actual: Column, required: Column) -> Column:
+    """Whether each decimal of a list (as text) stands in another at least as often; false where one is no decimal."""
+    number = lambda a: F.transform(a, lambda x: x.try_cast("decimal(38,10)"))
+    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    have, want = number(actual), number(required)
+    known = ~F.exists(have, lambda x: x.isNull()) & ~F.exists(want, lambda x: x.isNull())
+    return F.coalesce(known & F.forall(want, lambda x: times(have, x) >= times(want, x)), F.lit(False))
+
+
+def evaluation_summary(records: DataFrame, by: str | None = None) -> DataFrame:
+    """Means over evaluated tasks: task_success, coverage (of those that have gold), tool precision and recall, model calls, tool calls, steps,
+    and the rate of parse failures; 0 of none."""
+    names = ["coverage", "tool_precision", "tool_recall", "llm_calls", "tool_calls", "steps", "parse_fail_rate"]
+    mean = lambda c, n: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(n)
+    cols = [mean(F.col("success"), "task_success"), *[mean(F.col(n), n) for n in names]]
+    return records.groupBy(by).agg(*cols) if by else records.agg(*cols)
+
+
 def weighted_losses(steps: DataFrame) -> DataFrame:
     """One row: loss by tokens, plain mean and tokens of steps (loss, tokens)."""
     return steps.agg(F.try_divide(F.sum(F.col("loss") * F.col("tokens")), F.sum("tokens")).alias("weighted"), F.avg("loss").alias("plain"), F.sum("tokens").alias("tokens"))
@@ -95,6 +119,11 @@ def update_report(episodes: DataFrame) -> DataFrame:
     return groups.groupBy("update").agg(F.count("*").alias("groups"), F.sum((F.col("s") < 1e-4).cast("int")).alias("flat_groups"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_reward"), F.avg("s").alias("mean_deviation"))
 
 
+def update_stops(episodes: DataFrame) -> DataFrame:
+    """update, stop_reason and n of episodes (update, stop_reason)."""
+    return episodes.groupBy("update", "stop_reason").agg(F.count("*").alias("n"))
+
+
 def match_count_search(queries: DataFrame, docs: DataFrame, tokens, k: int) -> DataFrame:
     """Documents by how many of a query's distinct tokens they have, then doc_id; only those with one. An equi-join on tokens."""
     words = lambda df, i: df.select(i, F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
@@ -102,7 +131,22 @@ def match_count_search(queries: DataFrame, docs: DataFrame, tokens, k: int) -> D
     return ranked(scored, F.col("score").desc(), F.col("doc_id"), k=k)
 
 
+def recording_search(asked: DataFrame, documents: DataFrame, by: str = "task_id") -> DataFrame:
+    """by, query_id, doc_id, score and rank of a task's documents by how many of their match terms stand within the query, then by place; only
+    those with one. asked: by, query_id, query; documents: by, place, doc_id, match_terms (array). A task has a handful of documents."""
+    pairs = asked.select(by, "query_id", "query").join(documents.select(by, "place", "doc_id", "match_terms"), by)
+    found = pairs.withColumn("score", F.size(F.filter(X.within(F.array("query"), F.col("match_terms")), lambda x: x))).filter("score > 0")
+    return ranked(found, F.col("score").desc(), F.col("place"), by="query_id").select(by, "query_id", "doc_id", "score", "rank")
+
+
 def letters_overlap(query: Column, content: Column) -> Column:
-    """1 and the number of distinct letters that both share."""
-    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    """1 and the number of distinct letters that both share, as NFKC without white space and case."""
+    chars = lambda c: F.array_distinct(F.filter(F.split(X.normalise_compat(c), ""), lambda x: x != ""))
     return F.size(F.array_intersect(chars(query), chars(content))) + 1
+
+
+def audit_search(queries: DataFrame, facts: DataFrame, k: int = 5, by: str = "task_id") -> DataFrame:
+    """A task's active facts by letters_overlap, then id: by, query_id, id, score, rank. Facts of a frozen task are few."""
+    pairs = queries.select(by, "query_id", "query").join(facts.filter("state = 'ACTIVE'").select(by, "id", "fact_content"), by)
+    scored = pairs.withColumn("score", letters_overlap(F.col("query"), F.col("fact_content")))
+    return ranked(scored, F.col("score").desc(), F.col("id"), k=k).select(F.col(by), "query_id", "id", "score", "rank")

@@ -11,14 +11,38 @@ from tidemill.functions.text import citation
 from tidemill.operators import bm25, chunking, enrich, retrieval
 
 
-def build_records(docs: DataFrame, size: int = 700, overlap: int = 120, group: int = 3, enriched: bool = True) -> DataFrame:
-    """Chunks of docs (source, text) with heading, block type and parent."""
+def build_records(docs: DataFrame, size: int = 700, overlap: int = 120, group: int = 3, enriched: bool = True, pages: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """Chunks of docs (source, text) with heading, block type and parent, and with pages (source, page, start) their first and last page.
+
+    entries (source, modality, chunk_id, text, image_path, time_sec) are records already, as pictures and film frames are.
+    """
     chunks = chunking.chunk_text(docs, "text", "source", size, overlap)
     if not enriched:
         return chunks
     stripped = docs.select("source", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
-    with_path = enrich.heading_paths(chunks, enrich.headings(stripped, "source"), "source")
-    return with_path.withColumns({"block_type": enrich.block_type(F.col("text")), "modality": F.lit("text")}).withColumn("parent_id", retrieval.parent_id(F.col("source"), F.col("heading"), F.col("chunk_id"), group))
+    out = enrich.heading_paths(chunks, enrich.headings(stripped, "source"), "source")
+    if pages is not None:
+        out = enrich.assign_pages(out.withColumn("stop", F.col("end")), pages, "source").drop("stop")
+    out = out.withColumns({"block_type": enrich.block_type(F.col("text")), "modality": F.lit("text")})
+    if entries is not None:
+        named = entries.withColumns({"chunk_id": F.coalesce(F.col("chunk_id").cast("int"), F.lit(0)), "modality": F.coalesce("modality", F.lit("text"))})
+        out = out.unionByName(named.select(*[c for c in ("source", "modality", "chunk_id", "text", "image_path", "time_sec") if c in named.columns]), allowMissingColumns=True)
+    return out.withColumn("parent_id", retrieval.parent_id(F.col("source"), F.col("heading"), F.col("chunk_id"), group))
+
+
+def text_records(records: DataFrame) -> DataFrame:
+    """Records of text that is not blank."""
+    return records.filter((F.coalesce("modality", F.lit("text")) == "text") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+
+
+def image_records(records: DataFrame) -> DataFrame:
+    """Records of pictures that have a path."""
+    return records.filter((F.col("modality") == "image") & (F.coalesce("image_path", F.lit("")) != ""))
+
+
+def direct(questions: DataFrame) -> DataFrame:
+    """Each question (query_id, text) as its own only hit, for answers without retrieval."""
+    return questions.select("query_id", F.lit(1).alias("rank"), F.lit("direct_query").alias("source"), F.lit(-1).alias("chunk_id"), F.lit(0).alias("start"), F.length("text").alias("end"), "text", F.lit("text").alias("modality"))
 
 
 def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, tokens: Callable[[Column], Column], pool: int = 20, k: int = 60, top: int = 4, most: float | None = None) -> DataFrame:
@@ -52,10 +76,35 @@ def contexts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.trim(F.array_join(F.transform(rows, lambda x: x["p"]), "\n\n")).alias("context"))
 
 
-def prompts(questions: DataFrame, context: DataFrame, **more: DataFrame) -> DataFrame:
+SOURCE_FIELDS = {"source": "string", "chunk_id": "int", "modality": "string", "start": "int", "end": "int", "time_sec": "double", "image_path": "string"}
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """query_id and sources: label and place of each hit, in order of rank, as an answer names them."""
+    has = lambda c, kind: F.col(c) if c in hits.columns else F.lit(None).cast(kind)
+    modality = F.coalesce(has("modality", "string"), F.lit("text"))
+    label = citation(F.col("source"), F.col("chunk_id"), has("page_start", "int"), has("page_end", "int"), modality, has("time_sec", "double"))
+    fields = [(modality if c == "modality" else has(c, k)).cast(k).alias(c) for c, k in SOURCE_FIELDS.items()]
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(label.alias("citation"), *fields).alias("s"))))
+    return hits.groupBy("query_id").agg(F.transform(rows, lambda x: x["s"]).alias("sources"))
+
+
+def serialise(answers: DataFrame) -> DataFrame:
+    """query_id and json of answers: answer, sources, recalled_memories, memory_ops and route, as far as they are there; no lists are empty lists."""
+    has = lambda c: c in answers.columns
+    fields = [F.coalesce("answer", F.lit("")).alias("answer")]
+    fields += [F.coalesce(c, F.array().cast(answers.schema[c].dataType)).alias(c) for c in ("memory_ops", "recalled_memories") if has(c)]
+    if has("use_docs"):
+        fields.append(F.struct(F.col("query").alias("rewritten_query"), "use_docs", "use_memory", "write_memory").alias("route"))
+    if has("sources"):
+        fields.append(F.coalesce("sources", F.array().cast(answers.schema["sources"].dataType)).alias("sources"))
+    return answers.select("query_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def prompts(questions: DataFrame, context: DataFrame, closing: str | None = None, **more: DataFrame) -> DataFrame:
     """query_id and prompt of questions (query_id, text): question and context, then what there is of tools, actions and memory.
 
-    context and the others: query_id and a column by their own name (context, tools, actions, memory).
+    context and the others: query_id and a column by their own name (context, tools, actions, memory). closing: what is asked last.
     """
     df = questions.join(context, "query_id", "left")
     parts = [F.concat(F.lit(f"{QUESTION}:\n"), F.col("text")), F.concat(F.lit(f"{CONTEXT}:\n"), F.coalesce("context", F.lit("")))]
@@ -64,4 +113,4 @@ def prompts(questions: DataFrame, context: DataFrame, **more: DataFrame) -> Data
             df = df.join(more[name], "query_id", "left")
             said = F.trim(F.coalesce(name, F.lit("")))
             parts.append(F.when(said != "", F.concat(F.lit(f"{title}:\n"), said)))
-    return df.select("query_id", F.concat_ws("\n\n", *parts).alias("prompt"))
+    return df.select("query_id", F.concat_ws("\n\n", *parts, F.lit(closing) if closing else F.lit(None).cast("string")).alias("prompt"))

@@ -200,14 +200,14 @@ def parent_ids(spark, t):
 @query(
     CHUNKS
     + """, p AS (SELECT doc_id || '#p' || (chunk_id // 5) AS parent_id, doc_id, chunk_id, trim(text) AS text, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id, chunk_id // 5) AS n FROM ch WINDOW w AS (PARTITION BY doc_id, chunk_id // 5 ORDER BY chunk_id)),
-h AS (SELECT doc_id % 100 AS query_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id, chunk_id) AS r, parent_id, i AS pos, n FROM p WHERE (doc_id * 7 + chunk_id) % 11 = 0),
+h AS (SELECT doc_id % 100 AS query_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id, chunk_id) AS r, parent_id, i AS pos, n FROM p WHERE contains(text, ' the ')),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY r) AS k FROM h),
 g AS (SELECT query_id, r, parent_id, greatest(0, least(pos - 1, n - 3)) AS lo, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM f WHERE k = 1)
 SELECT query_id, rank, parent_id, md5(string_agg(p.text, chr(10) || chr(10) ORDER BY i)) AS digest, count(*) AS children FROM g JOIN p USING (parent_id) WHERE p.i >= lo AND p.i < lo + 3 GROUP BY query_id, rank, parent_id"""
 )
 def parent_expand(spark, t):
     chunks = _chunks(t).withColumn("parent_id", retrieval.parent_id(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("chunk_id"), 5))
-    hits = chunks.filter("(doc_id * 7 + chunk_id) % 11 = 0").withColumn("query_id", F.col("doc_id") % 100)
+    hits = chunks.filter(F.contains(F.trim("text"), F.lit(" the "))).withColumn("query_id", F.col("doc_id") % 100)
     hits = retrieval.ranked(hits, F.col("doc_id"), F.col("chunk_id")).select("query_id", "rank", "parent_id", "chunk_id")
     out = retrieval.expand(hits, chunks, cap=3)
     return out.select("query_id", "rank", "parent_id", F.md5("text").alias("digest"), F.size("child_chunk_ids").alias("children"))
@@ -244,19 +244,33 @@ def page_asof(spark, t):
     return enrich.assign_pages(chunks, offsets).select("doc_id", "chunk_id", F.col("page_start").alias("page"))
 
 
+HEADINGS = """WITH t AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || '# ', 'g'), '<h[2-6][^>]*>', chr(10) || '## ', 'g'), '</(h[1-6]|p|li)>', chr(10), 'g') AS text FROM pages),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM t),
+o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+h AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+\\s+', '')) AS title FROM o WHERE regexp_matches(line, '^#{1,6}\\s+\\S'))"""
+
+
+def _page_texts(t):
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<h1[^>]*>", "\n# "), "<h[2-6][^>]*>", "\n## "), "</(h[1-6]|p|li)>", "\n")
+    return t("pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))
+
+
+@query(HEADINGS + " SELECT doc_id, CAST(pos AS BIGINT) AS at, level, title FROM h")
+def heading_lines(spark, t):
+    return enrich.headings(_page_texts(t)).select("doc_id", "at", "level", "title")
+
+
 @query(
-    """WITH p AS (SELECT page_id AS doc_id, k AS i, k * 10 AS pos, CASE (page_id + k * k) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END AS level, 'H' || k AS title FROM pages, unnest(range(0, 8)) AS u(k)),
-c AS (SELECT page_id AS doc_id, k AS chunk_id, k * 7 AS start FROM pages, unnest(range(0, 12)) AS u(k)),
-x AS (SELECT c.doc_id, chunk_id, string_agg(title, ' > ' ORDER BY pos) AS heading FROM c JOIN p h ON h.doc_id = c.doc_id AND h.pos <= c.start
-WHERE NOT EXISTS (SELECT 1 FROM p g WHERE g.doc_id = c.doc_id AND g.pos > h.pos AND g.pos <= c.start AND g.level <= h.level) GROUP BY c.doc_id, chunk_id)
-SELECT doc_id, chunk_id, heading FROM c LEFT JOIN x USING (doc_id, chunk_id)"""
+    HEADINGS
+    + """, c AS (SELECT doc_id, k * 300 AS start FROM t, unnest(range(0, length(text) // 300 + 1)) AS u(k)),
+x AS (SELECT c.doc_id, c.start, string_agg(title, ' > ' ORDER BY h.pos) AS heading FROM c JOIN h ON h.doc_id = c.doc_id AND h.pos <= c.start
+WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = c.doc_id AND g.pos > h.pos AND g.pos <= c.start AND g.level <= h.level) GROUP BY c.doc_id, c.start)
+SELECT doc_id, CAST(start AS BIGINT) AS start, heading FROM c LEFT JOIN x USING (doc_id, start)"""
 )
 def heading_paths(spark, t):
-    ids = t("pages").select(F.col("page_id").alias("doc_id"))
-    level = F.element_at(F.array(*map(F.lit, (1, 2, 3, 2))), F.pmod(F.col("doc_id") + F.col("i") * F.col("i"), F.lit(4)).cast("int") + 1)
-    found = ids.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("doc_id", (F.col("i") * 10).alias("at"), level.alias("level"), F.concat(F.lit("H"), F.col("i").cast("string")).alias("title"))
-    chunks = ids.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("chunk_id")).withColumn("start", F.col("chunk_id") * 7)
-    return enrich.heading_paths(chunks, found).select("doc_id", "chunk_id", "heading")
+    texts = _page_texts(t)
+    chunks = texts.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 300).cast("int") * 300, F.lit(300))).alias("start"))
+    return enrich.heading_paths(chunks, enrich.headings(texts)).select("doc_id", "start", "heading")
 
 
 @query(
@@ -287,13 +301,13 @@ def hash_partition(spark, t):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS l, event_id % 997 AS r FROM events WHERE event_id % 23 = 0),
+    """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS l, (user_id * 7 + event_id % 2) % 503 AS r FROM events),
 p AS (SELECT DISTINCT a.l AS a, b.l AS b FROM e a JOIN e b ON a.r = b.r),
 w AS (SELECT a, b FROM p UNION SELECT w.a, p.b FROM w JOIN p ON w.b = p.a)
 SELECT a AS user_id, min(b) AS component FROM w GROUP BY a"""
 )
 def connected_components(spark, t):
-    return datasets.components(t("events").filter("event_id % 23 = 0").withColumn("r", F.col("event_id") % 997), "user_id", "r")
+    return datasets.components(t("events").withColumn("r", (F.col("user_id") * 7 + F.col("event_id") % 2) % 503), "user_id", "r")
 
 
 # -- answers ------------------------------------------------------------------------------------------
@@ -514,16 +528,16 @@ def memory_latest_state(spark, t):
 
 
 @query(
-    """WITH o AS (SELECT event_id AS op_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'update' WHEN 'error' THEN 'delete' ELSE event_type END AS type, event_id % 500 AS id, CASE WHEN event_id % 9 = 0 THEN '' ELSE props END AS c, CASE WHEN event_id % 4 = 0 THEN 'name' ELSE '' END AS obj, value / 100 AS sim FROM events),
-f AS (SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'name' ELSE 'city' END AS old FROM embeddings WHERE vec_id < 400),
+    """WITH o AS (SELECT event_id AS op_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'update' WHEN 'error' THEN 'delete' ELSE event_type END AS type, event_id % 5000 AS id, CASE WHEN event_id % 9 = 0 THEN '' ELSE props END AS c, CASE WHEN event_id % 4 = 0 THEN 'name' ELSE '' END AS obj, value / 100 AS sim FROM events),
+f AS (SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'name' ELSE 'city' END AS old FROM embeddings),
 j AS (SELECT o.*, f.id IS NOT NULL AS known, NOT (obj <> '' AND coalesce(old, '') <> '' AND obj <> old) AS slot, trim(c) <> '' AS has FROM o LEFT JOIN f USING (id)),
 r AS (SELECT op_id, CASE WHEN type = 'add' AND has THEN 'add' WHEN type = 'update' AND known AND has THEN CASE WHEN slot AND coalesce(sim >= 0.8, false) THEN 'supersede' ELSE 'add' END WHEN type = 'delete' AND known AND has THEN CASE WHEN slot AND coalesce(sim >= 0.9, false) THEN 'delete' ELSE 'add' END ELSE 'refused' END AS resolved FROM j)
 SELECT op_id, resolved, resolved <> 'refused' AS applied FROM r"""
 )
 def memory_merge_policy(spark, t):
     kind, i = F.col("event_type"), F.col("event_id")
-    ops = t("events").select(i.alias("op_id"), F.when(kind == "view", "add").when(kind == "click", "update").when(kind == "error", "delete").otherwise(kind).alias("type"), (i % 500).alias("id"), F.when(i % 9 == 0, "").otherwise(F.col("props")).alias("fact_content"), F.when(i % 4 == 0, "name").otherwise("").alias("fact_object"), (F.col("value") / 100).alias("sim"))
-    old = t("embeddings").filter("vec_id < 400").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "name").otherwise("city").alias("fact_object"), F.lit("x").alias("fact_content"))
+    ops = t("events").select(i.alias("op_id"), F.when(kind == "view", "add").when(kind == "click", "update").when(kind == "error", "delete").otherwise(kind).alias("type"), (i % 5000).alias("id"), F.when(i % 9 == 0, "").otherwise(F.col("props")).alias("fact_content"), F.when(i % 4 == 0, "name").otherwise("").alias("fact_object"), (F.col("value") / 100).alias("sim"))
+    old = t("embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "name").otherwise("city").alias("fact_object"), F.lit("x").alias("fact_content"))
     return memory.resolve(ops, old, F.col("sim")).select("op_id", "resolved", "applied")
 
 
@@ -546,17 +560,22 @@ def clipped_loss(spark, t):
 
 
 def _gated(t):
-    d = _steps(t).filter("step < 6")
-    action = F.when(F.col("final"), "final_answer").otherwise(F.col("tool"))
+    """Episodes of six steps of a user each; a final answer has no tool event."""
+    d = _steps(t).withColumn("task_id", F.col("task_id") * 1000 + F.floor(F.col("step") / 6)).withColumn("step", F.col("step") % 6)
+    action = F.when(F.col("parse_error"), F.lit(None).cast("string")).when(F.col("final"), "final_answer").otherwise(F.col("tool"))
     reward = F.struct(F.when(F.col("tool") == "calculator", -0.1).otherwise(0.0).alias("invalid_action"), F.lit(0.0).alias("duplicate_call"))
-    parts = d.select("task_id", "step", F.struct(F.lit("raw").alias("raw"), action.alias("action"), F.col("parse_error").alias("parse_error")).alias("d"), F.struct(F.col("step").alias("step"), action.alias("action"), F.lit(False).alias("duplicate"), (F.coalesce("tool", F.lit("")) == "calculator").alias("invalid"), F.col("ok").alias("ok"), reward.alias("reward")).alias("t"))
+    said = F.struct(F.concat_ws(" ", F.lit("do"), action).alias("raw"), action.alias("action"), F.col("parse_error").alias("parse_error"), F.lit("system").alias("system_prompt"), F.concat(F.lit("step "), F.col("step").cast("string")).alias("user_prompt"))
+    parts = d.select("task_id", "step", said.alias("d"), F.struct(F.col("step").alias("step"), action.alias("action"), F.lit(False).alias("duplicate"), F.lit(False).alias("invalid"), F.when(~F.col("final"), F.col("ok")).alias("ok"), reward.alias("reward")).alias("t"))
     listed = parts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("step", "d", "t"))).alias("x"))
-    e = listed.select("task_id", F.col("x")["d"].alias("decisions"), F.col("x")["t"].alias("transitions"), F.when(F.col("task_id") % 5 != 0, (F.col("task_id") % 2).cast("double")).alias("success"), F.lit(1.0).alias("evidence"), F.lit(True).alias("verified"))
+    e = listed.select("task_id", F.col("x")["d"].alias("decisions"), F.col("x")["t"].alias("transitions"), F.when(F.col("task_id") % 5 != 0, F.when(F.col("task_id") % 7 == 0, 0.5).otherwise(1.0)).alias("success"), F.lit(1.0).alias("evidence"), F.lit(True).alias("verified"), F.concat(F.lit("v"), (F.col("task_id") % 2).cast("string")).alias("policy_version"))
     return training.gate(e)
 
 
-GATE = EPISODES + """, f AS (SELECT task_id, bool_or(parse_error) AS pe, min(CASE WHEN tool = 'calculator' OR NOT ok THEN step END) AS bad, min_by(CASE WHEN tool = 'calculator' THEN 'invalid_action_transition' ELSE 'unsuccessful_tool_event' END, step) FILTER (WHERE tool = 'calculator' OR NOT ok) AS why FROM steps WHERE step < 6 GROUP BY task_id),
-g AS (SELECT task_id, CASE WHEN pe THEN 'parse_error' WHEN bad IS NOT NULL THEN why WHEN task_id % 5 = 0 THEN 'missing_success_metric' WHEN task_id % 2 < 1 THEN 'below_success_threshold' END AS reject_reason FROM f)"""
+GATE = EPISODES + """, six AS (SELECT *, task_id * 1000 + step // 6 AS episode, step % 6 AS nth, CASE WHEN parse_error THEN NULL WHEN final THEN 'final_answer' ELSE tool END AS action FROM steps),
+f AS (SELECT episode, bool_or(parse_error) AS pe, min(CASE WHEN tool = 'calculator' OR (NOT ok AND NOT final) THEN nth END) AS bad, min_by(CASE WHEN tool = 'calculator' THEN 'invalid_action_transition' ELSE 'unsuccessful_tool_event' END, nth) FILTER (WHERE tool = 'calculator' OR (NOT ok AND NOT final)) AS why, count(*) AS n FROM six GROUP BY episode),
+g AS (SELECT episode AS task_id, n, CASE WHEN pe THEN 'parse_error' WHEN bad IS NOT NULL THEN why WHEN episode % 5 = 0 THEN 'missing_success_metric' WHEN episode % 7 = 0 THEN 'below_success_threshold' END AS reject_reason FROM f),
+d AS (SELECT six.episode AS task_id, nth AS step, action, coalesce(action <> 'final_answer', false) AND coalesce(lead(action) OVER (PARTITION BY six.episode ORDER BY nth) = 'final_answer', false) AS pre, reject_reason FROM six JOIN g ON g.task_id = six.episode),
+x AS (SELECT task_id, step, action, reject_reason, CAST(r AS BIGINT) AS replica FROM d, unnest(range(0, CASE WHEN pre THEN 3 ELSE 1 END)) AS u(r))"""
 
 
 @query(GATE + " SELECT task_id, reject_reason FROM g")
@@ -564,38 +583,46 @@ def sft_gate(spark, t):
     return _gated(t).select("task_id", "reject_reason")
 
 
-@query(GATE + " SELECT coalesce(reject_reason, 'kept') AS reason, count(*) AS n FROM g GROUP BY 1")
+@query(
+    GATE
+    + """ SELECT 'episodes' AS section, unnest(['seen', 'kept', 'filtered']) AS name, unnest([count(*), count(*) FILTER (WHERE reject_reason IS NULL), count(*) FILTER (WHERE reject_reason IS NOT NULL)]) AS n FROM g
+UNION ALL SELECT 'decisions', 'seen', CAST(sum(n) AS BIGINT) FROM g UNION ALL SELECT 'filter', reject_reason, count(*) FROM g WHERE reject_reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'policy', 'v' || (task_id % 2), count(*) FROM g WHERE reject_reason IS NULL GROUP BY 2
+UNION ALL SELECT 'base_action', CASE WHEN action = 'final_answer' THEN action ELSE 'tool' END, count(*) FROM x WHERE reject_reason IS NULL AND replica = 0 GROUP BY 2
+UNION ALL SELECT 'output_action', CASE WHEN action = 'final_answer' THEN action ELSE 'tool' END, count(*) FROM x WHERE reject_reason IS NULL GROUP BY 2
+UNION ALL SELECT 'examples', CASE WHEN replica = 0 THEN 'base' ELSE 'augmented' END, count(*) FROM x WHERE reject_reason IS NULL GROUP BY 2"""
+)
 def sft_report(spark, t):
-    return _gated(t).groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return training.report(_gated(t), 3)
 
 
-@query(
-    EPISODES
-    + """, d AS (SELECT task_id, step, CASE WHEN final THEN 'final_answer' ELSE tool END AS action, max(step) OVER (PARTITION BY task_id) AS last FROM steps WHERE step < 6),
-n AS (SELECT *, coalesce(action <> 'final_answer', true) AND coalesce(lead(action) OVER (PARTITION BY task_id ORDER BY step) = 'final_answer', false) AND step + 1 = last AS pre FROM d)
-SELECT task_id, step, CAST(r AS BIGINT) AS replica, action FROM n, unnest(range(0, CASE WHEN pre THEN 3 ELSE 1 END)) AS u(r)"""
-)
+@query(GATE + " SELECT task_id, step, replica, action FROM x")
 def sft_examples(spark, t):
     return training.examples(_gated(t), 3)
 
 
+@query(GATE + " SELECT task_id, step, replica, 'v' || (task_id % 2) AS policy_version, 'system|system;user|step ' || step || ';assistant|do ' || action AS said FROM x WHERE reject_reason IS NULL")
+def sft_messages(spark, t):
+    rows = training.messages(_gated(t), 3)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"])), ";")
+    return rows.select("task_id", "step", "replica", "policy_version", said.alias("said"))
+
+
 @query(
-    """WITH t AS (SELECT doc_id, list_transform(range(0, least(n_chars, 900)), lambda x: CAST(x % 97 AS INTEGER)) AS p, list_transform(range(0, doc_id % 40 + 1), lambda x: CAST(x + 1 AS INTEGER)) AS a FROM documents),
+    """WITH t AS (SELECT doc_id, list_transform(range(0, n_chars), lambda x: CAST(x % 97 AS INTEGER)) AS p, list_transform(range(0, doc_id % 40 + 1), lambda x: CAST(x + 1 AS INTEGER)) AS a FROM documents),
 c AS (SELECT doc_id, a, greatest(0, 300 - len(a)) AS room, p FROM t), h AS (SELECT *, least(256, room) AS head FROM c),
 k AS (SELECT doc_id, a, CASE WHEN len(p) <= room THEN p ELSE p[1:head] || CASE WHEN room > head THEN p[len(p) - (room - head) + 1:len(p)] ELSE [] END END AS cut FROM h)
 SELECT doc_id, CAST(ceil((len(cut) + len(a)) / 8) * 8 AS BIGINT) AS n, CAST(coalesce(list_sum(cut || a), 0) AS BIGINT) AS total, CAST(len(a) AS BIGINT) AS labelled FROM k"""
 )
 def truncate_mask(spark, t):
-    d = t("documents").select("doc_id", F.when(F.col("n_chars") > 0, F.transform(F.sequence(F.lit(0), F.least(F.col("n_chars"), F.lit(900)).cast("int") - 1), lambda x: x % 97)).otherwise(F.array().cast("array<int>")).alias("p"), F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 40).cast("int")), lambda x: x + 1).alias("a"))
+    d = t("documents").select("doc_id", F.when(F.col("n_chars") > 0, F.transform(F.sequence(F.lit(0), F.col("n_chars").cast("int") - 1), lambda x: x % 97)).otherwise(F.array().cast("array<int>")).alias("p"), F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 40).cast("int")), lambda x: x + 1).alias("a"))
     d = d.select("doc_id", training.truncate(F.col("p"), F.col("a"), 300).alias("x"))
     return d.select("doc_id", F.size("x.input_ids").alias("n"), F.aggregate("x.input_ids", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.size(F.filter("x.labels", lambda v: v != -100)).alias("labelled"))
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM benchmark), o AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ord FROM benchmark) SELECT u AS update, CAST(s AS BIGINT) AS slot, item_id FROM n, unnest(range(0, 30)) AS a(u), unnest(range(0, 7)) AS b(s) JOIN o ON o.ord = (u * 7 + s) % n.n")
 def token_window_wrap(spark, t):
-    from pyspark.sql import Window
-
-    items = t("benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("ord"))
+    items = training.numbered(t("benchmark").select("item_id"), "item_id")
     return training.wrapped_window(items, 30, 7, t("benchmark").count()).select("update", "slot", "item_id")
 
 
@@ -623,30 +650,30 @@ def paired_diff(spark, t):
     return comparison.differences(e, e.withColumn("task_id", F.col("task_id") - 1))
 
 
-DRAWS = "d AS (SELECT s AS sample, (s * 7919 + k * 104729 + (s * k) % 613) % 500 AS ord, count(*) AS times FROM unnest(range(0, 200)) AS a(s), unnest(range(0, 500)) AS b(k) GROUP BY ALL), v AS (SELECT event_id AS ord, value AS b, value * (event_id % 3) AS o, 1 + event_id % 4 AS n FROM events WHERE event_id < 500)"
+DRAWS = "z AS (SELECT count(*) AS n FROM events), d AS (SELECT s AS sample, (s * 7919 + k * 104729 + (s * k) % 613) % n AS ord, count(*) AS times FROM z, unnest(range(0, 40)) AS a(s), unnest(range(0, n)) AS b(k) GROUP BY ALL), v AS (SELECT event_id AS ord, value AS b, value * (event_id % 3) AS o, 1 + event_id % 4 AS n FROM events)"
 
 
-def _draws(spark):
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("k")
-    rows = spark.range(200).withColumnRenamed("id", "sample").select("sample", k)
-    place = (F.col("sample") * 7919 + F.col("k") * 104729 + (F.col("sample") * F.col("k")) % 613) % 500
-    return rows.groupBy("sample", place.alias("ord")).agg(F.count("*").alias("times"))
+def _draws(spark, t):
+    n = t("events").count()
+    s, k = F.floor(F.col("id") / n), F.col("id") % n
+    rows = spark.range(40 * n).select(s.alias("sample"), ((s * 7919 + k * 104729 + (s * k) % 613) % n).alias("ord"))
+    return rows.groupBy("sample", "ord").agg(F.count("*").alias("times"))
 
 
 def _valued(t):
     i = F.col("event_id")
-    return t("events").filter("event_id < 500").select(i.alias("ord"), F.col("value").alias("base"), (F.col("value") * (i % 3)).alias("other"), (1 + i % 4).alias("n"))
+    return t("events").select(i.alias("ord"), F.col("value").alias("base"), (F.col("value") * (i % 3)).alias("other"), (1 + i % 4).alias("n"))
 
 
 @query("WITH " + DRAWS + ", e AS (SELECT sample, sum(times * (o - b)) / sum(times) AS estimate FROM d JOIN v USING (ord) GROUP BY sample) SELECT count(*) AS samples, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM e")
 def paired_bootstrap(spark, t):
-    return comparison.bootstrap(_valued(t), _draws(spark))
+    return comparison.bootstrap(_valued(t), _draws(spark, t))
 
 
 @query("WITH " + DRAWS + ", e AS (SELECT sample, sum(times * o) / sum(times * n) - sum(times * b) / sum(times * n) AS estimate FROM d JOIN v USING (ord) GROUP BY sample) SELECT count(*) AS samples, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM e")
 def ratio_bootstrap(spark, t):
     v = _valued(t).select("ord", F.col("base").alias("base_n"), F.col("n").alias("base_d"), F.col("other").alias("other_n"), F.col("n").alias("other_d"))
-    return comparison.bootstrap(v, _draws(spark), ratio=True)
+    return comparison.bootstrap(v, _draws(spark, t), ratio=True)
 
 
 @query("WITH o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n, avg(value) OVER () AS m FROM events WHERE value IS NOT NULL) SELECT n, round(m, 6) AS mean, round(value, 6) AS picked FROM o WHERE i = least(CAST(floor(n * 0.9) AS BIGINT), n - 1)")
@@ -656,14 +683,12 @@ def cost_gate(spark, t):
 
 @query("SELECT count(*) AS n, count(DISTINCT lang) AS langs, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean FROM documents")
 def dataset_stats(spark, t):
-    return t("documents").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean"))
+    return datasets.text_stats(t("documents"), "n_chars", "lang").withColumnRenamed("n_keys", "langs")
 
 
 @query("SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM events GROUP BY event_type")
 def percentage_table(spark, t):
-    by = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    total = t("events").count()
-    return by.withColumn("percentage", F.lit(100.0) * F.col("n") / F.lit(total))
+    return records.percentages(t("events"), "event_type")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
@@ -697,8 +722,8 @@ def verification_means(spark, t):
 
 
 @query(
-    """WITH g AS (SELECT user_id AS task_id, list('d' || (event_id % 17) || '#' || (event_id % 2)) AS gold FROM events WHERE event_id % 40 = 0 GROUP BY user_id),
-h AS (SELECT user_id AS task_id, 'd' || (event_id % 17) || '#' || (event_id % 2) AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events WHERE event_type = 'view'),
+    """WITH g AS (SELECT user_id AS task_id, list('d' || (event_id % 61) || '#' || (event_id % 2)) AS gold FROM events WHERE event_type = 'signup' GROUP BY user_id),
+h AS (SELECT user_id AS task_id, 'd' || (event_id % 61) || '#' || (event_id % 2) AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events WHERE event_type = 'view'),
 f AS (SELECT task_id, id, row_number() OVER (PARTITION BY task_id ORDER BY min(rank)) AS r FROM h GROUP BY task_id, id),
 ks AS (SELECT unnest([2, 5, 10]) AS k), s AS (SELECT g.task_id, k, list_distinct(gold) AS gold, coalesce(list(id) FILTER (WHERE r <= k), []) AS top FROM g CROSS JOIN ks LEFT JOIN f ON f.task_id = g.task_id GROUP BY g.task_id, k, gold),
 m AS (SELECT k, len(list_intersect(top, gold)) / len(gold) AS s, len(list_intersect(list_distinct(list_transform(top, lambda x: split_part(x, '#', 1))), list_transform(gold, lambda x: split_part(x, '#', 1)))) / len(list_distinct(list_transform(gold, lambda x: split_part(x, '#', 1)))) AS d FROM s)
@@ -706,8 +731,8 @@ SELECT CAST(k AS BIGINT) AS k, round(avg(s), 6) AS sentence_recall, round(avg(CA
 )
 def retrieval_baseline(spark, t):
     i = F.col("event_id")
-    named = F.concat(F.lit("d"), (i % 17).cast("string"), F.lit("#"), (i % 2).cast("string"))
-    gold = t("events").filter(i % 40 == 0).groupBy(F.col("user_id").alias("task_id")).agg(F.collect_list(named).alias("gold_evidence"))
+    named = F.concat(F.lit("d"), (i % 61).cast("string"), F.lit("#"), (i % 2).cast("string"))
+    gold = t("events").filter("event_type = 'signup'").groupBy(F.col("user_id").alias("task_id")).agg(F.collect_list(named).alias("gold_evidence"))
     hits = retrieval.ranked(t("events").filter("event_type = 'view'").select(F.col("user_id").alias("task_id"), named.alias("evidence_id"), i), i, by="task_id")
     return verification.retrieval_baseline(hits, gold, [2, 5, 10])
 
@@ -740,6 +765,11 @@ def match_count_search(spark, t):
     return verification.match_count_search(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), t("documents").select("doc_id", "text"), X.simple_tokens, 5)
 
 
-@query("SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'missing: k' END AS error, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unknown args: o' WHEN 2 THEN 'missing required arg ' || chr(39) || 'k' || chr(39) ELSE 'arg ' || chr(39) || 'k' || chr(39) || ' must be int' END AS error, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def argument_checks(spark, t):
-    return t("events").select("event_id", messages.argument_error(F.col("props"), {"k": ("int", True)}).alias("error"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    # as it is; with an object that has a key of the same name; under another object alone; as text
+    i, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    args = F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit('{"o": {"k": "x"}, "k": '), k, F.lit("}"))).when(i == 2, F.concat(F.lit('{"p": {"k": '), k, F.lit("}}"))).otherwise(F.concat(F.lit('{"p": {"k": 1}, "k": "'), k, F.lit('"}')))
+    known = {"k": ("int", True)}
+    error = F.when(i < 2, messages.argument_error(args, known)).otherwise(messages.argument_error(args, {"p": ("any", False), **known}))
+    return t("events").select("event_id", error.alias("error"), k.cast("long").alias("k"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill import more_queries  # noqa: F401  registers its queries beside the others
 from tidemill import queries as q
 
 

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemill.functions.keys import canonical_json
+from tidemill.operators.datasets import checkpoint
+from tidemill.operators.training import numbered
+
+#: Rows up to which a window is a plain top-k.
+SMALL_WINDOW = 10_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """Objects of a JSON lines file; a line that is no object fails the scan, or comes as a row of nulls if not strict."""
@@ -21,11 +28,25 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter((F.trim("text") != "") & (F.json_object_keys("text").isNull()))
 
 
+def read_object(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> tuple[DataFrame, str]:
+    """A file that is one JSON object, as a row, and the SHA-256 of its bytes."""
+    raw = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"), F.json_object_keys(F.decode("content", "UTF-8")).alias("k")).collect()
+    if len(raw) != 1 or raw[0].k is None:
+        raise ValueError(f"{path} must be one JSON object")
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path), raw[0].h
+
+
 def window(df: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
-    """Rows offset to offset + limit in a stated order."""
+    """Rows offset to offset + limit in a stated order.
+
+    Rows are dealt by ranges and counted, so a large offset skips whole ranges and no task holds the rows before it.
+    """
     if offset < 0 or limit <= 0:
         raise ValueError("offset >= 0 and limit > 0")
-    return df.orderBy(order).offset(offset).limit(limit)
+    if offset + limit <= SMALL_WINDOW:
+        return df.orderBy(order).offset(offset).limit(limit)
+    return numbered(df, order, name="_at").filter((F.col("_at") >= offset) & (F.col("_at") < offset + limit)).drop("_at").orderBy(order)
 
 
 class _Page(InputPartition):
@@ -77,6 +98,54 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[str]], total: in
     return spark.read.format("paged_rows").options(total=str(total), page_size=str(page_size)).load()
 
 
+def paged_until_short(spark: SparkSession, fetch: Callable[[int, int], list[str]], limit: int, offset: int = 0, page_size: int = 100) -> DataFrame:
+    """ord and json of at most `limit` rows from offset of a table of unknown size: what comes after the first short page is not taken."""
+    if limit <= 0 or offset < 0:
+        raise ValueError("limit > 0 and offset >= 0")
+    rows = checkpoint(paged(spark, lambda at, size: fetch(offset + at, size), limit, page_size))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.floor(F.col("ord") / page_size).alias("page")).count().collect()}  # one row a page
+    end, at = 0, 0
+    while at < limit:
+        got = sizes.get(at // page_size, 0)
+        end = at + got
+        if got < min(page_size, limit - at):
+            break
+        at += page_size
+    return rows.filter(F.col("ord") < end).withColumn("ord", F.col("ord") + offset)
+
+
+def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+
+
+def percentages(df: DataFrame, *by: str) -> DataFrame:
+    """by, n and percentage of all rows: the data of a figure."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    total = df.count()
+    return counts.withColumn("percentage", F.lit(100.0) * F.col("n") / F.lit(max(total, 1)))
+
+
+def seal(journal: DataFrame, payload: str = "payload") -> DataFrame:
+    """journal with the SHA-256 of each payload (JSON text, its keys brought into order)."""
+    return journal.withColumn("sha256", F.sha2(canonical_json(F.col(payload)), 256))
+
+
+def broken(journal: DataFrame, payload: str = "payload", seq: str = "sequence") -> DataFrame:
+    """seq and reason of the rows of a sealed journal whose hash is not their payload's, or whose number does not follow the one before, from 0."""
+    hashed = journal.select(seq, (~F.col("sha256").eqNullSafe(F.sha2(canonical_json(F.col(payload)), 256))).alias("bad"))
+    counts = hashed.groupBy(seq).agg(F.max("bad").alias("bad"), F.count("*").alias("n"))
+    # numbers from 0 without a gap: each but the first has the one before it
+    before = counts.select((F.col(seq) + 1).alias(seq), F.lit(True).alias("follows"))
+    out = counts.join(before, seq, "left")
+    gap = (F.col("n") > 1) | ((F.col(seq) != 0) & F.col("follows").isNull())
+    return out.withColumn("reason", F.when(F.col("bad"), "hash mismatch").when(gap, "non-contiguous")).filter("reason IS NOT NULL").select(seq, "reason")
+
+
+def candidate_seed(seed: int, task: Column, candidate: Column) -> Column:
+    """A seed of its own for each candidate of each task, so that a resumed run draws what an unbroken one would have drawn."""
+    return F.xxhash64(F.lit(seed), task, candidate)
+
+
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False, by: str | None = None) -> None:
     """Objects with keys in sorted order, one a line; refuses to replace unless told to."""
     keys = sorted(c for c in df.columns if c != by)
