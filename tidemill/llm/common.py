@@ -44,10 +44,6 @@ def size_of(df: DataFrame, *columns: str) -> int:
     return sum(x or 0 for x in df.agg(*[F.sum(F.octet_length(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first())
 
 
-def parts(df: DataFrame, columns: list[str], unit: int) -> int:
-    return groups(size_of(df, *columns), unit)
-
-
 def groups(size: int, unit: int) -> int:
     """How many groups of about `unit` bytes `size` bytes make."""
     return max(1, -(-size // unit))

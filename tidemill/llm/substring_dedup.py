@@ -1,15 +1,19 @@
 """Substring dedup: words covered by a window of k words that also starts in a document with a smaller id go.
 
-Windows are counted by super-k-mers. A window's minimiser is the least hash among its m-word runs; consecutive
+Windows are counted by super-k-mers. A window's minimiser is the least among its m-word runs, by hash; consecutive
 windows that share one travel as a single packed string to the minimiser's bucket, so equal windows meet there,
 wherever they come from. The bucket sorts its windows by a 128-bit hash and finds each one's smallest document.
+A run whose strings would fill HOT_SHARE of a bucket is hot and comes after all others in the order, so that the windows
+around it go by their other runs to many buckets. A first pass over all texts, PASS_BYTES of them at a time and without a shuffle
+of texts, adds up the strings' bytes by minimiser; the hot ones are at most the text's bytes over that share, eight bytes each.
 
 Documents are dealt into batches of about BATCH_BYTES by a hash of id and text. A string that many documents of a
 batch share is sent once with its smallest and largest document, so a passage in a third of all documents costs a
 bucket one entry a batch; a bucket answers each batch only for windows that take something from it. Both ends of
 that exchange read one shuffle of the texts.
 
-Null and empty texts, and texts of fewer than k words, lose nothing. Rows with a null doc_id take part in
+Null and empty texts, and texts of fewer than k words, lose nothing; a text longer than a batch lies in one batch. An empty
+table gives an empty result. Rows with a null doc_id take part in
 nothing and keep all words. Rows that repeat a doc_id do not remove each other's words. Windows are judged on the
 input. Columns of docs other than doc_id and the text are not read.
 """
@@ -21,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, deal, groups_of, parts, unpack, windows
+from .common import Words, deal, groups, groups_of, lean, mix, size_of, small_batches, spread, unpack, windows
 
 WINDOW = 13
 MINIMISER = 3
 BATCH_BYTES = 3_000_000
 #: Text bytes of a bucket's windows before they overlap.
 BUCKET_BYTES = 4_000_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Text that the first pass looks at together, and bytes of its strings at one minimiser that it tells; the share of a bucket that makes one hot.
+PASS_BYTES = 3_000_000
+LEAST_BYTES = 1_000
+HOT_SHARE = 0.25
+TOP = np.uint64(1 << 63)
 
 REQUEST = "bucket long, batch long, strings binary, lens binary, entry binary, least binary, most binary"
 REPLY = "batch long, entry binary, at binary, least binary"
@@ -45,17 +54,20 @@ def slide_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class Supers:
-    """The super-k-mers of a batch's texts: first and last window, document and key, in text order."""
+    """The super-k-mers of a batch's texts: first and last window, document, minimiser and 128-bit key, in text order."""
 
-    def __init__(self, texts: list[bytes], k: int, m: int):
+    def __init__(self, texts: list[bytes], k: int, m: int, hot: np.ndarray | None = None):
         self.words = w = Words(texts, lower=False)
         n = len(w.hash)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(w.bounds))
         if n < k:
-            self.first = self.last = self.key = self.low = np.empty(0, np.int64)
+            self.first = self.last = self.low = np.empty(0, np.int64)
+            self.key = np.empty((2, 0), np.uint64)
             return
-        low = slide_min(windows(w.hash, m), k - m + 1)
-        whole = windows(w.hash, k)
+        runs = windows(w.hash, m) & ~TOP
+        if hot is not None and len(hot):
+            runs[hot[np.minimum(np.searchsorted(hot, runs), len(hot) - 1)] == runs] |= TOP
+        low = slide_min(runs, k - m + 1)
         inside = self.doc[: n - k + 1] == self.doc[k - 1 :]
         start = inside.copy()
         start[1:] &= ~inside[:-1] | (low[1:] != low[:-1]) | (self.doc[1 : n - k + 1] != self.doc[: n - k])
@@ -63,10 +75,26 @@ class Supers:
         end = inside.copy()
         end[:-1] &= ~inside[1:] | start[1:]
         self.last = np.flatnonzero(end)
-        self.low = low[self.first]
+        self.low = low[self.first] & ~TOP
+        self.key = np.stack([self._sums(windows(w.hash, k, seed)) for seed in (1, 2)])
+
+    def _sums(self, whole: np.ndarray) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64)])
         with np.errstate(over="ignore"):
-            self.key = sums[self.last + 1] - sums[self.first] + whole[self.first] * np.uint64(3) + (self.last - self.first).astype(np.uint64)
+            return mix(sums[self.last + 1] - sums[self.first] + whole[self.first] * np.uint64(3) + (self.last - self.first).astype(np.uint64))
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """One super-k-mer of each distinct string, and the number of each one's string; in the order of the keys."""
+        order = np.lexsort((self.key[1], self.key[0]))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any(np.diff(self.key[:, order], axis=1) != 0, axis=0)
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(fresh) - 1
+        return order[fresh], entry
+
+    def spans(self, one: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and one past the last byte of super-k-mers in the words' buffer."""
+        return self.words.start[self.first[one]], self.words.end[self.last[one] + k - 1]
 
 
 def _rows(table: pa.Table) -> tuple[list, list[bytes], list]:
@@ -75,22 +103,54 @@ def _rows(table: pa.Table) -> tuple[list, list[bytes], list]:
     return ids, raw, [raw[i] if ids[i] is not None else b"" for i in range(len(ids))]
 
 
-def _request(table: pa.Table, buckets: int, k: int, m: int) -> pa.Table:
+def _weights(texts: list[bytes], k: int, m: int) -> pa.RecordBatch:
+    """Bytes of distinct strings by minimiser, where they are many."""
+    s = Supers(texts, k, m)
+    one = s.entries()[0]
+    a, b = s.spans(one, k)
+    low, back = np.unique(s.low[one], return_inverse=True)
+    size = np.bincount(back, weights=b - a, minlength=len(low)).astype(np.int64)
+    many = size >= LEAST_BYTES
+    return pa.RecordBatch.from_arrays([pa.array(low[many].astype(np.int64)), pa.array(size[many])], names=["low", "size"])
+
+
+def hot_runs(docs: DataFrame, text: str, k: int, m: int, least: float) -> np.ndarray:
+    """The minimisers, in order, whose strings have more than `least` bytes."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                held.append(t or b"")
+                size += len(held[-1])
+                if size >= PASS_BYTES:
+                    yield _weights(held, k, m)
+                    held, size = [], 0
+        if held:
+            yield _weights(held, k, m)
+
+    small_batches(docs.sparkSession)
+    by = docs.filter("doc_id IS NOT NULL").select(text).mapInArrow(run, "low long, size long").groupBy("low").agg(F.sum("size").alias("size"))
+    found = by.filter(F.col("size") > least).select("low").toLocalIterator()
+    return np.sort(np.fromiter((r[0] for r in found), np.int64).astype(np.uint64))
+
+
+def _request(table: pa.Table, buckets: int, k: int, m: int, hot: np.ndarray) -> pa.Table:
     import zstandard
 
     batch = table.column("batch")[0].as_py()
     ids, _, used = _rows(table)
-    s = Supers(used, k, m)
+    s = Supers(used, k, m, hot)
     out = []
     if len(s.first):
         docs = np.array([-1 if i is None else i for i in ids], np.int64)[s.doc[s.first]]
-        keys, one, entry = np.unique(s.key, return_index=True, return_inverse=True)
-        least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+        one, entry = s.entries()
+        least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(least, entry, docs)
         np.maximum.at(most, entry, docs)
         bucket = (s.low[one] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        a, b = s.words.start[s.first[one]], s.words.end[s.last[one] + k - 1]
+        a, b = s.spans(one, k)
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         packer = zstandard.ZstdCompressor(level=3)
         for part in np.split(order, cuts):
@@ -147,15 +207,15 @@ def _answer(table: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["batch", "entry", "at", "least"])
 
 
-def _cut(table: pa.Table, replies: pa.Table, k: int, m: int) -> pa.Table:
+def _cut(table: pa.Table, replies: pa.Table, k: int, m: int, hot: np.ndarray) -> pa.Table:
     ids, raw, used = _rows(table)
-    s = Supers(used, k, m)
+    s = Supers(used, k, m, hot)
     covered = np.zeros(len(s.words.hash) + 1, np.int64)
     if replies.num_rows and len(s.first):
         entry, at = (np.concatenate([np.frombuffer(x, np.int32) for x in replies.column(c).to_pylist()]) for c in ("entry", "at"))
         least = np.concatenate([np.frombuffer(x, np.int64) for x in replies.column("least").to_pylist()])
         docs = np.array([-1 if i is None else i for i in ids], np.int64)[s.doc[s.first]]
-        _, mine = np.unique(s.key, return_inverse=True)
+        mine = s.entries()[1]
         order = np.argsort(mine, kind="stable")  # the places of an entry stand together
         begin = np.searchsorted(mine[order], np.arange(mine.max() + 2))
         size = begin[entry + 1] - begin[entry]
@@ -181,12 +241,15 @@ def _cut(table: pa.Table, replies: pa.Table, k: int, m: int) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, text: str = "text", k: int = WINDOW, m: int = MINIMISER, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of each row of docs, joined by single spaces."""
-    batches, buckets = parts(docs, [text], batch_bytes), parts(docs, [text], bucket_bytes)
+    size = size_of(docs, text)
+    batches, buckets = groups(size, batch_bytes), groups(size, bucket_bytes)
     dealt = deal(docs, text, batches)
-    requests = dealt.groupBy("batch").applyInArrow(lambda t: _request(t, buckets, k, m), REQUEST)
-    replies = requests.groupBy("bucket").applyInArrow(lambda t: _answer(t, k), REPLY)
-    both = dealt.groupBy("batch").cogroup(replies.groupBy("batch"))
-    return both.applyInArrow(lambda a, b: _cut(a, b, k, m), "doc_id long, n_words long, n_removed long, kept string")
+    hot = hot_runs(docs, text, k, m, HOT_SHARE * bucket_bytes) if buckets > 1 else np.empty(0, np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    requests = dealt.groupBy("batch").applyInArrow(lean(lambda t: _request(t, buckets, k, m, sent.value)), REQUEST)
+    replies = spread(requests, buckets, "bucket").groupBy("bucket").applyInArrow(lean(lambda t: _answer(t, k)), REPLY)
+    both = dealt.groupBy("batch").cogroup(spread(replies, batches, "batch").groupBy("batch"))
+    return both.applyInArrow(lean(lambda a, b: _cut(a, b, k, m, sent.value)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def report(cut: DataFrame) -> DataFrame:
