@@ -1,6 +1,7 @@
 """Media columns, URL filters and PII."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -160,3 +161,72 @@ def test_pii_of_odd_rows(odd, empty):
     found = pii.find(odd)
     assert found.count() == 12 and pii.redact(odd, found).count() == 12
     assert pii.report(pii.find(empty)).count() == 0
+
+
+def test_hash_equals_the_definition():
+    r = np.random.default_rng(8)
+    image = r.integers(0, 256, (96, 64)).astype(np.uint8)
+    grid = [[float(np.mean(image[3 * i : 3 * i + 3, 2 * j : 2 * j + 2].astype(float))) for j in range(32)] for i in range(32)]
+    cos = lambda k, x: math.cos((2 * x + 1) * k * math.pi / 64)
+    low = [round(sum(grid[y][x] * cos(u, y) * cos(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    median = sorted(low[1:])[31]
+    bits = [x > median for x in low]
+    want = bytes(sum(1 << (7 - j) for j in range(8) if bits[8 * i + j]) for i in range(8))
+    assert media.dct_hash(image) == want
+
+
+def test_media_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "ab", 5, "m", "x", 1.5)], "doc_id long, text string, N_BYTES int, media string, payload string, other double")
+    got = media.to_media(docs)
+    assert got.columns == ["doc_id", "text", "other", "n_bytes", "payload", "media", "phash"]
+    row = got.first()
+    assert (row.n_bytes, row.other, bytes(row.payload)) == (2, 1.5, b"ab" + b"\xff" * 574)
+
+
+def test_hosts_under_a_public_suffix_are_not_one_domain(spark):
+    rows = [(i, f"http://bad.co.uk/{i}") for i in range(80)] + [(100 + i, f"http://site{i}.co.uk/") for i in range(40)] + [(300, "http://new.co.uk/"), (301, "http://www.bad.co.uk/")]
+    labels = [(i, True) for i in range(80)] + [(100 + i, False) for i in range(40)]
+    pages, said = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")
+    got = {r.page_id: r for r in url_filter.judge(pages, said).collect()}
+    assert got[301].verdict == "block" and got[0].verdict == "block" and got[100].verdict == "allow"
+    pooled = {r.page_id: r for r in url_filter.judge(pages, said, suffixes=["none.at"]).collect()}
+    assert got[301].bad_rate > 0.9 > pooled[300].bad_rate == pooled[301].bad_rate and got[300].bad_rate < got[301].bad_rate
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://Long.example.net/es/" + "x" * 200_000 + "?q"
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://a.org/"), (2, "no mark")], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([(1, False), (1, True)], "page_id long, bad boolean")).collect()
+    assert len(got) == 4 and sum(r.rule == "net/es/" and len(r.path) == 200_004 for r in got) == 2 and {r.host for r in got if r.page_id != 1} == {"a.org", ""}
+
+
+def test_pii_secrets_lead_to_others_in_their_place(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'my token = "{digest(i)}" is set') for i in range(9)] + [(20 + i, f'my token = "Qx-81zz{i}kP" is set') for i in range(3)]
+    rows += [(30, f"commit {digest(99)} fixes it"), (31, 'the year = "1984" was cold'), (32, "see issue-4711 there")]
+    by = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    said = {i: [text[i][s.start : s.stop] for s in r.context] for i, r in by.items()}
+    assert all(said[i] == [digest(i)] for i in range(9)) and all(said[20 + i] == [f"Qx-81zz{i}kP"] for i in range(3))
+    assert said[30] == said[31] == said[32] == []
+
+
+def test_pii_finds_planted_identifiers_and_leaves_clean_texts(spark):
+    r = random.Random(12)
+    words = ["tree", "river", "stone", "cloud", "window", "paper"]
+    filler = lambda: " ".join(r.choice(words) for _ in range(12))
+    lead = ["write to", "reach us", "ring up"]
+    rows, planted = [], {}
+    for i in range(300):
+        if i % 3 == 0:  # of the seeds' own forms
+            rows.append((i, f"{filler()} {r.choice(lead)} u{i}@mail.example.com {filler()}"))
+        elif i % 3 == 1:  # a form that no base pattern has
+            planted[i] = f"u{i}-at-mail-{i}"
+            rows.append((i, f"{filler()} {r.choice(lead)} {planted[i]} {filler()}"))
+        else:
+            rows.append((i, f"{filler()} section-{i} {filler()}"))
+    text = dict(rows)
+    by = {x.doc_id: [text[x.doc_id][s.start : s.stop] for s in x.context] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect()}
+    caught = sum(by[i] == [planted[i]] for i in planted)
+    assert caught == len(planted), caught
+    assert all(not by[i] for i in by if i % 3 == 2)

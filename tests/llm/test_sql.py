@@ -14,10 +14,11 @@ def test_query_equals_sql(spark, sf_dir, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in con.description]
-    want = sorted(con.fetchall(), key=repr)
-    assert sorted(map(tuple, queries.queries()[name](spark, sf_dir).select(columns).collect()), key=repr) == want
+    flat = lambda row: tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in row)
+    want = sorted(map(flat, con.fetchall()), key=repr)
+    assert sorted(map(flat, queries.queries()[name](spark, sf_dir).select(columns).collect()), key=repr) == want
 
 
 def test_every_operator_has_a_query():
-    numbers = {int(n[2:].split("_")[0]) for n in queries.queries()}
+    numbers = {int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")}
     assert numbers == set(range(1, 11))

@@ -251,3 +251,75 @@ def test_bpe_columns(odd, empty, library):
     again = {r.doc_id: r.decoded for r in bpe.decode(coded.drop("decoded"), tokenizer_path()).collect()}
     assert again == {i: r.decoded for i, r in got.items()}
     assert bpe.digests(bpe.encode(empty, tokenizer_path())).count() == 0
+
+
+def test_bpe_of_clashing_names(spark, library):
+    docs = spark.createDataFrame([(1, "Hello there", 5, "d", 2)], "doc_id long, text string, IDS int, decoded string, n_tokens int")
+    coded = bpe.encode(docs, tokenizer_path())
+    assert coded.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert coded.first().ids == library.encode("Hello there", add_special_tokens=False).ids and bpe.digests(coded).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_language_of_clashing_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(None, "the cat sat " * 50_000, "en", 1, 2.0), (2, "der Hund lag " * 40, "de", 1, 2.0)], "doc_id long, text string, lang string, LANG_PRED int, score double")
+    got = language_id.classify(docs.drop("lang"), language_id.sample(docs, "text", "lang"))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "reliable"]
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {None: "en", 2: "de"}
+
+
+def test_language_is_the_smallest_sum_of_compressed_blocks(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    content = language_id.sample(docs.filter(~language_id.held_out()), "text", "lang")
+    got = {r.doc_id: r for r in language_id.classify(docs.select("doc_id", "text"), content).collect()}
+    for row in docs.collect():
+        if not row.text or not any(map(str.isalpha, row.text)):
+            assert got[row.doc_id].lang_pred == "und"
+            continue
+        t = language_id.letters(row.text)
+        size = {}
+        for k, c in content.items():
+            d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[k] = sum(len(coder.compress(t[i : i + language_id.BLOCK])) for i in range(0, len(t), language_id.BLOCK))
+        low = sorted(size.values())
+        assert size[got[row.doc_id].lang_pred] == low[0] and got[row.doc_id].reliable == ((low[1] - low[0]) / low[0] >= language_id.MARGIN)
+
+
+def test_words_are_the_same_in_pieces(monkeypatch):
+    from tidemill.llm.common import Words
+
+    r = random.Random(5)
+    texts = [" ".join("x" * r.randrange(1, 40) + str(r.randrange(9)) for _ in range(r.randrange(60))).encode() for _ in range(80)] + [b"y" * 5000, b"", b" \n "]
+    whole = Words(texts, True)
+    monkeypatch.setattr(Words, "PIECE", 64)
+    parts = Words(texts, True)
+    assert all((getattr(whole, k) == getattr(parts, k)).all() for k in ("start", "end", "hash", "bounds")) and len(whole.hash) == sum(len(t.split()) for t in texts)
+
+
+@pytest.mark.parametrize("batches,buckets", [(1, 1), (7, 5), (40, 30)])
+def test_exchange_adds_up_and_answers_every_key(spark, batches, buckets):
+    import pyarrow as pa
+
+    from tidemill.llm.common import spread
+    from tidemill.llm.exchange import Routes, count
+
+    rows = [(b, k) for b in range(batches) for k in range(b % 3, 200, 1 + b % 4)]
+    routes = Routes(batches, buckets, (0,), 1)
+    hashed = lambda ks: np.array([(k * 0x9E3779B97F4A7C15) % 2**64 for k in ks], np.uint64)
+    dealt = spread(spark.createDataFrame(rows, "batch int, k long"), batches, "batch")
+
+    def ask(table):
+        return routes.ask(table.column("batch")[0].as_py(), [count(hashed(table.column("k").to_pylist()))[:2]])
+
+    replies = routes.run(dealt, ask, lambda counted: ([counted[0][1]], [len(counted[0][0])]))
+    total = collections.Counter(k for _, k in rows)
+
+    def check(table, said):
+        keys, _, back = count(hashed(table.column("k").to_pylist()))
+        (values,), (kinds,) = routes.read(said)
+        return pa.table({"k": table.column("k"), "n": pa.array(values.astype(np.int64)[back]), "kinds": pa.array([kinds] * table.num_rows, pa.int64())})
+
+    got = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(check, "k long, n long, kinds long").collect()
+    assert len(got) == len(rows) and all(x.n == total[x.k] and x.kinds == len(total) for x in got)

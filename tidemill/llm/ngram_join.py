@@ -46,7 +46,7 @@ SET_COST = 50
 #: Sizes of linked sets are 4/3 apart at most; bands are a little wider.
 BAND = 1.34
 
-SETS = "doc_id long, row long, n long, sig binary, prefix array<long>, grams binary"
+SETS = "doc_id long, row long, n long, sig binary, grams binary"
 
 
 def gram_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def _levels(counted: list[Counted]) -> tuple[list[np.ndarray], list[int]]:
 
 
 def _ordered(table: pa.Table, replies: pa.Table, routes: Routes, n: int) -> pa.Table:
-    """Each document's size and, if it may have links, its signature; with the first of equal sets the shared n-grams of its prefix and the ordered set."""
+    """Each document's size and, if it may have links, its signature; with the first of equal sets the ordered set."""
     import xxhash
 
     of, h = gram_sets(unpack(table), n)
@@ -90,23 +90,33 @@ def _ordered(table: pa.Table, replies: pa.Table, routes: Routes, n: int) -> pa.T
     order = np.lexsort((token, of))
     token = token[order]
     ends = np.cumsum(np.bincount(of, minlength=table.num_rows))
-    size, sig, prefix, packed, seen = [], [], [], [], set()
-    for i in range(table.num_rows):
+    size, sig, packed, seen = [], [], [], set()
+    for i, doc in enumerate(table.column("doc_id").to_pylist()):
         mine = token[ends[i - 1] if i else 0 : ends[i]]
         size.append(len(mine))
-        head = mine[: len(mine) - (3 * len(mine) + 3) // 4 + 1] if len(mine) else mine
-        head = head[head >= np.uint64(1 << 58)]
-        raw = mine.tobytes() if len(head) else b""
-        name = xxhash.xxh3_128_digest(raw) if raw else None
-        fresh = name is not None and name not in seen
-        seen.add(name)
-        sig.append(name)
-        prefix.append(head.view(np.int64) if fresh else None)
-        packed.append(raw if fresh else None)
-    columns = [table.column("doc_id"), table.column("row"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+        raw = mine.tobytes() if doc is not None and len(_prefix(mine)) else b""
+        sig.append(xxhash.xxh3_128_digest(raw) if raw else None)
+        packed.append(raw if raw and sig[-1] not in seen else None)
+        seen.add(sig[-1])
+    columns = [table.column("doc_id"), table.column("row"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(packed, pa.binary())]
     return pa.table(columns, names=[x.split()[0] for x in SETS.split(", ")])
 
 
+def _prefix(tokens: np.ndarray) -> np.ndarray:
+    """Of an ordered set's prefix, the n-grams that other documents have too."""
+    head = tokens[: len(tokens) - (3 * len(tokens) + 3) // 4 + 1] if len(tokens) else tokens
+    return head[head >= np.uint64(1 << 58)]
+
+
+def _posts(batches):
+    """id and gram of each shared n-gram of the prefix of ordered sets (id, grams)."""
+    for batch in batches:
+        heads = [_prefix(np.frombuffer(g, np.uint64)) for g in batch.column(1).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), list(map(len, heads)))
+        grams = np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64())], names=["id", "gram"])
+
+
 LINKS = "pivot long, chunk long, chunks long, id long, root long, open boolean"
 
 
@@ -160,11 +170,10 @@ def _probe(table: pa.Table, asked: pa.Table) -> pa.Table:
 
 def _placed(pairs: DataFrame, chunk: int) -> DataFrame:
     """pivot, id, n, band, chunk (its band and a number), chunks (how many the pivot has) and others (the chunks that an open set asks) of each pair."""
-    weight = F.sum(F.col("n") + SET_COST)
-    band = F.floor(F.log(BAND, F.col("n").cast("double")))
-    large = pairs.groupBy("pivot").agg(weight.alias("total")).filter(F.col("total") > chunk).select("pivot")
-    rows = pairs.withColumn("band", band)
-    bands = settle(rows.join(large, "pivot", "left_semi").groupBy("pivot", "band").agg(F.ceil(weight / chunk).alias("parts")))
+    rows = pairs.withColumn("band", F.floor(F.log(BAND, F.col("n").cast("double"))))
+    sizes = settle(rows.groupBy("pivot", "band").agg(F.sum(F.col("n") + SET_COST).alias("total")))
+    large = sizes.groupBy("pivot").agg(F.sum("total").alias("total")).filter(F.col("total") > chunk).select("pivot")
+    bands = settle(sizes.join(large, "pivot", "left_semi").select("pivot", "band", F.ceil(F.col("total") / chunk).alias("parts")))
     if bands.isEmpty():
         return rows.withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long"), "others": F.array().cast("array<long>")})
     number = lambda b, k: F.shiftleft(b, 32) + k
@@ -179,7 +188,7 @@ def _placed(pairs: DataFrame, chunk: int) -> DataFrame:
     return at.select("pivot", "id", "n", "band", "chunk", F.coalesce(F.size("all").cast("long"), F.lit(1)).alias("chunks"), F.when(own | F.col("all").isNull(), none).otherwise(near).alias("others"))
 
 
-def _second_pass(links: DataFrame, placed: DataFrame, sets: DataFrame, chunk: int, cell: int) -> DataFrame:
+def _second_pass(links: DataFrame, placed: DataFrame, grams: DataFrame, chunk: int, cell: int) -> DataFrame:
     """a and b of the links between open sets and other chunks; each meets a chunk in the slice that its hash names."""
     left = links.filter("open").select("pivot", "chunk", "id").join(placed.select("pivot", "chunk", "id", "n", "others"), ["pivot", "chunk", "id"])
     left = settle(left.filter(F.size("others") > 0))
@@ -188,8 +197,10 @@ def _second_pass(links: DataFrame, placed: DataFrame, sets: DataFrame, chunk: in
     again = placed.join(slices, "pivot").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     total = sum(x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (asked, again))
     cells = groups(total, cell)
+    cut = F.pmod(F.xxhash64("pivot", "chunk", "slice"), F.lit(cells)).alias("cell")
     shipped = [
-        spread(x.select("pivot", "chunk", "slice", "id", F.lit(1).cast("long").alias("chunks")).join(sets.select("id", "grams"), "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk", "slice"), F.lit(cells))), cells, "cell").groupBy("cell")
+        # columns of its own for each side, since both come from the same sets
+        spread(x.join(grams, "id").select(*[F.col(c).alias(c) for c in ("pivot", "chunk", "slice", "id", "grams")], F.lit(1).cast("long").alias("chunks"), cut), cells, "cell").groupBy("cell")
         for x in (again, asked)
     ]
     return shipped[0].cogroup(shipped[1]).applyInArrow(lean(lambda t, q: _probe(t, q)), "a long, b long")
@@ -211,30 +222,37 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = N, batch_by
     both = dealt.groupBy("batch").cogroup(routes.run(dealt, ask, _levels).groupBy("batch"))
     sets = settle(both.applyInArrow(lean(lambda t, r: _ordered(t, r, routes, n)), SETS))
 
-    able = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
-    whole = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "prefix", "grams")]
-    # rows without an id give their set too, since a batch sends a set once
-    classes = sets.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.when(able, F.struct("doc_id", "row"))).alias("least"), *whole)
-    classes = settle(classes.filter("least IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))
-
-    posts = classes.select("id", "n", F.explode("prefix").alias("gram"))
+    named = sets.filter("sig IS NOT NULL")
+    seed = 0
+    while True:  # a class's number is a hash of its set's; another seed if two of them should meet
+        number = F.xxhash64("sig", F.lit(seed)).alias("id")
+        classes = settle(named.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n")).select("sig", "least", "n", number))
+        total, distinct = classes.agg(F.count("*"), F.count_distinct("id")).first()
+        if total == distinct:
+            break
+        seed += 1
+    kept = named.filter("grams IS NOT NULL").select(number, "grams")
+    posts = kept.mapInArrow(_posts, "id long, gram long")
     shared = posts.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
-    pairs = settle(posts.join(shared, "gram").groupBy("pivot", "id").agg(F.first("n").alias("n")))
+    pairs = settle(posts.join(shared, "gram").select("pivot", "id").distinct().join(classes.select("id", "n"), "id").select("pivot", "id", "n"))
     placed = _placed(pairs, chunk)
+    grams = kept.groupBy("id").agg(F.first("grams").alias("grams"))  # a batch has sent a set once, so a few rows a class
     cells = groups(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], cell)
-    shipped = placed.select("pivot", "chunk", "chunks", "id").join(classes.select("id", "grams"), "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(cells)))
+    shipped = placed.select("pivot", "chunk", "chunks", "id").join(grams, "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(cells)))
     links = settle(spread(shipped, cells, "cell").groupBy("cell").applyInArrow(lean(_join), LINKS))
 
     found = links.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     if not links.filter("open").isEmpty():
-        found = found.union(_second_pass(links, placed, classes, chunk, cell))
+        found = found.union(_second_pass(links, placed, grams, chunk, cell))
     roots = components(found)
-    named = classes.select("sig", "id", "least").join(roots, classes["id"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("first"))
-    answer = settle(named.join(least, "root").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row")))
+    rooted = classes.select("sig", "id", "least").join(roots, classes["id"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "id").alias("root"))
+    # written, so that the join deals both sides for itself and a large component can be split
+    rooted = settle(rooted)
+    least = settle(rooted.groupBy("root").agg(F.min("least").alias("first")))
+    answer = settle(rooted.join(least, "root").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row")))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "row", "sig")
-    alone = rows.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("component_row"))
-    return alone.union(rows.filter(able).join(answer, "sig").select("doc_id", "n_shingles", "component_id", "row", "component_row"))
+    alone = rows.filter("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("component_row"))
+    return alone.union(rows.filter("sig IS NOT NULL").join(answer, "sig").select("doc_id", "n_shingles", "component_id", "row", "component_row"))
 
 
 ORACLE = """

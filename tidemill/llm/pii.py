@@ -8,14 +8,15 @@ Positions are found by putting a private character around each match and adding
 between. The regular expressions have no repeated groups, so that a very long run costs linear time and no stack; each
 finds just what its contract's form finds.
 
-Base spans are seeds, those that overlap one of them together. Identifier tokens are runs of TOKEN letters with a digit or an
-at sign that touch no base span. The pattern of either is the two words before it, lower-cased, digits as 0, earlier spans and
+Base spans are seeds, those that overlap one of them together, and so are tokens of a form that only secrets have (SECRET).
+Identifier tokens are runs of TOKEN letters with a digit or an at sign that touch no base span. The pattern of either is the two words before it, lower-cased, digits as 0, earlier spans and
 tokens as their kind in brackets, the start of a text as words of its own; its instance is its text, lower-cased.
 A pattern's confidence is the sum of its instances' scores over their number plus PRIOR; an instance's score is
 1 for seeds, else one minus the product of (1 - confidence) over its patterns. After ROUNDS rounds, tokens whose
-pattern has SUPPORT distinct seed instances and confidence CONFIDENT become spans of kind `context`.
+pattern has SUPPORT distinct seed instances and confidence CONFIDENT become spans of kind `context`, secrets among them; a
+secret's form alone makes no span.
 
-Base spans are never dropped. Null and empty texts have no spans. Rows that repeat a doc_id are told apart by a
+Base spans are never dropped. Null and empty texts have no spans, an empty table gives an empty result. Rows that repeat a doc_id are told apart by a
 hash of their text; equal rows come back as often as they occur. A character U+E000 to U+E005 in a text counts as one that no
 form has. Columns of docs are read only by the names given.
 """
@@ -49,6 +50,8 @@ FORMS = {
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9\-]+[0-9]", f"{MARK}$0{MARK}"),
 }
 TOKEN = r"A-Za-z0-9._@%+/=\-"
+#: Tokens that only secrets look like: long hexadecimal digests and keys with a known beginning. Fixed values.
+SECRET = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})$"
 TOKENS = rf"(?<![{TOKEN}{PLACES}])(?=[A-Za-z._%+/=\-]*+[0-9@])[{TOKEN}]{{6,}}+(?![{PLACES}])"
 
 
@@ -127,24 +130,24 @@ def _masked(text: Column, merged: Column) -> Column:
 
 
 def _tokens(text: Column, merged: Column, masked: Column) -> Column:
-    """array<struct<start, stop, pattern, instance, seed>> of a text's base spans and identifier tokens."""
-    kind = "array<struct<start:int,stop:int,pattern:string,instance:string,seed:boolean>>"
+    """array<struct<start, stop, pattern, instance, base, seed>> of a text's base spans and identifier tokens."""
+    kind = "array<struct<start:int,stop:int,pattern:string,instance:string,base:boolean,seed:boolean>>"
     first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("spans"), F.lit(START).alias("before"), F.array().cast(kind).alias("found"))
     pieces = F.split(F.regexp_replace(masked, rf"{TOKENS}|[{PLACES}]", f"{MARK}$0{MARK}"), MARK)
 
     def step(acc: Column, piece: Column) -> Column:
         unit = acc["i"] % 2 == 1
-        seed = unit & piece.isin(*PLACES)
+        base = unit & piece.isin(*PLACES)
         span = F.get(merged, acc["spans"])
-        stop = F.when(seed, span["stop"]).otherwise(acc["at"] + F.length(piece))
+        stop = F.when(base, span["stop"]).otherwise(acc["at"] + F.length(piece))
         left = F.regexp_replace(F.lower(acc["before"]), "[0-9]", "0")
         pattern = F.regexp_extract(left, r"([^\s]{1,30}\s+[^\s]{1,30})\s*$", 1)
-        instance = F.when(seed, F.substring(text, span["start"] + 1, span["stop"] - span["start"])).otherwise(piece)
-        entry = F.struct(acc["at"].alias("start"), stop.alias("stop"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"), F.lower(instance).alias("instance"), seed.alias("seed"))
+        instance = F.when(base, F.substring(text, span["start"] + 1, span["stop"] - span["start"])).otherwise(piece)
+        entry = F.struct(acc["at"].alias("start"), stop.alias("stop"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"), F.lower(instance).alias("instance"), base.alias("base"), (base | piece.rlike(SECRET)).alias("seed"))
         more = F.when(unit & (pattern != ""), F.array_append(acc["found"], entry)).otherwise(acc["found"])
-        said = F.when(seed, F.concat(F.lit("["), span["kind"], F.lit("]"))).when(unit, f"[{CONTEXT}]").otherwise(F.right(piece, F.lit(70)))
+        said = F.when(base, F.concat(F.lit("["), span["kind"], F.lit("]"))).when(unit, f"[{CONTEXT}]").otherwise(F.right(piece, F.lit(70)))
         before = F.right(F.concat(acc["before"], said), F.lit(70))
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), (acc["spans"] + seed.cast("int")).alias("spans"), before.alias("before"), more.alias("found"))
+        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), (acc["spans"] + base.cast("int")).alias("spans"), before.alias("before"), more.alias("found"))
 
     return F.when((F.size(merged) > 0) | text.rlike(TOKENS), F.aggregate(pieces, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
 
@@ -172,7 +175,7 @@ def find(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame
     tokens = rows.filter(F.size("tokens") > 0).select("doc_id", "row", F.explode("tokens").alias("t")).select("doc_id", "row", "t.*")
     edges = settle(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     good = patterns(edges, rounds).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
-    fresh = tokens.filter("NOT seed").join(good, "pattern", "left_semi").select("doc_id", "row", F.struct("start", "stop").alias("s")).distinct()
+    fresh = tokens.filter("NOT base").join(good, "pattern", "left_semi").select("doc_id", "row", F.struct("start", "stop").alias("s")).distinct()
     # a row's own tokens, no more than it has words
     fresh = fresh.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("s")).alias(CONTEXT)).withColumnRenamed("doc_id", "_id").withColumnRenamed("row", "_row")
     both = rows.join(fresh, rows["doc_id"].eqNullSafe(fresh["_id"]) & (rows["row"] == fresh["_row"]), "left")
