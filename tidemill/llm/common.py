@@ -20,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, beyond which the next row goes into another one.
+ARROW_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, since one text may be very long; a session that asks for fewer keeps its own value."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of few rows and bytes, since texts may be very long; a session that asks for fewer keeps its own values."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        said = spark.conf.get(key).rstrip("b")
+        if not said.lstrip("-").isdigit() or not 0 < int(said) <= most:
+            spark.conf.set(key, str(most))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -53,10 +57,10 @@ def groups(size: int, unit: int) -> int:
 GROUPS_A_TASK = 4
 
 
-def spread(df: DataFrame, count: int, key: str) -> DataFrame:
-    """df dealt evenly by a key from 0 to count - 1, to a number of tasks that grows with count, so that a task's share does not."""
+def spread(df: DataFrame, count: int, key: str, each: int = GROUPS_A_TASK) -> DataFrame:
+    """df dealt evenly by a key from 0 to count - 1, `each` of them a task, so that a task's share stays as it is when count grows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(count, max(cores, -(-count // GROUPS_A_TASK))))
+    tasks = max(1, min(count, max(cores, -(-count // each))))
     return df.withColumn(key, F.col(key).cast("int")).repartitionById(tasks, key)
 
 
@@ -71,21 +75,38 @@ def kept(key, make: Callable):
     return _KEPT[key]
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """For functions of an iterator of batches: gives freed memory back after the last."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def lean(f: Callable) -> Callable:
     """For functions of one or two tables of a group: drops what other operators left in the worker, and gives freed memory back."""
 
     def tidy(*tables):
-        import ctypes
-
-        import pyarrow as pa
-
         _KEPT.clear()
         try:
             return f(*tables)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            release()
 
     def one(table):
         return tidy(table)
@@ -215,7 +236,7 @@ def deal(docs: DataFrame, text: str, batches: int, **more: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("packed"), *[c.alias(n) for n, c in more.items()])
     names = rows.columns
     schema = ", ".join(f"{f.name} {'binary' if f.name == 'packed' else f.dataType.simpleString()}" for f in rows.schema.fields)
-    rows = rows.mapInArrow(run, schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "packed", F.lit("batch")), F.lit(batches)))
+    rows = rows.mapInArrow(trimmed(run), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "packed", F.lit("batch")), F.lit(batches)))
     return spread(rows, batches, "batch")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, kept, settle, size_of, small_batches
+from .common import groups, kept, settle, size_of, small_batches, trimmed
 
 WINDOW = 10
 #: Item text of one automaton.
@@ -152,7 +152,7 @@ def _scan_part(rows: DataFrame, own: list[str], at: int, found: dict[bytes, list
             extra = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *extra], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 WIDTH = 576
 #: Rows of one image strip that the cosine transform sees; the side of its low-frequency square.
@@ -177,7 +177,7 @@ def to_media(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFra
                 extra = [pa.array([len(t) for t in raw], pa.int64()), *(pa.array(x, pa.binary()) for x in (back, files, hashes))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
@@ -205,7 +205,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
             extra = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def report(media: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, deal, groups, lean, mix, settle, size_of, spread, unpack, windows
+from .common import Words, deal, groups, lean, mix, settle, size_of, spread, trimmed, unpack, windows
 from .exchange import Counted, Routes, count, low_bits
 from .graph import components
 from .trie import Trie, join
@@ -200,7 +200,7 @@ def _second_pass(links: DataFrame, placed: DataFrame, grams: DataFrame, chunk: i
     cut = F.pmod(F.xxhash64("pivot", "chunk", "slice"), F.lit(cells)).alias("cell")
     shipped = [
         # columns of its own for each side, since both come from the same sets
-        spread(x.join(grams, "id").select(*[F.col(c).alias(c) for c in ("pivot", "chunk", "slice", "id", "grams")], F.lit(1).cast("long").alias("chunks"), cut), cells, "cell").groupBy("cell")
+        spread(x.join(grams, "id").select(*[F.col(c).alias(c) for c in ("pivot", "chunk", "slice", "id", "grams")], F.lit(1).cast("long").alias("chunks"), cut), cells, "cell", 2).groupBy("cell")
         for x in (again, asked)
     ]
     return shipped[0].cogroup(shipped[1]).applyInArrow(lean(lambda t, q: _probe(t, q)), "a long, b long")
@@ -232,14 +232,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", n: int = N, batch_by
             break
         seed += 1
     kept = named.filter("grams IS NOT NULL").select(number, "grams")
-    posts = kept.mapInArrow(_posts, "id long, gram long")
+    posts = kept.mapInArrow(trimmed(_posts), "id long, gram long")
     shared = posts.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
     pairs = settle(posts.join(shared, "gram").select("pivot", "id").distinct().join(classes.select("id", "n"), "id").select("pivot", "id", "n"))
     placed = _placed(pairs, chunk)
     grams = kept.groupBy("id").agg(F.first("grams").alias("grams"))  # a batch has sent a set once, so a few rows a class
     cells = groups(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], cell)
     shipped = placed.select("pivot", "chunk", "chunks", "id").join(grams, "id").withColumn("cell", F.pmod(F.xxhash64("pivot", "chunk"), F.lit(cells)))
-    links = settle(spread(shipped, cells, "cell").groupBy("cell").applyInArrow(lean(_join), LINKS))
+    links = settle(spread(shipped, cells, "cell", 2).groupBy("cell").applyInArrow(lean(_join), LINKS))
 
     found = links.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     if not links.filter("open").isEmpty():

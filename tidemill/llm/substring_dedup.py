@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, deal, groups, groups_of, lean, mix, size_of, small_batches, spread, unpack, windows
+from .common import Words, deal, groups, groups_of, lean, mix, size_of, small_batches, spread, trimmed, unpack, windows
 
 WINDOW = 13
 MINIMISER = 3
@@ -130,7 +130,7 @@ def hot_runs(docs: DataFrame, text: str, k: int, m: int, least: float) -> np.nda
             yield _weights(held, k, m)
 
     small_batches(docs.sparkSession)
-    by = docs.filter("doc_id IS NOT NULL").select(text).mapInArrow(run, "low long, size long").groupBy("low").agg(F.sum("size").alias("size"))
+    by = docs.filter("doc_id IS NOT NULL").select(text).mapInArrow(trimmed(run), "low long, size long").groupBy("low").agg(F.sum("size").alias("size"))
     found = by.filter(F.col("size") > least).select("low").toLocalIterator()
     return np.sort(np.fromiter((r[0] for r in found), np.int64).astype(np.uint64))
 
