@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,28 +107,35 @@ def latin_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.trim(F.coalesce(text, F.lit(""))), F.lit(PROTECTED), F.lit(1)), lambda t: F.lower(t))
 
 
-def _cjk_pieces(rest: str) -> list[str]:
+def _cjk_pieces(rest: str, cut: Callable[[str], list[str]] | None) -> list[str]:
     import re
 
     segments = re.findall(r"[㐀-䶿一-鿿]+", rest)
-    singles = [c for s in segments for c in s]
+    singles = [w for s in segments for w in (cut(s) if cut else s) if w.strip()]
     pairs = [s if len(s) == 1 else s[i : i + 2] for s in segments for i in range(max(1, len(s) - 1))]
     return singles + list(dict.fromkeys(pairs))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def retrieval_tokens(text: pd.Series) -> pd.Series:
-    """Protected tokens, then CJK letters, then distinct CJK pairs of what is left; NFKC first."""
+def token_function(cut: Callable[[str], list[str]] | None = None):
+    """A column function: protected tokens, then CJK words, then distinct CJK pairs of what is left; NFKC first. cut parts a run of CJK letters into
+    words; without one each letter is a word."""
     import re
 
     pattern = re.compile(PROTECTED)
 
-    def one(s: str | None) -> list[str]:
-        s = unicodedata.normalize("NFKC", (s or "").strip())
-        found = [m.group(1).lower() for m in pattern.finditer(s)]
-        return found + _cjk_pieces(pattern.sub(lambda m: " " * len(m[0]), s))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tokens(text: pd.Series) -> pd.Series:
+        def one(s: str | None) -> list[str]:
+            s = _compat(s).strip()
+            found = [m.group(1).lower() for m in pattern.finditer(s)]
+            return found + _cjk_pieces(pattern.sub(lambda m: " " * len(m[0]), s), cut)
+
+        return text.map(one)
+
+    return tokens
+
 
-    return text.map(one)
+retrieval_tokens = token_function()
 
 
 def numbers(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -72,6 +73,29 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\s*\S+", text)]
 
 
+def vocabulary_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """Offsets of a tokenizer file's tokens, for chunk_text: exact ones, so that no character is split or lost. The file is read once a worker."""
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        if path not in _VOCABULARIES:
+            from tokenizers import Tokenizer
+
+            _VOCABULARIES[path] = Tokenizer.from_file(path)
+            _VOCABULARIES[path].no_truncation()
+            _VOCABULARIES[path].no_padding()
+        out, at = [], 0
+        for a, b in _VOCABULARIES[path].encode(text, add_special_tokens=False).offsets:
+            if b > at:  # tokens within one character have its span together
+                out.append((max(a, at), b))
+                at = b
+        return out
+
+    return spans
+
+
+_VOCABULARIES: dict = {}
+
+
 def _soft_cut(text: str, start: int, hard: int) -> tuple[int, str]:
     least = start + int((hard - start) * 0.6)
     if least >= hard:
@@ -134,10 +158,11 @@ def semantic_chunks(text: str, size: int, overlap: int, spans: list[tuple[int, i
     if len(units) <= 1 or len(vectors) != len(units):
         yield from token_chunks(text, size, overlap, spans)
         return
+    starts, ends = [x for x, _ in spans], [y for _, y in spans]
     tokens = []
-    for a, b in units:
-        inside = [i for i, (x, y) in enumerate(spans) if y > a and x < b]
-        tokens.append((inside[0], inside[-1] + 1) if inside else (0, 1))
+    for a, b in units:  # spans are in order, so those that touch a unit stand together
+        first, last = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        tokens.append((first, last) if first < last else (0, 1))
 
     def like(u, v) -> float:
         nu, nv = math.sqrt(sum(x * x for x in u)), math.sqrt(sum(x * x for x in v))

@@ -146,3 +146,20 @@ def reconcile(reported: DataFrame, recomputed: DataFrame, keys: list[str], toler
     gap = F.abs(F.col("reported") - F.col("recomputed"))
     near = gap <= tolerance * F.greatest(F.lit(1.0), F.abs("reported"), F.abs("recomputed"))
     return both.filter(~F.coalesce(near, F.lit(False)) & ~(F.col("reported").isNull() & F.col("recomputed").isNull()))
+
+
+def not_finite(df: DataFrame, key: str) -> DataFrame:
+    """key and metric of the numbers of df that are NaN or infinite."""
+    names = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    bad = lambda n: F.isnan(n) | (F.abs(n) == float("inf"))
+    each = F.array_compact(F.array(*[F.when(bad(n), F.lit(n)) for n in names])) if names else F.array().cast("array<string>")
+    return df.select(key, F.explode(each).alias("metric"))
+
+
+def integrity(reported: DataFrame, recomputed: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Rows (keys, metric, reported, recomputed) of two wide tables of numbers that disagree, in either direction."""
+    names = [c for c in reported.columns if c not in keys]
+    if sorted(names) != sorted(c for c in recomputed.columns if c not in keys):
+        raise ValueError("the tables have different metrics")
+    long = lambda df: df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
+    return reconcile(long(reported), long(recomputed), keys, tolerance)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import normalise_compat
+from tidemill.functions.vector import safe_cosine
 
 from . import messages
 from .retrieval import nearest
@@ -31,6 +32,12 @@ def latest(log: DataFrame, key: str = "fact_id", seq: str = "seq", op: str = "op
     return said.select(key, "content", state.alias("state"), "created_seq", F.coalesce("ended", "updated_seq").alias("updated_seq"))
 
 
+def similarity(a: Column, b: Column, embed: Callable[[Column], Column]) -> Column:
+    """Cosine of two texts under an embedder, which sees a blank text as a space; 0 where a vector has no length."""
+    text = lambda c: F.when(F.coalesce(c, F.lit("")) == "", " ").otherwise(c)
+    return safe_cosine(embed(text(a)), embed(text(b)))
+
+
 def listing(facts: DataFrame, active: bool = True, order: str = "created_seq", key: str = "fact_id") -> DataFrame:
     """Facts in order of their creation, the active ones or all."""
     return (facts.filter("state = 'ACTIVE'") if active else facts).orderBy(order, key)

@@ -23,13 +23,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
     """query_id, doc_id, score and rank of each query's k nearest rows; exact.
 
     metric l2: squared distance, ascending; cosine: descending, vectors of zero norm left out on either side. Ties go to the smaller
-    doc_id. Queries are packed into blocks of BLOCK by Spark, and each block meets each slice of the corpus in one task, which
+    doc_id. Ids are whole numbers or text. Queries are packed into blocks of BLOCK by Spark, and each block meets each slice of the corpus in one task, which
     keeps k candidates a query; one window merges the slices' candidates, so no task sees a query's whole list and no vector passes
     through the driver. This is the stated query set against all rows, in blocks.
     """
     spark = corpus.sparkSession
-    packed = lambda df, key: df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    asked, rows = packed(queries, query_id), packed(corpus, doc_id)
+    kinds = ["string" if df.schema[key].dataType.typeName() == "string" else "long" for df, key in ((queries, query_id), (corpus, doc_id))]
+    packed = lambda df, key, kind: df.filter(F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    asked, rows = packed(queries, query_id, kinds[0]), packed(corpus, doc_id, kinds[1])
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    arrow = pa.schema([(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(("query_id", "doc_id"), kinds, strict=True)] + [("score", pa.float64())])
     if metric == "cosine":
         live = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) > 1e-12
         asked, rows = asked.filter(live), rows.filter(live)
@@ -38,16 +41,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     if blocks == 1:  # at most BLOCK vectors: they go along with the plan
         held = asked.select("id", "v").collect()
-        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
+        ids, q = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
         sent = spark.sparkContext.broadcast((ids, q))
 
         def scan(batches):
             best = Best(*sent.value, k, metric)
             for batch in batches:
-                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
-            yield from best.rows()
+                best.add(_ids(batch.column(0)), _matrix(batch.column(1)))
+            yield from best.rows(arrow)
 
-        found = rows.mapInArrow(scan, FOUND) if n else spark.createDataFrame([], FOUND)
+        found = rows.mapInArrow(scan, schema) if n else spark.createDataFrame([], schema)
     else:
         # a slice of the corpus goes to each block of queries; both sides are dealt by (block, slice)
         cell = lambda df: df.withColumn("cell", (F.col("block") * slices + F.col("slice")).cast("int")).select("cell", "id", "v")
@@ -56,18 +59,18 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
         left = cell(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
 
         def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-            best = Best(mine.column("id").to_numpy(), _matrix(mine.column("v").combine_chunks()), k, metric)
+            best = Best(_ids(mine.column("id")), _matrix(mine.column("v").combine_chunks()), k, metric)
             for batch in theirs.to_batches(max_chunksize=ROWS):
-                best.add(batch.column("id").to_numpy(), _matrix(batch.column("v")))
-            return pa.Table.from_batches(list(best.rows()), schema=FOUND_ARROW)
+                best.add(_ids(batch.column("id")), _matrix(batch.column("v")))
+            return pa.Table.from_batches(list(best.rows(arrow)), schema=arrow)
 
-        found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, FOUND)
+        found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, schema)
     key = F.round(F.col("score"), 9)
     return ranked(found, key.asc() if metric == "l2" else key.desc(), F.col("doc_id"), k=k)
 
 
-FOUND = "query_id long, doc_id long, score double"
-FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+def _ids(column) -> np.ndarray:
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) else column.to_numpy()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -79,7 +82,7 @@ class Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str):
         self.ids, self.q, self.k, self.metric = ids, vectors, k, metric
-        self.held_id, self.held = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        self.held_id, self.held = None, np.empty((len(ids), 0))
 
     def add(self, docs: np.ndarray, v: np.ndarray) -> None:
         for lo in range(0, len(docs), ROWS):
@@ -98,15 +101,17 @@ class Best:
                 edge = np.minimum(edge, self.held[:, self.k - 1])
             few = np.flatnonzero((np.round(score, 9) <= np.round(edge, 9)[:, None]).any(axis=0))
             ids, score = ids[:, few], score[:, few]
-        ids, score = np.concatenate([self.held_id, ids], axis=1), np.concatenate([self.held, score], axis=1)
+        ids = ids if self.held_id is None else np.concatenate([self.held_id, ids], axis=1)
+        score = np.concatenate([self.held, score], axis=1)
         order = np.lexsort((ids, np.round(score, 9)))[:, : self.k]
         self.held_id, self.held = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
 
-    def rows(self):
+    def rows(self, schema: pa.Schema):
         n = self.held.shape[1]
         if n:
             sign = 1.0 if self.metric == "l2" else -1.0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(self.held_id.ravel()), pa.array(self.held.ravel() * sign)], schema=FOUND_ARROW)
+            columns = [np.repeat(self.ids, n), self.held_id.ravel(), self.held.ravel() * sign]
+            yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def within(hits: DataFrame, most: float, strict: bool = False, k: int | None = None, score: str = "score") -> DataFrame:
@@ -171,3 +176,12 @@ def expand(hits: DataFrame, chunks: DataFrame, cap: int | None = None, joiner: s
     out = joined.groupBy("query_id", "rank", "parent_id").agg(rows.alias("c"))
     text = F.array_join(F.filter(F.col("c")["text"], lambda t: t != ""), joiner)
     return ranked(out.withColumnRenamed("rank", "_was"), F.col("_was")).select("query_id", "rank", "parent_id", text.alias("text"), F.col("c")["chunk_id"].alias("child_chunk_ids"))
+
+
+def window_ablation(chunks: DataFrame, needle: str, windows: list[int], doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """window, coverage and tokens: for each window size, the share of aligned groups of a document's chunks whose text has the needle, and their mean
+    number of tokens. chunks: doc, chunk_id, text, tokens."""
+    rows = chunks.withColumn("window", F.explode(F.array(*map(F.lit, windows))))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n")
+    groups = rows.groupBy("window", doc, F.floor(F.col("chunk_id") / F.col("window")).alias("_g")).agg(joined.alias("text"), F.sum(tokens).alias("tokens"))
+    return groups.groupBy("window").agg(F.avg(F.contains("text", F.lit(needle)).cast("double")).alias("coverage"), F.avg("tokens").alias("tokens"))

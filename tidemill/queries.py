@@ -219,10 +219,7 @@ def parent_expand(spark, t):
 SELECT CAST(w AS BIGINT) AS window, round(avg(CASE WHEN contains(text, 'the') THEN 1.0 ELSE 0 END), 6) AS coverage, round(avg(tokens), 6) AS tokens FROM g GROUP BY w"""
 )
 def parent_window_ablation(spark, t):
-    rows = _chunks(t).withColumn("window", F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n")
-    groups = rows.groupBy("window", "doc_id", F.floor(F.col("chunk_id") / F.col("window")).alias("g")).agg(joined.alias("text"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
-    return groups.groupBy("window").agg(F.avg(F.contains("text", F.lit("the")).cast("double")).alias("coverage"), F.avg("tokens").alias("tokens"))
+    return retrieval.window_ablation(_chunks(t).withColumn("tokens", F.col("token_end") - F.col("token_start")), "the", [1, 2, 3, 5])
 
 
 @query(
