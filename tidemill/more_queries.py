@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import keys
 from tidemill.functions import text as X
 from tidemill.functions import vector as V
-from tidemill.operators import benchmark, chunking, comparison, datasets, enrich, episodes, evaluation, memory, messages, retrieval, training, verification
+from tidemill.functions.calculator import calculate
+from tidemill.operators import benchmark, chunking, comparison, datasets, enrich, episodes, evaluation, memory, messages, retrieval, rewards, training, verification
 from tidemill.plans import agent
 from tidemill.plans import retrieval as plans
 from tidemill.queries import CHUNKS, DENSE, EPISODES, FUSE, ROLLOUTS, _asked, _chunks, _fused, _rollouts, _scored, _steps, _vectors, query
@@ -425,6 +427,34 @@ def behaviour_features(spark, t):
     return episodes.features(_scored(t), _rollouts(t)).select("task_id", "decisions", "retrieval", "premature", "json_invalid", "unsupported", "duplicate", "budget", "retrieval4plus")
 
 
+HALVES = JOINED + """, f AS (SELECT task_id, step % 2 AS half, count(*) AS decisions, count(*) FILTER (WHERE tool = 'retrieve_docs') AS retrieval, max(CASE WHEN premature < 0 THEN 1 ELSE 0 END) AS premature, count(*) FILTER (WHERE parse_error) AS json_invalid, count(*) FILTER (WHERE tool IS NOT NULL AND tool <> 'retrieve_docs') AS unsupported, count(*) FILTER (WHERE dup) AS duplicate FROM scored GROUP BY ALL),
+g AS (SELECT f.*, CASE WHEN stop_reason = 'budget' THEN 1 ELSE 0 END AS budget FROM f JOIN ends USING (task_id)),
+m AS (SELECT task_id, half, unnest(['MeanRetrievalCalls', 'PrematureStopRate', 'BudgetExhaustionRate', 'JSONInvalidRate', 'UnsupportedToolActionRate', 'DuplicateCallRatePerDecision', 'Retrieval4PlusRate']) AS metric,
+unnest([retrieval, premature, budget, json_invalid, unsupported, duplicate, CASE WHEN retrieval >= 4 THEN 1 ELSE 0 END]) AS n, unnest([1, 1, 1, decisions, decisions, decisions, 1]) AS d FROM g),
+p AS (SELECT b.task_id, b.metric, b.n AS bn, b.d AS bd, o.n AS cn, o.d AS cd FROM m b JOIN m o ON o.task_id = b.task_id AND o.metric = b.metric AND b.half = 0 AND o.half = 1)"""
+USERS = ", z AS (SELECT count(DISTINCT user_id) AS n FROM events), d AS (SELECT s AS sample, (s * 7919 + k * 104729 + (s * k) % 613) % n AS ord, count(*) AS times FROM z, unnest(range(0, 100)) AS a(s), unnest(range(0, n)) AS b(k) GROUP BY ALL)"
+
+
+def _halves(t):
+    scored, ends = _scored(t), _rollouts(t)
+    names = ["MeanRetrievalCalls", "PrematureStopRate", "BudgetExhaustionRate", "JSONInvalidRate", "UnsupportedToolActionRate", "DuplicateCallRatePerDecision", "Retrieval4PlusRate"]
+    runs = [episodes.features(scored.filter(F.col("step") % 2 == i), ends) for i in (0, 1)]
+    return episodes.paired(*runs).filter(F.col("metric").isin(names))
+
+
+@query(HALVES + " SELECT metric, count(*) AS n, round(sum(bn) / sum(bd), 6) AS base, round(sum(cn) / sum(cd), 6) AS other, round(sum(cn) / sum(cd) - sum(bn) / sum(bd), 6) AS difference FROM p GROUP BY metric")
+def paired_behaviour(spark, t):
+    return comparison.ratios(_halves(t), "metric")
+
+
+@query(HALVES + USERS + ", e AS (SELECT metric, sample, sum(times * cn) / sum(times * cd) - sum(times * bn) / sum(times * bd) AS x FROM d JOIN p ON p.task_id = d.ord GROUP BY ALL) SELECT metric, count(*) AS samples, round(quantile_cont(CAST(x AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST(x AS DOUBLE), 0.975), 6) AS high FROM e GROUP BY metric")
+def paired_behaviour_bootstrap(spark, t):
+    n = t("events").select("user_id").distinct().count()
+    s, k = F.floor(F.col("id") / n), F.col("id") % n
+    draws = spark.range(100 * n).select(s.alias("sample"), ((s * 7919 + k * 104729 + (s * k) % 613) % n).alias("ord")).groupBy("sample", "ord").agg(F.count("*").alias("times"))
+    return comparison.bootstrap(_halves(t).withColumnRenamed("task_id", "ord"), draws, ratio=True, by=("metric",))
+
+
 @query(
     BEHAVED
     + """ SELECT count(*) AS n_episodes, CAST(sum(decisions) AS BIGINT) AS n_decisions, round(sum(retrieval) / count(*), 6) AS mean_retrieval_calls, round(sum(json_invalid) / sum(decisions), 6) AS json_invalid_rate, CAST(sum(unsupported) AS BIGINT) AS unsupported_tool_action_count, round(sum(unsupported) / sum(decisions), 6) AS unsupported_tool_action_rate, round(avg(premature), 6) AS premature_stop_rate,
@@ -633,3 +663,71 @@ def frozen_rejects(spark, t):
 @query("SELECT event_type AS update, CASE WHEN event_id % 3 = 0 THEN 'budget' ELSE 'final_answer' END AS stop_reason, count(*) AS n FROM events GROUP BY ALL")
 def update_stops(spark, t):
     return verification.update_stops(t("events").select(F.col("event_type").alias("update"), F.when(F.col("event_id") % 3 == 0, "budget").otherwise("final_answer").alias("stop_reason")))
+
+
+# -- decisions, loops and digests -----------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN k + 2 * user_id WHEN 1 THEN (k - user_id) * 3 WHEN 2 THEN CAST(floor(k / 7) AS BIGINT) ELSE k - 7 * CAST(floor(k / 7) AS BIGINT) END AS VARCHAR) AS result, true AS ok FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def calculations(spark, t):
+    k, u, i = F.get_json_object("props", "$.k"), F.col("user_id").cast("string"), F.col("event_id") % 4
+    said = F.when(i == 0, F.concat(k, F.lit(" + 2 * "), u)).when(i == 1, F.concat(F.lit("("), k, F.lit(" - "), u, F.lit(") * 3"))).when(i == 2, F.concat(k, F.lit(" // 7"))).otherwise(F.concat(k, F.lit(" % 7")))
+    return t("events").select("event_id", calculate(said).alias("r")).select("event_id", "r.result", "r.ok")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS stamp, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def clocks(spark, t):
+    return t("events").select("event_id", keys.now_iso(F.col("ts")).alias("stamp"), keys.today(F.col("ts")).alias("day"))
+
+
+@query("""SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS flat, sha256('{"a":{"c":2,"d":' || json_extract_string(props, '$.k') || '},"b":1}') AS nested FROM events""")
+def canonical_digests(spark, t):
+    nested = F.concat(F.lit('{"b": 1, "a": {"d": '), F.get_json_object("props", "$.k"), F.lit(', "c": 2}}'))
+    return t("events").select("event_id", keys.canonical_sha256(["user_id", "event_type"]).alias("flat"), F.sha2(keys.canonical_json(nested), 256).alias("nested"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'tool' WHEN 1 THEN 'final' WHEN 2 THEN 'plan' WHEN 5 THEN 'tool' ELSE 'invalid' END AS kind, CASE event_id % 6 WHEN 0 THEN event_type WHEN 5 THEN 'x' END AS tool, CASE event_id % 6 WHEN 0 THEN props WHEN 5 THEN '{}' END AS args, CASE event_id % 6 WHEN 2 THEN 'a,' || event_type END AS plan FROM (SELECT * REPLACE (replace(props, ': ', ':') AS props) FROM events)"""
+)
+def decisions(spark, t):
+    i, join = F.col("event_id"), F.concat
+    props = F.replace("props", F.lit(": "), F.lit(":"))
+    raws = [
+        join(F.lit('```json\n{"tool": " '), F.col("event_type"), F.lit('", "args": '), props, F.lit("}\n```")),
+        F.lit('{"final_answer": "yes", "tool": "x"}'),
+        join(F.lit('{"plan": ["a", " ", "'), F.col("event_type"), F.lit('"]}')),
+        F.lit("I think so"),
+        F.lit('{"final_answer": false, "tool": 3}'),
+        F.lit('{"tool": "x", "args": [1], "final_answer": 0}'),
+    ]
+    d = messages.decision(F.element_at(F.array(*raws), (i % 6 + 1).cast("int")))
+    return t("events").select("event_id", d.alias("d")).select("event_id", "d.kind", "d.tool", "d.args", F.array_join("d.plan", ",").alias("plan"))
+
+
+@query(
+    """WITH e AS (SELECT user_id * 1000 + (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 6 AS task_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 6 AS i, event_type FROM events),
+w AS (SELECT *, event_type = 'purchase' AS final, event_type = 'error' AND coalesce(lag(event_type) OVER v = 'error', false) AND coalesce(lag(event_type, 2) OVER v = 'error', false) AS abort FROM e WINDOW v AS (PARTITION BY task_id ORDER BY i)),
+s AS (SELECT task_id, count(*) AS n, min(i) FILTER (WHERE final) AS f, min(i) FILTER (WHERE abort) AS a FROM w GROUP BY task_id),
+r AS (SELECT task_id, n, CASE WHEN coalesce(f, 9) < coalesce(a, 9) THEN 'final_answer' WHEN a IS NOT NULL THEN 'parse_abort' WHEN n < 6 THEN 'final_answer' ELSE 'budget' END AS stop_reason, CASE WHEN least(coalesce(f, 9), coalesce(a, 9)) < 9 THEN least(coalesce(f, 9), coalesce(a, 9)) + 1 WHEN n < 6 THEN n + 1 ELSE 6 END AS n_steps FROM s)
+SELECT r.task_id, stop_reason, n_steps, count(*) FILTER (WHERE i < n_steps AND event_type NOT IN ('purchase', 'error')) AS tool_calls FROM r JOIN e USING (task_id) GROUP BY r.task_id, stop_reason, n_steps"""
+)
+def loop_stops(spark, t):
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = t("events").withColumn("p", place).select((F.col("user_id") * 1000 + F.floor(F.col("p") / 6)).alias("task_id"), (F.col("p") % 6).alias("step"), "event_id", "event_type")
+    call = F.concat(F.lit('{"tool": "calculator", "args": {"expression": "'), F.col("event_id").cast("string"), F.lit(' + 1"}}'))
+    script = e.select("task_id", "step", F.when(F.col("event_type") == "error", "?").when(F.col("event_type") == "purchase", '{"final_answer": true}').otherwise(call).alias("raw"))
+    tasks = e.select("task_id", F.lit("Q").alias("question")).distinct()
+    return agent.converse(tasks, agent.from_script(script), agent.Registry().register(agent.calculator())).select("task_id", "stop_reason", "n_steps", "tool_calls")
+
+
+@query(HITS + ", c AS (SELECT query_id, string_agg('[Chunk ' || chunk_id || ', ' || split_part(path, '/', 2) || ']' || chr(10) || trim(text) || chr(10) || '(modality=text)', chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id) SELECT query_id, md5('User question:' || chr(10) || 'Q' || query_id || chr(10) || chr(10) || 'Retrieved context:' || chr(10) || trim(context, ' ') || CASE WHEN query_id % 2 = 0 THEN chr(10) || chr(10) || 'About the user (personal background, not evidence):' || chr(10) || '- m' ELSE '' END || chr(10) || chr(10) || 'Answer.') AS digest FROM c")
+def prompts(spark, t):
+    context = plans.contexts(_hits(t))
+    asked = context.select("query_id", F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("text"))
+    known = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, "- m").otherwise(" ").alias("memory"))
+    return plans.prompts(asked, context, "Answer.", memory=known).select("query_id", F.md5("prompt").alias("digest"))
+
+
+@query("SELECT unnest(['extra_irrelevant_retrieval', 'extra_irrelevant_retrieval', 'incomplete_evidence', 'incomplete_evidence', 'untrusted_evidence', 'untrusted_evidence', 'untrusted_evidence', 'untrusted_evidence', 'untrusted_evidence']) AS scenario, true AS passed")
+def reward_probes(spark, t):
+    return rewards.probe_report(episodes.rescore(rewards.probes(spark), [episodes.RETRIEVE], 9)).select("scenario", "passed")

@@ -35,6 +35,7 @@ def rejects(tasks: DataFrame, documents: DataFrame | None = None, files: DataFra
     twice = tasks.groupBy(F.col("task_id").alias("_id")).agg(F.count("*").alias("_n"))
     on = F.coalesce("enabled", F.lit(True))
     counts, rule = F.col("tool_counts"), F.col("answer")
+    # reasons are fixed values
     checks = [
         (blank(F.col("task_id")) | (F.col("_n") > 1), "missing or duplicate id"),
         (~F.coalesce(F.col("cohort").isin(*COHORTS), F.lit(False)), "invalid cohort"),

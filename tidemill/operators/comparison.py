@@ -83,18 +83,24 @@ def bootstrap_runs(values: DataFrame, samples: int, seed: int, level: float = 0.
     return each.groupBy("pair", "metric").agg(F.first("difference").alias("difference"), F.percentile("e", F.lit(q)).alias("low"), F.percentile("e", F.lit(1 - q)).alias("high"))
 
 
-def bootstrap(values: DataFrame, draws: DataFrame, ratio: bool = False, level: float = 0.95) -> DataFrame:
-    """low and high of the interval of the mean difference (values: ord, base, other) or, with ratio, of the difference of ratios of sums
-    (ord, base_n, base_d, other_n, other_d). draws: sample, ord, times."""
+def ratios(values: DataFrame, *by: str) -> DataFrame:
+    """by, n, base, other and difference of ratios of sums over tasks (base_n, base_d, other_n, other_d)."""
+    r = lambda side: F.try_divide(F.sum(f"{side}_n"), F.sum(f"{side}_d"))
+    return values.groupBy(*by).agg(F.count("*").alias("n"), r("base").alias("base"), r("other").alias("other"), (r("other") - r("base")).alias("difference"))
+
+
+def bootstrap(values: DataFrame, draws: DataFrame, ratio: bool = False, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, samples, low and high of the interval of the mean difference (values: ord, base, other) or, with ratio, of the difference of ratios
+    of sums (ord, base_n, base_d, other_n, other_d). draws: sample, ord, times; the same ones for all of by."""
     rows = draws.join(values, "ord")
     t = F.col("times")
     if ratio:
         est = F.try_divide(F.sum(t * F.col("other_n")), F.sum(t * F.col("other_d"))) - F.try_divide(F.sum(t * F.col("base_n")), F.sum(t * F.col("base_d")))
     else:
         est = F.sum(t * (F.col("other") - F.col("base"))) / F.sum(t)
-    by = rows.groupBy("sample").agg(est.alias("estimate"))
+    each = rows.groupBy(*by, "sample").agg(est.alias("estimate"))
     q = (1 - level) / 2
-    return by.agg(F.count("*").alias("samples"), F.percentile("estimate", F.lit(q)).alias("low"), F.percentile("estimate", F.lit(1 - q)).alias("high"))
+    return each.groupBy(*by).agg(F.count("*").alias("samples"), F.percentile("estimate", F.lit(q)).alias("low"), F.percentile("estimate", F.lit(1 - q)).alias("high"))
 
 
 def index_quantile(df: DataFrame, value: str, q: float) -> DataFrame:

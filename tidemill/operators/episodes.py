@@ -154,12 +154,12 @@ def features(steps: DataFrame, ends: DataFrame) -> DataFrame:
 
 #: Name, numerator and denominator of the measures of a paired comparison of behaviour. Fixed values.
 PAIRED = [
+    ("MeanRetrievalCalls", "retrieval", "episode"),
     ("PrematureStopRate", "premature", "episode"),
     ("BudgetExhaustionRate", "budget", "episode"),
-    ("JsonInvalidRate", "json_invalid", "decisions"),
-    ("UnsupportedToolRate", "unsupported", "decisions"),
-    ("DuplicateCallRate", "duplicate", "decisions"),
-    ("MeanRetrievalCalls", "retrieval", "episode"),
+    ("JSONInvalidRate", "json_invalid", "decisions"),
+    ("UnsupportedToolActionRate", "unsupported", "decisions"),
+    ("DuplicateCallRatePerDecision", "duplicate", "decisions"),
     ("Retrieval0Rate", "retrieval0", "episode"),
     ("Retrieval1Rate", "retrieval1", "episode"),
     ("Retrieval2Rate", "retrieval2", "episode"),
@@ -168,6 +168,14 @@ PAIRED = [
 ]
 
 
+def paired(base: DataFrame, other: DataFrame) -> DataFrame:
+    """task_id, metric, base_n, base_d, other_n and other_d of two runs' features, for comparison.ratios and comparison.bootstrap."""
+    both = base.alias("b").join(other.alias("o"), "task_id")
+    of = lambda side, c, name: F.col(f"{side}.{c}").cast("double").alias(name)
+    each = [F.struct(F.lit(m).alias("metric"), of("b", n, "base_n"), of("b", d, "base_d"), of("o", n, "other_n"), of("o", d, "other_d")) for m, n, d in PAIRED]
+    return both.select("task_id", F.inline(F.array(*each)))
+
+
 def behaviour(steps: DataFrame, ends: DataFrame) -> DataFrame:
     """One row of counts and rates over all episodes; rates are null where nothing could have happened."""
     f = features(steps, ends)

@@ -16,8 +16,9 @@ SECRET_KEYS = r"(?i)gold|answer|label|reference|target"
 SECRET_WORDS = ["gold", "answer", "label", "reference", "target"]
 #: What may stand for an argument's kind, as schema_of_variant names it; a boolean passes as a number, as its language has it.
 KINDS = {"str": ["STRING"], "int": ["BIGINT", "BOOLEAN"], "number": ["BIGINT", "BOOLEAN", "DOUBLE", "FLOAT", "DECIMAL"]}
-NOT_REPEAT = "Do not repeat any previous_tool_calls. If retrieved_evidence already answers every part of the question, choose final_answer now; otherwise use a different query."
-HINT = "Choose final_answer only if retrieved_evidence answers every part of the question; otherwise continue with a different standalone query."
+#: What a policy is told after a repeated call, and once it has findings.
+NOT_REPEAT = "This call was made before. Stop with final_answer if the findings suffice; ask something else if not."
+HINT = "Stop with final_answer only if the findings answer the whole question; ask something else if not."
 
 
 def decision(raw: Column) -> Column:
