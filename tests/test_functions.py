@@ -130,3 +130,12 @@ def test_keys(spark, tmp_path):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
     want = hashlib.sha256(b"".join(len(n).to_bytes(8, "big") + n + c for n, c in ((b"a", b"1"), (b"s/b", b"2")))).hexdigest()
     assert keys.tree_digest(files, str(tmp_path)) == want
+
+
+def test_grown_arrays_keep_all_members_in_order(spark):
+    from tidemill.functions import arrays
+
+    for n in (0, 1, arrays.ROW, arrays.ROW + 1, 5 * arrays.ROW + 3):
+        whole = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+        odd = F.aggregate(whole, F.struct(*arrays.none_yet("int")), lambda a, x: F.struct(*arrays.grown(a, x, x % 2 == 1)), arrays.members)
+        assert one(spark, odd) == list(range(1, n + 1, 2))

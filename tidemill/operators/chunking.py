@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.arrays import grown, members, none_yet
+
 CHUNK = "chunk_id int, source string, text string, start int, end int, token_start int, token_end int, boundary string, chunk_strategy string"
 #: White space follows, or the text ends.
 SENTENCE_END = r"(?:[.!?]|[。！？])(?:\s|\n|$)"
@@ -38,8 +40,9 @@ def pieces(df: DataFrame, text: str, end: str, keep: str) -> DataFrame:
     """
     mark = "\ue000"
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({end})", keep + mark), mark)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,raw:string>>").alias("out"))
-    placed = F.aggregate(cut, none, lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("raw"))).alias("out")), lambda s: s["out"])
+    first = F.struct(F.lit(0).alias("at"), *none_yet("struct<at:int,raw:string>"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), *grown(s, F.struct(s["at"].alias("at"), x.alias("raw")), F.lit(True)))
+    placed = F.aggregate(cut, first, step, members)
     rows = df.select("*", F.posexplode(placed).alias("ord", "_p")).select("*", F.col("_p")["at"].alias("_at"), F.col("_p")["raw"].alias("_raw")).drop("_p")
     left = F.length("_raw") - F.length(F.regexp_replace("_raw", r"^\s+", ""))
     trimmed = F.regexp_replace(F.regexp_replace("_raw", r"^\s+", ""), r"\s+$", "")
