@@ -230,3 +230,13 @@ def test_pii_finds_planted_identifiers_and_leaves_clean_texts(spark):
     caught = sum(by[i] == [planted[i]] for i in planted)
     assert caught == len(planted), caught
     assert all(not by[i] for i in by if i % 3 == 2)
+
+
+def test_pii_of_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@mail.example.com 10.0.{i % 256}.{i % 9} id-{i:06d}x" for i in range(700))
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = brute_pii(text)
+    for kind in pii.KINDS:
+        assert [(s.start, s.stop) for s in row[kind]] == [(a, b) for k, a, b in want if k == kind]
+    clean = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().text
+    assert clean.count("[EMAIL]") == 700 and clean.count("[IP]") == 700 and "@" not in clean

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.arrays import grown, members, none_yet
+
 from .common import settle
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -80,17 +82,15 @@ def passes(kind: str, match: Column) -> Column:
 
 def _places(pieces: Column, kind: str) -> Column:
     """(start, end, piece) of every second piece of marked text that passes its kind's test."""
-    spans = "array<struct<start:int,stop:int>>"
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(spans).alias("found"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), *none_yet("struct<start:int,stop:int>"))
 
     def step(acc: Column, piece: Column) -> Column:
         plain = F.replace(piece, F.lit(DOT)) if kind == "email" else piece
         stop = acc["at"] + F.length(plain)
         hit = (acc["i"] % 2 == 1) & passes(kind, plain)
-        more = F.when(hit, F.array_append(acc["found"], F.struct(acc["at"].alias("start"), stop.alias("stop")))).otherwise(acc["found"])
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), more.alias("found"))
+        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), *grown(acc, F.struct(acc["at"].alias("start"), stop.alias("stop")), hit))
 
-    return F.aggregate(pieces, first, step, lambda acc: acc["found"])
+    return F.aggregate(pieces, first, step, members)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -103,20 +103,20 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _merged(spans: dict[str, Column]) -> Column:
     """array<struct<start, stop, kind>> of all kinds' spans in order; overlapping ones become one, named by the first."""
-    kind = "array<struct<start:int,stop:int,kind:string>>"
     named = lambda k: lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(k).alias("kind"))
     every = [F.transform(c, named(k)) for k, c in spans.items()]
     none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(None).cast("string").alias("kind"))
-    first = F.struct(F.array().cast(kind).alias("done"), none.alias("last"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["last"]["kind"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
+    first = F.struct(none.alias("last"), *none_yet("struct<start:int,stop:int,kind:string>"))
 
     def step(acc: Column, s: Column) -> Column:
         last = acc["last"]
         apart = s["start"] >= last["stop"]
         longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))
-        return F.struct(F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"), F.when(apart, s).otherwise(longer).alias("last"))
+        return F.struct(F.when(apart, s).otherwise(longer).alias("last"), *grown(acc, last, apart & last["kind"].isNotNull()))
+
+    def closed(acc: Column) -> Column:
+        done = members(acc)
+        return F.when(acc["last"]["kind"].isNull(), done).otherwise(F.array_append(done, acc["last"]))
 
     return F.aggregate(F.array_sort(F.concat(*every)), first, step, closed)
 
@@ -131,8 +131,8 @@ def _masked(text: Column, merged: Column) -> Column:
 
 def _tokens(text: Column, merged: Column, masked: Column) -> Column:
     """array<struct<start, stop, pattern, instance, base, seed>> of a text's base spans and identifier tokens."""
-    kind = "array<struct<start:int,stop:int,pattern:string,instance:string,base:boolean,seed:boolean>>"
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("spans"), F.lit(START).alias("before"), F.array().cast(kind).alias("found"))
+    kind = "struct<start:int,stop:int,pattern:string,instance:string,base:boolean,seed:boolean>"
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("spans"), F.lit(START).alias("before"), *none_yet(kind))
     pieces = F.split(F.regexp_replace(masked, rf"{TOKENS}|[{PLACES}]", f"{MARK}$0{MARK}"), MARK)
 
     def step(acc: Column, piece: Column) -> Column:
@@ -144,12 +144,11 @@ def _tokens(text: Column, merged: Column, masked: Column) -> Column:
         pattern = F.regexp_extract(left, r"([^\s]{1,30}\s+[^\s]{1,30})\s*$", 1)
         instance = F.when(base, F.substring(text, span["start"] + 1, span["stop"] - span["start"])).otherwise(piece)
         entry = F.struct(acc["at"].alias("start"), stop.alias("stop"), F.regexp_replace(pattern, r"\s+", " ").alias("pattern"), F.lower(instance).alias("instance"), base.alias("base"), (base | piece.rlike(SECRET)).alias("seed"))
-        more = F.when(unit & (pattern != ""), F.array_append(acc["found"], entry)).otherwise(acc["found"])
         said = F.when(base, F.concat(F.lit("["), span["kind"], F.lit("]"))).when(unit, f"[{CONTEXT}]").otherwise(F.right(piece, F.lit(70)))
         before = F.right(F.concat(acc["before"], said), F.lit(70))
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), (acc["spans"] + base.cast("int")).alias("spans"), before.alias("before"), more.alias("found"))
+        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), (acc["spans"] + base.cast("int")).alias("spans"), before.alias("before"), *grown(acc, entry, unit & (pattern != "")))
 
-    return F.when((F.size(merged) > 0) | text.rlike(TOKENS), F.aggregate(pieces, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    return F.when((F.size(merged) > 0) | text.rlike(TOKENS), F.aggregate(pieces, first, step, members)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
