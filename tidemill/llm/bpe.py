@@ -28,7 +28,7 @@ from .common import kept, mix, small_batches, trimmed
 #: White space of the vocabulary's splitting pattern, as a character class. Fixed values.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words whose tokens a worker remembers; slots of its table of tested pairs.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 250_000
 PAIR_SLOTS = 1 << 20
 #: Symbols up to which merging rescans a list; a rank above all.
 SHORT = 40
@@ -238,7 +238,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(said, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run, keeps=True), schema)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -86,10 +86,13 @@ def release() -> None:
         trim(0)
 
 
-def trimmed(f: Callable) -> Callable:
-    """For functions of an iterator of batches: gives freed memory back after the last."""
+def trimmed(f: Callable, keeps: bool = False) -> Callable:
+    """For functions of an iterator of batches: drops what other operators left in the worker, unless f keeps something itself, and gives
+    freed memory back after the last batch."""
 
     def run(batches):
+        if not keeps:
+            _KEPT.clear()
         try:
             yield from f(batches)
         finally:

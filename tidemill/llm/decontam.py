@@ -152,7 +152,7 @@ def _scan_part(rows: DataFrame, own: list[str], at: int, found: dict[bytes, list
             extra = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *extra], names=names)
 
-    return rows.mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run, keeps=True), schema)
 
 
 def report(scanned: DataFrame) -> DataFrame:

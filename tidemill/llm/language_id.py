@@ -106,7 +106,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             extra = [pa.array([s[i] for s in said], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
-    return rows.mapInArrow(trimmed(run), schema)
+    return rows.mapInArrow(trimmed(run, keeps=True), schema)
 
 
 def held_out(modulus: int = 4, remainder: int = 2):
