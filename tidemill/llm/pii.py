@@ -23,10 +23,13 @@ form has. Columns of docs are read only by the names given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.arrays import grown, members, none_yet
+from tidemill.functions.text import let
 
 from .common import settle
 
@@ -36,6 +39,7 @@ MARK, DOT = "\ue000", "\ue001"
 #: What stands for a span of each kind while tokens are sought.
 PLACES = "\ue002\ue003\ue004\ue005"
 START = "^ ^ "
+BLOCK = 64
 ROUNDS = 3
 PRIOR = 1.0
 SUPPORT = 3
@@ -121,12 +125,28 @@ def _merged(spans: dict[str, Column]) -> Column:
     return F.aggregate(F.array_sort(F.concat(*every)), first, step, closed)
 
 
+def _replaced(text: Column, merged: Column, place: Callable[[Column], Column]) -> Column:
+    """The text with place(span) for each span. A cut by offset reads a text from its start, so BLOCK spans' stretch is cut out first."""
+
+    def joined(mine: Column, begin: Column) -> Column:
+        stretch = F.substring(text, begin + 1, F.element_at(mine, -1)["stop"] - begin)
+
+        def within(body: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(mine, i - 1)["stop"]).otherwise(begin)
+            return F.array_join(F.transform(mine, lambda s, i: F.concat(F.substring(body, before(i) - begin + 1, s["start"] - before(i)), place(s))), "")
+
+        return let(stretch, within)
+
+    begin = lambda b: F.when(b > 0, F.get(merged, b * BLOCK - 1)["stop"]).otherwise(0)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(merged) - 1) / BLOCK).cast("int")), lambda b: let(F.slice(merged, b * BLOCK + 1, F.lit(BLOCK)), lambda mine: joined(mine, begin(b))))
+    end = F.element_at(merged, -1)["stop"]
+    return F.when(F.size(merged) > 0, F.concat(F.array_join(blocks, ""), F.substring(text, end + 1, F.length(text)))).otherwise(text)
+
+
 def _masked(text: Column, merged: Column) -> Column:
     """The text with one private character in place of each span."""
-    place = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in zip(KINDS, PLACES, strict=True) for x in pair]), s["kind"])
-    at = lambda i: F.when(i > 0, F.get(merged, i - 1)["stop"]).otherwise(0)
-    pieces = F.transform(merged, lambda s, i: F.concat(F.substring(text, at(i) + 1, s["start"] - at(i)), place(s)))
-    return F.concat(F.array_join(pieces, ""), F.substring(text, at(F.size(merged)) + 1, F.length(text)))
+    places = F.create_map(*[F.lit(x) for pair in zip(KINDS, PLACES, strict=True) for x in pair])
+    return _replaced(text, merged, lambda s: F.element_at(places, s["kind"]))
 
 
 def _tokens(text: Column, merged: Column, masked: Column) -> Column:
@@ -169,7 +189,7 @@ def find(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame
     rows = docs.select("doc_id", F.xxhash64(text).alias("row"), clean.alias("clean"))
     rows = rows.select("*", *[base_spans(F.col("clean"), k).alias(k) for k in KINDS])
     rows = rows.withColumn("merged", _merged({k: F.col(k) for k in KINDS}))
-    rows = rows.withColumn("masked", F.when(F.size("merged") > 0, _masked(F.col("clean"), F.col("merged"))).otherwise(F.col("clean")))
+    rows = rows.withColumn("masked", _masked(F.col("clean"), F.col("merged")))
     rows = settle(rows.select("doc_id", "row", *KINDS, _tokens(F.col("clean"), F.col("merged"), F.col("masked")).alias("tokens")))
     tokens = rows.filter(F.size("tokens") > 0).select("doc_id", "row", F.explode("tokens").alias("t")).select("doc_id", "row", "t.*")
     edges = settle(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
@@ -202,20 +222,9 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
     Texts meet their spans by id in one join; only rows with spans take part.
     """
-
-    def named(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(f"[{kind.upper()}]").alias("name")))
-
-    spans = found.select("doc_id", "row", F.array_sort(F.concat(*map(named, [*KINDS, CONTEXT]))).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["doc_id", "row"])
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    spans = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), _merged({k: F.col(k) for k in [*KINDS, CONTEXT]}).alias("_spans"))
+    spans = spans.filter(F.size("_spans") > 0).dropDuplicates(["_id", "_row"])
     source = docs[text]
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        grown = F.concat(acc["out"], F.substring(source, acc["at"] + 1, s["start"] - acc["at"]), s["name"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(apart, grown).otherwise(acc["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans["_spans"], first, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.length(source))))
+    clean = _replaced(source, spans["_spans"], lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text]) == spans["_row"]), "left")
     return joined.select(*[(F.when(spans["_spans"].isNull(), source).otherwise(clean).alias(c) if c == text else docs[c]) for c in docs.columns])
