@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries whose vectors a task compares at once, and corpus rows of one comparison: some 16 MB of scores.
 BLOCK, ROWS = 1024, 2048
+#: Corpus rows of a slice, which one block of queries meets in one task: some 50 MB at 64 dimensions.
+SLICE = 200_000
 
 
 def ranked(df: DataFrame, *order: Column, k: int | None = None, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -37,7 +39,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
         live = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) > 1e-12
         asked, rows = asked.filter(live), rows.filter(live)
     n = asked.count()
-    blocks, slices = max(1, -(-n // BLOCK)), max(1, spark.sparkContext.defaultParallelism)
+    blocks = max(1, -(-n // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     if blocks == 1:  # at most BLOCK vectors: they go along with the plan
         held = asked.select("id", "v").collect()
@@ -53,7 +55,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
         found = rows.mapInArrow(scan, schema) if n else spark.createDataFrame([], schema)
     else:
         # a slice of the corpus goes to each block of queries; both sides are dealt by (block, slice)
-        cell = lambda df: df.withColumn("cell", (F.col("block") * slices + F.col("slice")).cast("int")).select("cell", "id", "v")
+        slices = max(1, spark.sparkContext.defaultParallelism, -(-rows.count() // SLICE))
+        cell = lambda df: df.withColumn("cell", F.col("block").cast("long") * slices + F.col("slice")).select("cell", "id", "v")
         each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         right = cell(rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", each))
         left = cell(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
