@@ -25,9 +25,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
     """query_id, doc_id, score and rank of each query's k nearest rows; exact.
 
     metric l2: squared distance, ascending; cosine: descending, vectors of zero norm left out on either side. Ties go to the smaller
-    doc_id. Ids are whole numbers or text. Queries are packed into blocks of BLOCK by Spark, and each block meets each slice of the corpus in one task, which
-    keeps k candidates a query; one window merges the slices' candidates, so no task sees a query's whole list and no vector passes
-    through the driver. This is the stated query set against all rows, in blocks.
+    doc_id. Ids are whole numbers or text. Up to BLOCK queries go along with the plan and meet the corpus as it is scanned. More are dealt
+    into blocks, and each block meets each slice of the corpus in one task. A task keeps k candidates a query, and one window merges
+    them, so no task sees a query's whole list. This is the stated query set against all rows, in blocks.
     """
     spark = corpus.sparkSession
     kinds = ["string" if df.schema[key].dataType.typeName() == "string" else "long" for df, key in ((queries, query_id), (corpus, doc_id))]
