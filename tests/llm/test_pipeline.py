@@ -35,3 +35,19 @@ def test_empty_tables(spark, sf_dir):
     none = table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_stages_of_odd_rows_and_clashing_names(spark, sf_dir, odd):
+    docs = odd.withColumns({"source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), "row": F.lit("x"), "ids": F.array(F.lit(1)), "keep": F.lit(True)})
+    said = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    every, (quality, near, clean, pii, coded) = said(docs), (f for _, f in corpus_pipeline.STAGES)
+    left = quality(spark, docs, sf_dir)
+    assert left.columns == corpus_pipeline.COLUMNS and left.filter("text IS NULL OR text = ''").count() == 0
+    left = near(spark, docs, sf_dir)
+    assert left.columns == corpus_pipeline.COLUMNS
+    assert [i for i, _ in said(left)] == [0, 1, 3, 4, 5, 6, 8, 9, 10]
+    for stage in (clean, pii):
+        left = stage(spark, docs, sf_dir)
+        assert left.columns == corpus_pipeline.COLUMNS and said(left) == every
+    left = coded(spark, docs, sf_dir)
+    assert left.columns == ["doc_id", *corpus_pipeline.COLUMNS[1:], "n_tokens", "ids_sha256", "decoded_sha256"] and said(left) == every and left.filter("text IS NULL").first().n_tokens == 0
