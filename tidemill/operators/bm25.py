@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +16,27 @@ from .training import numbered
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, tokens: Column, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, tok, tf and dl of each distinct token of each document that has tokens.
+    """doc_id, tok, tf and dl of each distinct token of each document that has tokens; null tokens are left out.
 
-    A row has all its tokens, so they are sorted and counted within the row, by the ends of runs, and nothing is shuffled.
+    A row has all its tokens, so they are counted within Arrow batches and nothing is shuffled.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(tokens).alias("t")).filter(F.size("t") > 0)
-    rows = rows.select("doc_id", "t", F.size("t").alias("dl"))
-    last = F.filter(F.transform("t", lambda x, i: F.when(~x.eqNullSafe(F.get("t", i + 1)), F.struct(x.alias("tok"), (i + 1).alias("stop")))), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "dl", last.alias("e"))
-    each = rows.select("doc_id", "dl", F.inline(F.transform("e", lambda x, i: F.struct(x["tok"].alias("tok"), (x["stop"] - F.coalesce(F.get("e", i - 1)["stop"], F.lit(0))).alias("tf")))))
-    return each.select("doc_id", "tok", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            lists, flat = batch.column(1), batch.column(1).flatten()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            if flat.null_count:
+                row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+                size = np.bincount(row, minlength=len(size))
+            words = flat.dictionary_encode()
+            kinds = max(1, len(words.dictionary))
+            seen, n = np.unique(row * kinds + words.indices.to_numpy(), return_counts=True)
+            at = seen // kinds
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), words.dictionary.take(pa.array(seen % kinds)), pa.array(n), pa.array(size[at])], names=["doc_id", "tok", "tf", "dl"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tok string, tf long, dl long")
 
 
 def vocabulary(index: DataFrame, n: int) -> DataFrame:
