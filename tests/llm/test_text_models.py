@@ -323,3 +323,25 @@ def test_exchange_adds_up_and_answers_every_key(spark, batches, buckets):
 
     got = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(check, "k long, n long, kinds long").collect()
     assert len(got) == len(rows) and all(x.n == total[x.k] and x.kinds == len(total) for x in got)
+
+
+def test_quality_learns_from_every_trusted_row(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(WORDS) for _ in range(4)) for _ in range(7000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    weights = []
+    line = quality.line
+    monkeypatch.setattr(quality, "SENT_IDS", 3000)
+    monkeypatch.setattr(quality, "line", lambda n, mean, weight: weights.append(int(weight.sum())) or line(n, mean, weight))
+    model = quality.train(docs, labels)
+    symbols = sum(int(quality.unpack_numbers(x["counts"]).sum()) for x in model.counts.collect())
+    assert symbols == sum(len(t) for i, t in enumerate(texts) if i % 10)
+    assert weights == [7000, 7000]
+
+
+def test_quality_line_of_counted_documents():
+    r = np.random.default_rng(8)
+    n, mean, weight = r.integers(10, 900, 400), r.normal(2, 0.2, 400), r.integers(1, 9, 400)
+    assert quality.line(n, mean, weight) == pytest.approx(quality.line(np.repeat(n, weight), np.repeat(mean, weight)))
+    assert quality.quantile(mean, np.ones(400, np.int64)) == pytest.approx(np.quantile(mean, quality.QUANTILE))
