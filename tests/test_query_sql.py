@@ -21,3 +21,9 @@ def test_decimal_multisets_of_odd_values(spark, tmp_path):
     rows = [(4 * j + i, v) for j, v in enumerate(values) for i in range(4)]
     events = spark.createDataFrame(rows, "event_id long, value double")
     assert differences(spark, tmp_path, "decimal_multisets", events=events) == ([], [], 0)
+
+
+def test_corpus_dedup_keeps_a_text_of_each_language(spark, tmp_path):
+    rows = [("a b", "en"), ("a b", "en"), ("a b", "de"), ("a b", None), (None, "en"), (None, "de"), (None, "de"), ("", None)]
+    documents = spark.createDataFrame(rows, "text string, lang string")
+    assert differences(spark, tmp_path, "corpus_dedup", documents=documents) == ([], [], 0)

@@ -89,9 +89,9 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def unique(df: DataFrame, key: str) -> DataFrame:
-    """One row a key; equal rows collapse. Look at collisions() first if payloads may differ."""
-    return df.dropDuplicates([key])
+def unique(df: DataFrame, *key: str) -> DataFrame:
+    """One row a key (of all columns, if none is named); equal rows collapse. Look at collisions() first if payloads may differ."""
+    return df.dropDuplicates(list(key) or df.columns)
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
