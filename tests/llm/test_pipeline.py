@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import decontam
+from tidemill.llm import decontam, quality
 from tidemill.llm.common import table
 
 
@@ -51,3 +51,13 @@ def test_stages_of_odd_rows_and_clashing_names(spark, sf_dir, odd):
         assert left.columns == corpus_pipeline.COLUMNS and said(left) == every
     left = coded(spark, docs, sf_dir)
     assert left.columns == ["doc_id", *corpus_pipeline.COLUMNS[1:], "n_tokens", "ids_sha256", "decoded_sha256"] and said(left) == every and left.filter("text IS NULL").first().n_tokens == 0
+
+
+def test_quality_stage_learns_from_every_trusted_row(spark, sf_dir, monkeypatch):
+    train, models = quality.train, []
+    monkeypatch.setattr(quality, "train", lambda *a: models.append(train(*a)) or models[0])
+    docs = table(spark, sf_dir, "documents")
+    corpus_pipeline.quality_stage(spark, docs, sf_dir)
+    trusted = docs.join(table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0"), "doc_id")
+    symbols = sum(int(quality.unpack_numbers(x["counts"]).sum()) for x in models[0].counts.collect())
+    assert symbols == trusted.agg(F.sum(F.length("text"))).first()[0]
