@@ -1,5 +1,10 @@
 """The pipeline's stages on a small corpus, each against what it must keep."""
 
+import collections
+import math
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -61,3 +66,42 @@ def test_quality_stage_learns_from_every_trusted_row(spark, sf_dir, monkeypatch)
     trusted = docs.join(table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0"), "doc_id")
     symbols = sum(int(quality.unpack_numbers(x["counts"]).sum()) for x in models[0].counts.collect())
     assert symbols == trusted.agg(F.sum(F.length("text"))).first()[0]
+
+
+def brute_without(trusted, i):
+    """Mean loss of text i by the n-grams of all others, with discounts and single characters of all."""
+    pad = ["<s>"] * 3
+    grams = lambda t: [tuple((pad + list(t))[j : j + 4]) for j in range(len(t))]
+
+    def levels(texts):
+        out = [collections.Counter(g for t in texts for g in grams(t))]
+        while len(out) < 4:
+            out.append(collections.Counter(g[1:] for g in out[-1]))
+        return out
+
+    every, others = levels(trusted), levels(t for j, t in enumerate(trusted) if j != i)
+    cut = [quality.discounts([sum(x == n for x in level.values()) for n in (1, 2, 3, 4)]) for level in every]
+
+    def p(g):
+        k = 4 - len(g)
+        if not g:
+            return 1 / (len({c for t in trusted for c in t}) + 2)
+        level = every[k] if len(g) == 1 else others[k]
+        known = [n for x, n in level.items() if x[:-1] == g[:-1]]
+        off = lambda n: cut[k][min(n, 3)]
+        return (level[g] - off(level[g]) + sum(map(off, known)) * p(g[1:])) / sum(known) if known else p(g[1:])
+
+    return -sum(math.log(p(g)) for g in grams(trusted[i])) / len(trusted[i])
+
+
+def test_quality_stage_calibrates_each_row_by_all_others(spark, tmp_path, monkeypatch):
+    r = random.Random(11)
+    words = ["the", "cat", "sat", "on", "a", "mat", "съешь", "булок", "天地玄黄", "zq"]
+    texts = [" ".join(r.choice(words) for _ in range(3 + i)) for i in range(25)] + ["only jumbled vex", "the cat"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, line = [], quality.line
+    monkeypatch.setattr(quality, "line", lambda n, mean, weight: seen.append(np.repeat(mean, weight.astype(int))) or line(n, mean, weight))
+    corpus_pipeline.quality_stage(spark, docs.repartition(3), str(tmp_path))
+    want = sorted(brute_without(texts, i) for i in range(len(texts)))
+    assert np.allclose(sorted(seen[0]), want, atol=1 / quality.GRID[1])
