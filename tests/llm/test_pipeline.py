@@ -100,6 +100,7 @@ def test_quality_stage_calibrates_each_row_by_all_others(spark, tmp_path, monkey
     texts = [" ".join(r.choice(words) for _ in range(3 + i)) for i in range(25)] + ["only jumbled vex", "the cat"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(quality, "TEAM_BYTES", 300)
     seen, line = [], quality.line
     monkeypatch.setattr(quality, "line", lambda n, mean, weight: seen.append(np.repeat(mean, weight.astype(int))) or line(n, mean, weight))
     corpus_pipeline.quality_stage(spark, docs.repartition(3), str(tmp_path))
